@@ -70,7 +70,7 @@ def mix(
     document of it.
 
     The running sums need no task that holds a whole source: a source's shuffled order
-    is cut into slices of about `rows_per_slice` rows; slices are summed first, then
+    is cut into slices, 256 or as many as hold about `rows_per_slice` rows of all sources; slices are summed first, then
     each slice is ordered by itself (a global range sort of (source, hash)) and starts
     from the sum of those before it.
 
@@ -84,7 +84,7 @@ def mix(
         F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("h"),
     )
     sized = saved(sized, "mix-sizes")
-    slices = max(1, sized.count() // rows_per_slice)
+    slices = max(256, sized.count() // rows_per_slice)
     # The sign-shifted high bits of the hash: slice k holds the k-th part of the shuffled order.
     sized = sized.withColumn("slice", F.floor((F.shiftrightunsigned("h", 33).cast("double") / float(1 << 31)) * slices).cast("int"))
     per_slice = sized.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"), F.count("*").alias("slice_rows"))
