@@ -1 +1,59 @@
-STAGES = []
+"""A corpus pipeline of five stages over `documents`, each of them one of the operators in
+sitewarden.llm. Every stage gets what its predecessor kept, written as Parquet and read again."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from sitewarden.llm import bpe, language_id, line_dedup, minhash, mixing
+from sitewarden.llm._shared import saved, table
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is identified (operator 2)."""
+    return language_id.keep_identified(docs)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the lines that they keep (operator 8), n_chars counted anew. A document
+    that loses its last line goes: others hold all that it said."""
+    out = line_dedup.dedup_lines(docs).where("n_dropped < n_lines")
+    changed = {"text": F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text"))}
+    out = out.withColumns(changed).withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (operator 5)."""
+    return minhash.keep_representatives(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them (operator 10)."""
+    return mixing.apply_mix(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with hashes of the ids and of the decoded text (operator 7)."""
+    return bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", drop_repeated_lines),
+    ("minhash_near_dedup", drop_near_duplicates),
+    ("source_mixing", mix_sources),
+    ("word_bpe", encode),
+]
+
+#: Neither language profiles nor merges can be said in SQL; tests hold stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages' result over documents."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

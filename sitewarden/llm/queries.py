@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, embedding_dedup, fingerprints, language_id, line_dedup, minhash, mixing, token_pack
-from ._shared import table
+from . import bpe, embedding_dedup, fingerprints, language_id, line_dedup, minhash, mixing, token_pack, url_filter, warc
+from ._shared import saved, table
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,17 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    out = warc.resolve_revisits(saved(warc.captures_of(pages), "warc-records"))
+    headers = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))), "; ")
+    return out.select(F.expr("record_id div 2").alias("page_id"), "record_id", "url_key", "ref_id", "outcome", "status", headers.alias("headers"), "digest")
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op6_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_pack.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -55,6 +66,27 @@ _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRS
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_warc_revisits": rf"""
+WITH p AS (SELECT page_id AS p, url, coalesce(html, '') AS html, regexp_replace(url, '#.*$', '') AS bare FROM pages),
+c AS (
+  SELECT p * 2 AS id, url, p * 10 AS at, true AS full_, CASE WHEN p % 13 <> 6 THEN '"' || md5(html) || '"' END AS etag,
+    CASE WHEN p % 13 <> 6 THEN 'day ' || (p % 365) END AS lm, 't' || (p * 10) AS dt, CASE WHEN p % 13 <> 6 THEN 'sha256:' || sha256(html) END AS dg, strlen(html)::VARCHAR AS len FROM p
+  UNION ALL
+  SELECT p * 2 + 1, CASE p % 3 WHEN 0 THEN bare || '#again' WHEN 1 THEN bare || CASE WHEN contains(bare, '?') THEN '&' ELSE '?' END || 'utm_source=feed' ELSE regexp_replace(bare, '^https?://', 'https://') END,
+    CASE WHEN p % 11 = 5 THEN p * 10 - 7 ELSE p * 10 + 86400 END, false,
+    CASE WHEN p % 5 = 1 THEN NULL WHEN p % 7 = 3 THEN '"changed"' ELSE 'W/"' || md5(html) || '"' END, CASE WHEN p % 5 = 1 THEN 'day ' || (p % 365) END, 't' || (p * 10 + 86400), NULL, '0' FROM p),
+r AS (SELECT *, regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM c),
+h AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^www\.', ''), ':(80|443)$', '') || regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS base,
+    array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '{warc.TRACKING}'))), '&') AS query FROM r),
+k AS (SELECT *, base || CASE WHEN query = '' THEN '' ELSE '?' || query END AS url_key FROM h),
+j AS (SELECT v.*, (SELECT max({{'at': o.at, 'id': o.id}}) FROM k o WHERE o.full_ AND o.url_key = v.url_key AND o.at < v.at).id AS ref_id FROM k v WHERE NOT v.full_),
+m AS (SELECT j.*, o.etag AS oe, o.lm AS ol, o.dt AS od, o.dg AS og, o.len AS olen,
+    coalesce(regexp_replace(j.etag, '^W/', '') = regexp_replace(o.etag, '^W/', ''), j.lm = o.lm, j.dg = o.dg) AS agrees FROM j LEFT JOIN k o ON o.id = j.ref_id),
+n AS (SELECT *, CASE WHEN ref_id IS NULL THEN 'no_response' WHEN agrees THEN 'resolved' WHEN NOT agrees THEN 'mismatch' ELSE 'unverified' END AS outcome FROM m)
+SELECT id // 2 AS page_id, id AS record_id, url_key, ref_id, outcome, CASE WHEN outcome = 'resolved' THEN 200 END AS status,
+  CASE WHEN outcome = 'resolved' THEN 'content-length: ' || olen || '; content-type: text/html; date: ' || dt || CASE WHEN coalesce(etag, oe) IS NULL THEN '' ELSE '; etag: ' || coalesce(etag, oe) END
+    || CASE WHEN coalesce(lm, ol) IS NULL THEN '' ELSE '; last-modified: ' || coalesce(lm, ol) END END AS headers,
+  CASE WHEN outcome = 'resolved' THEN og END AS digest FROM n""",
         "op5_minhash_near_dedup": rf"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
