@@ -1,0 +1 @@
+"""A Spark engine for site-compliance and task analytics."""
