@@ -10,7 +10,9 @@ from ..functions import html as H, urls as U
 from ..functions.sqltext import DUCK, SPARK, cases
 from ..operators import cache, changes, compliance, context, crawl, mcc, pages, policy, risk, tasks
 from ..rules import changes as CR, mcc as MR, pages as PR, policies as PO, risk as RR
-from ..sources.views import cte, read_table, view
+from ..session import scratch
+from ..sources.views import VIEWS, cte, read_table, view
+from ..streaming import events as events_
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -567,3 +569,42 @@ def keyword_context(spark, d):
 
 
 assert set(PR.TTL) and len(ORACLES) <= len(QUERIES)
+
+
+# --- streams: run to the end of what is there, so that closed windows are the same every time
+
+def _stream(spark: SparkSession, d: str) -> DataFrame:
+    """events as a stream of files. A stream reads a folder, so the glob names the one table."""
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
+
+
+def _ended(stream: DataFrame, name: str) -> DataFrame:
+    folder = scratch(stream.sparkSession, name)
+    return events_.run_to_end(stream, f"{folder}/out", f"{folder}/checkpoint")
+
+
+@query("""WITH m AS (SELECT max(ts) - INTERVAL '1' HOUR AS w FROM events), x AS (SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT start, event_type, n FROM x, m WHERE start + INTERVAL '1' DAY <= w""")
+def stream_task_windows(spark, d):
+    out = events_.window_counts(events_.timed(_stream(spark, d)))
+    return _ended(out, "windows").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query("""WITH m AS (SELECT max(ts) - INTERVAL '1' HOUR AS w FROM events), a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '1' HOUR THEN 0 ELSE 1 END AS new FROM events),
+b AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM a), c AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL '1' HOUR AS "end", count(*) AS n FROM b GROUP BY user_id, k)
+SELECT user_id, start, "end", n FROM c, m WHERE "end" <= w""")
+def stream_sessions(spark, d):
+    out = _ended(events_.sessions(events_.timed(_stream(spark, d))), "sessions")
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_url_dedupe(spark, d):
+    return _ended(events_.first_seen(events_.timed(_stream(spark, d), "3650 days"), "user_id", "event_type"), "dedupe").select("user_id", "event_type")
+
+
+@query(f"WITH {cte('snapshots')}, {_LAG} SELECT target_url, id, p_model AS previous, pricing_model AS current FROM l WHERE p_id IS NOT NULL AND pricing_model IS DISTINCT FROM p_model")
+def stream_changes(spark, d):
+    rows = spark.sql(VIEWS["snapshots"], events=_stream(spark, d)).select("target_url", "id", F.col("scan_timestamp").cast("timestamp").alias("ts"), "pricing_model")
+    return _ended(events_.pricing_changes(rows), "changes")

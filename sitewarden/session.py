@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -15,3 +18,18 @@ def build_session(app: str = "sitewarden", **options: str) -> SparkSession:
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     } | options
     return SparkSession.builder.appName(app).config(map=conf).getOrCreate()
+
+
+_local_dirs: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name under spark.checkpoint.dir, which all executors share. Only a single
+    local JVM without that setting gets a temporary folder; a cluster without it is an error."""
+    conf = spark.sparkContext.getConf()
+    base, master = conf.get("spark.checkpoint.dir", None), conf.get("spark.master", "")
+    if not base:
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + _local_dirs.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="sitewarden-"))
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
