@@ -127,7 +127,7 @@ def allowed(urls: DataFrame, rules: DataFrame, agent: str = "*") -> DataFrame:
     mine = rules.where(F.col("agent") == agent)
     by_site = mine.groupBy("site_id").agg(*[F.collect_list(F.when(F.col("kind") == k, F.lower("pattern"))).alias(k) for k in ("allow", "disallow")])
     route = F.expr(f"lower(coalesce(nullif({U.path(SPARK, 'url')}, ''), '/'))")
-    fits = lambda rules_: F.exists(F.coalesce(rules_, F.array().cast("array<string>")), lambda p: F.when(F.contains(p, F.lit("*")), route.rlike(F.concat(F.lit("^"), F.replace(p, F.lit("*"), F.lit(".*"))))).otherwise(F.startswith(route, p)))
+    fits = lambda rules_: F.exists(F.coalesce(rules_, F.array().cast("array<string>")), lambda p: F.when(F.contains(p, F.lit("*")), F.rlike(route, F.concat(F.lit("^"), F.replace(p, F.lit("*"), F.lit(".*"))))).otherwise(F.startswith(route, p)))
     return urls.join(by_site, "site_id", "left").select(*[urls[c] for c in urls.columns], F.when(fits(F.col("allow")), True).otherwise(~fits(F.col("disallow"))).alias("allowed"))
 
 
