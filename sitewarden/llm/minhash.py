@@ -14,6 +14,8 @@ from .components import connected_components
 
 WORDS = 5
 BANDS, ROWS = 40, 5
+PIVOTS = 3
+CELL = 256
 
 # Odd 64-bit constants of the mixing steps below (splitmix64 and the golden ratio). Fixed values.
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -193,6 +195,62 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _split_buckets(members: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(key, rep, n, c) of the buckets whose members lie in several components c, if two of
+    them could be similar enough by their sizes."""
+    placed = saved(
+        members.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component_id", "rep").alias("c")), "placed"
+    )
+    split = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+    return saved(placed.join(split, "key"), "split-buckets")
+
+
+def _common(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """The sizes of all intersections of sets, from products of slices of their incidence
+    matrix; elements of one set only are left out."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(n > 1) - 1
+    several = n[at] > 1
+    owner, at = owner[several], number[at[several]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for start in range(0, int(at[-1]) + 1 if len(at) else 0, columns):
+        part = slice(*np.searchsorted(at, [start, start + columns]))
+        x = np.zeros((len(sets), columns), np.float32)
+        x[owner[part], at[part] - start] = 1
+        out += x @ x.T
+    return out
+
+
+def _block_links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links (a, b) between members of a bucket in different components. A bucket is cut
+    into cells of about CELL members, and each pair of cells is one block that is
+    compared at once on full sets; only links come out."""
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("m"))
+    cells = F.ceil(F.col("m") / CELL).cast("int")
+    rows = (
+        buckets.join(sizes, "key").withColumn("cells", cells).withColumn("cell", F.pmod(F.xxhash64("rep", "key"), F.col("cells")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+        .select("key", "rep", "c", F.least("cell", "other").alias("low"), F.greatest("cell", "other").alias("high"), "cell")
+        .join(sets.withColumnRenamed("id", "rep"), "rep")
+    )
+
+    def run(t: pa.Table) -> pa.Table:
+        rep, c, cell = (np.asarray(t[k]) for k in ("rep", "c", "cell"))
+        found = [np.asarray(x.values) for x in t["shingles"]]
+        n = np.array([len(x) for x in found])
+        both = _common(found)
+        hit = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (c[:, None] != c[None, :]) & (rep[:, None] < rep[None, :])
+        if t["low"][0] != t["high"][0]:
+            hit &= cell[:, None] != cell[None, :]
+        a, b = np.nonzero(hit)
+        return pa.table({"a": rep[a], "b": rep[b]})
+
+    return rows.groupBy("key", "low", "high").applyInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -208,10 +266,11 @@ def near_duplicates(
     2. Rows with equal sets are one class, named by its smallest id; only classes go on.
     3. Every class of a band bucket is paired with the bucket's smallest class. These
        stars are verified on full sets and joined to components.
-    4. In buckets that still hold several components, all pairs between different
-       components whose sizes allow the similarity are verified, too. So every pair
-       that shares a bucket is verified or lies within one component already, and a
-       group of near copies costs its stars, not all its pairs.
+    4. In buckets that still hold several components, three more members, drawn by a hash
+       of member and bucket, are paired with all others in the same way.
+    5. In buckets that are still split, all members of different components are compared on
+       full sets, in blocks of bounded size. So every pair that shares a bucket is verified
+       or lies within one component already, and a group of near copies costs its stars.
 
     With 40 bands of 5 coordinates a pair of similarity 0.75 shares no bucket with
     probability 2e-5, one of 0.8 with 1e-7.
@@ -235,21 +294,14 @@ def near_duplicates(
     # A class's smallest id may stand for rows with other texts, if ids repeat: the set must be the class's own.
     sets = saved(_shingle_sets(text.join(wanted, "id").distinct(), words).dropDuplicates(["id"]), "shingles")
     links = saved(_verified(stars, sets, percent), "links")
-    groups = connected_components(links)
-    placed = saved(
-        members.join(groups.withColumnRenamed("id", "rep"), "rep", "left")
-        .select("key", "rep", "n", "head", F.coalesce("component_id", "rep").alias("c")),
-        "placed",
-    )
-    drop_saved(members)
-    split = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    rest = saved(placed.join(split, "key"), "rest")
-    x = rest.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    y = rest.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-    more = x.join(y, "key").where(fits).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    more_links = _verified(saved(more, "pairs"), sets, percent)
-    final = connected_components(links.unionAll(saved(more_links, "links")))
+    placed = _split_buckets(members.select("key", "rep", "n"), connected_components(links), percent)
+    pivots = [F.min(F.struct(F.xxhash64(F.lit(k), "key", "rep"), F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))).alias(f"p{k}") for k in range(PIVOTS)]
+    chosen = placed.groupBy("key").agg(*pivots).select("key", F.explode(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("p")).select("key", "p.b", "p.cb", "p.nb")
+    fits = 100 * F.least("n", "nb") >= percent * F.greatest("n", "nb")
+    second = placed.join(chosen, "key").where((F.col("c") != F.col("cb")) & fits).select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
+    links = links.unionAll(saved(_verified(saved(second, "pairs"), sets, percent), "links"))
+    placed = _split_buckets(placed.select("key", "rep", "n"), connected_components(links), percent)
+    final = connected_components(links.unionAll(saved(_block_links(placed, sets, percent), "links")))
     by_sig = saved(
         classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("sig", F.coalesce("component_id", "rep").alias("component_id")),
         "by-class",
