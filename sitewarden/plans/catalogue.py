@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import html as H, urls as U
 from ..functions.sqltext import DUCK, SPARK, cases
-from ..operators import cache, changes, compliance, context, crawl, mcc, pages, policy, risk, tasks
+from ..operators import cache, changes, compliance, context, crawl, mcc, pages, policy, research, risk, signals, tasks
 from ..rules import changes as CR, mcc as MR, pages as PR, policies as PO, risk as RR
 from ..session import scratch
 from ..sources.views import VIEWS, cte, read_table, view
@@ -571,6 +571,87 @@ def keyword_context(spark, d):
 assert set(PR.TTL) and len(ORACLES) <= len(QUERIES)
 
 
+# --- signals and products
+
+_SIGNALS = "SELECT l_orderkey AS id, l_linenumber AS n, CASE l_linenumber WHEN 1 THEN 'domain_age' WHEN 2 THEN 'ssl_https_presence' WHEN 3 THEN 'seo_score' ELSE 'other' END AS signal FROM {lineitem}"
+
+
+@query(f"SELECT id, n, {signals.signal_class_sql('signal')} AS class, signal = 'ssl_https_presence' AS decides FROM ({_SIGNALS.replace('{lineitem}', 'lineitem')}) x")
+def signal_classes(spark, d):
+    rows = spark.sql(_SIGNALS, lineitem=read_table(spark, d, "lineitem"))
+    return rows.select("id", "n", F.expr(signals.signal_class_sql("signal")).alias("class"), signals.can_decide(F.col("signal")).alias("decides"))
+
+
+@query("""WITH e AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_name END AS url, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE 'r' END AS rule, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END AS conf, CASE WHEN c_custkey % 7 = 0 THEN 'critical' END AS sev FROM customer),
+m AS (SELECT *, coalesce(url, '') = '' OR rule = '' AS missing FROM e)
+SELECT id, CASE WHEN missing OR (conf IS NULL AND sev IS NULL) THEN 0 WHEN conf IS NULL THEN 0 ELSE greatest(0, least(100, conf)) END AS confidence, CASE WHEN missing OR (conf IS NULL AND sev IS NULL) THEN 'info' ELSE sev END AS severity, missing AS missing_fields FROM m""")
+def evidence_downgrade(spark, d):
+    k, bal = F.col("c_custkey"), F.col("c_acctbal")
+    e = signals.evidence(F.when(k % 3 != 0, F.col("c_name")), F.when(k % 5 == 0, "").otherwise("r"), F.lit("s"), F.when(k % 2 == 0, bal), F.when(k % 7 == 0, "critical"))
+    return read_table(spark, d, "customer").select(k.alias("id"), e.alias("e")).select("id", F.coalesce("e.confidence", F.lit(0.0)).alias("confidence"), "e.severity", "e.missing_fields")
+
+
+@query("SELECT c_custkey AS site_id, CASE WHEN c_custkey % 5 > 1 THEN 'EXCESSIVE_REDIRECTS' END AS code, CASE WHEN c_custkey % 5 > 1 THEN (c_custkey % 5) || ' redirects detected.' END AS description FROM customer")
+def redirect_alerts(spark, d):
+    rows = read_table(spark, d, "customer").select(F.col("c_custkey").alias("site_id"), signals.redirect_alert(F.col("c_custkey") % 5).alias("a"))
+    return rows.select("site_id", "a.code", "a.description")
+
+
+@query("""WITH f AS (SELECT c_custkey AS site_id, c_custkey % 2 = 0 AS r, c_custkey % 3 = 0 AS t, c_custkey % 5 = 0 AS s, c_custkey % 7 = 0 AS p FROM customer)
+SELECT site_id, r AND t AS passes, CASE WHEN r AND t THEN '' ELSE concat_ws(' ', CASE WHEN NOT r THEN 'Refund/Return Policy is missing. Please add a clear Refund Policy page.' END, CASE WHEN NOT t THEN 'Terms & Conditions are missing. Please add a Terms of Service page.' END, CASE WHEN NOT s AND p THEN 'Shipping Policy is recommended for e-commerce sites.' END) END AS actions FROM f""")
+def payment_terms(spark, d):
+    k = F.col("c_custkey")
+    facts = read_table(spark, d, "customer").select(k.alias("site_id"), (k % 2 == 0).alias("has_returns"), (k % 3 == 0).alias("has_terms"), (k % 5 == 0).alias("has_shipping"), (k % 7 == 0).alias("mentions_product"))
+    return signals.payment_terms(facts)
+
+
+_IND = ", ".join(f"{e} AS {n}" for n, e in signals.product_indicators_sql(D, "page_text").items())
+
+
+@query(f"WITH {cte('risk_pages')} SELECT doc_id, {_IND} FROM risk_pages")
+def product_indicators(spark, d):
+    return signals.product_indicators(view(spark, d, "risk_pages"))
+
+
+_ABOUT = ", ".join(f"{e} AS {n}" for n, e in signals.about_facts_sql(D, "x").items())
+_ABOUT_TEXT = "concat(CASE doc_id % 3 WHEN 0 THEN 'Our mission: to build tools for every shop in town. ' WHEN 1 THEN 'Services include repairs, cleaning and deliveries of all kinds. ' ELSE '' END, '12 High Street, Old Town 12345 ', left(page_text, 1200))"
+
+
+@query(f"WITH {cte('risk_pages')}, a AS (SELECT doc_id, {_ABOUT_TEXT} AS x FROM risk_pages) SELECT doc_id, {_ABOUT} FROM a")
+def about_facts(spark, d):
+    rows = view(spark, d, "risk_pages").select("doc_id", F.expr(_ABOUT_TEXT).alias("page_text"))
+    return signals.about_facts(rows)
+
+
+@query()
+def product_extract(spark, d):
+    links = view(spark, d, "site_links").withColumn("in_menu", F.col("link_ord") % 9 == 0)
+    return research.products(links)
+
+
+@query("SELECT doc_id, len(k) AS n_matches, array_to_string(k, ',') AS matched, CASE WHEN length(t) > 500 THEN left(t, 500) || '...' ELSE t END AS excerpt FROM (SELECT doc_id, coalesce(text, '') AS t, list_filter(['the', 'license', 'tion'], lambda w: contains(lower(coalesce(text, '')), w)) AS k FROM documents) x")
+def keyword_monitor(spark, d):
+    return research.keyword_monitor(read_table(spark, d, "documents"), ("the", "license", "tion"))
+
+
+@query(f"WITH {cte('site_links')} SELECT site_id, policy, arg_min(url, link_ord) AS url FROM site_links, (VALUES ('privacy', 'privacy'), ('terms', 'terms|conditions'), ('pricing', 'pricing|plans')) AS p(policy, re) WHERE regexp_matches(concat_ws(' ', lower(url), lower(anchor)), re) GROUP BY 1, 2")
+def policy_first_match(spark, d):
+    return research.first_match_policies(view(spark, d, "site_links"), (("privacy", "privacy"), ("terms", "terms|conditions"), ("pricing", "pricing|plans")))
+
+
+@query("SELECT n_name AS topic, i AS ord, replace(q, '{}', n_name) AS query FROM nation, (VALUES (0, '{} competitors'), (1, '{} market share'), (2, 'news on {}')) AS t(i, q)")
+def search_queries(spark, d):
+    return research.query_plan(read_table(spark, d, "nation").select(F.col("n_name").alias("topic")), ("{} competitors", "{} market share", "news on {}"))
+
+
+@query(f"WITH {cte('site_links')}, {_POLICY} SELECT s.site_id, p.policy, CASE WHEN d.policy IS NOT NULL THEN 'found' WHEN p.policy IN ('shipping_delivery', 'returns_refund') THEN 'n/a' ELSE 'missing' END AS state FROM (SELECT DISTINCT site_id FROM site_links) s CROSS JOIN (VALUES ('shipping_delivery'), ('returns_refund'), ('faq')) AS p(policy) LEFT JOIN detected d ON d.site_id = s.site_id AND d.policy = p.policy")
+def policy_display(spark, d):
+    links = view(spark, d, "site_links")
+    wanted = links.select("site_id").distinct().withColumn("policy", F.explode(F.array(*map(F.lit, ("shipping_delivery", "returns_refund", "faq")))))
+    both = wanted.join(policy.detect(links).select("site_id", "policy", F.lit(True).alias("f")), ["site_id", "policy"], "left")
+    return both.select("site_id", "policy", policy.display_state(F.col("policy"), F.coalesce("f", F.lit(False)), F.lit(None).cast("string")).alias("state"))
+
+
 # --- streams: run to the end of what is there, so that closed windows are the same every time
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:

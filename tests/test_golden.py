@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from sitewarden.functions import urls as U
 from sitewarden.functions.sqltext import SPARK
-from sitewarden.operators import changes, compliance, crawl, mcc, pages, risk, tasks
+from sitewarden.operators import changes, compliance, crawl, mcc, pages, research, risk, signals, tasks
 from sitewarden.rules import mcc as MR, pages as PR, policies as PO, risk as RR, tech as TR
 from sitewarden.sources import files
+from sitewarden.streaming import events
 
 
 def one(spark, expr, **cols):
@@ -140,3 +141,31 @@ def test_sources(spark, tmp_path):
     df = spark.createDataFrame([('```json\n{"a":1}\n```', "<html><head><t>", "https://e.com")], "t string, h string, u string")
     r = df.select(files.tolerant_json(F.col("t")).alias("j"), files.with_base(F.col("h"), F.col("u")).alias("b"), files.networks(F.lit("{a,b}")).alias("n")).first()
     assert r["j"] == '{"a":1}' and r["b"] == '<html><head><base href="https://e.com"><t>' and r["n"] == ["a", "b"]
+
+
+def test_evidence(spark):
+    rows = [("u", "r", "s", 120.0, None), ("u", "r", "s", None, "critical"), ("u", "r", "s", None, None), ("", "r", "s", 50.0, "critical"), (None, "r", "s", 50.0, None)]
+    df = spark.createDataFrame(rows, "a string, b string, c string, d double, e string")
+    got = [r["x"] for r in df.select(signals.evidence(*(F.col(c) for c in "abcde")).alias("x")).collect()]
+    assert [(g["confidence"], g["severity"], g["missing_fields"]) for g in got] == [(100.0, None, False), (None, "critical", False), (0.0, "info", False), (0.0, "info", True), (0.0, "info", True)]
+
+
+def test_products(spark):
+    rows = [(1, 0, "https://e.com/x", "Card Kit", True), (1, 1, "https://e.com/products/pay-link", "", False), (1, 2, "https://e.com/y", "Our careers", False), (1, 3, "https://e.com/z", "Team", False), (1, 4, "https://e.com/w", "card kit", False), (2, 0, None, None, False)]
+    got = [(r["site_id"], r["name"], r["tier"]) for r in research.products(spark.createDataFrame(rows, "site_id int, link_ord int, url string, anchor string, in_menu boolean")).orderBy("site_id", "rank_").collect()]
+    assert got == [(1, "Card Kit", 1), (1, "Pay Link", 2), (1, "Team", 3)]
+
+
+def test_stuck_alerts_and_messages(spark, tmp_path):
+    """A processing task that the watermark leaves behind is reported once; a finished one isn't."""
+    t0 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    rows = [[(1, "processing", t0), (2, "processing", t0)], [(2, "completed", t0 + dt.timedelta(minutes=10))], [(3, "completed", t0 + dt.timedelta(hours=9))], [(4, "completed", t0 + dt.timedelta(hours=10))]]
+    for k, part in enumerate(rows):
+        spark.createDataFrame(part, "id long, status string, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema("id long, status string, ts timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    out = events.run_to_end(events.stuck_alerts(events.timed(stream, "1 minute")), f"{tmp_path}/out", f"{tmp_path}/cp")
+    assert [r["id"] for r in out.collect()] == [1]
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "a.json").write_text('{"taskId":"1","action":"site_scan","input":{"topic":"x","filters":{"business_name":"b"}}}\nnot json\n{"other":1}\n')
+    got = events.run_to_end(events.task_source(spark, f"{tmp_path}/m"), f"{tmp_path}/o2", f"{tmp_path}/c2")
+    assert [r["taskId"] for r in got.collect()] == ["1"]
