@@ -623,7 +623,17 @@ def about_facts(spark, d):
     return signals.about_facts(rows)
 
 
-@query()
+_BARS = {k: D.text("|".join(getattr(research, k))) for k in ("NO_PRODUCT", "NO_NAME", "LISTS", "PRODUCT_PATHS")}
+
+
+@query(rf"""WITH {cte('site_links')}, r AS (SELECT site_id, link_ord, link_ord % 9 = 0 AS in_menu, lower({U.path(D, 'url')}) AS route, trim(coalesce(anchor, '')) AS label FROM site_links),
+t AS (SELECT *, translate(regexp_extract(route, '([^/]+)/*$', 1), '-_', '  ') AS last FROM r),
+n AS (SELECT *, CASE WHEN in_menu AND label <> '' THEN 1 WHEN regexp_matches(route, {_BARS['PRODUCT_PATHS']}) AND last <> '' THEN 2
+  WHEN regexp_matches(label, '^\S+(\s+\S+){{0,4}}$') AND NOT regexp_matches(lower(label), {_BARS['NO_NAME']}) AND NOT regexp_matches(route, {_BARS['LISTS']}) AND length(route) > 1 THEN 3 END AS tier FROM t),
+m AS (SELECT site_id, link_ord, tier, CASE WHEN tier = 2 THEN array_to_string(list_transform(string_split(last, ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ') ELSE label END AS name FROM n WHERE tier IS NOT NULL),
+g AS (SELECT *, row_number() OVER (PARTITION BY site_id, lower(name) ORDER BY link_ord) AS k FROM m WHERE length(name) BETWEEN 2 AND 50 AND NOT regexp_matches(lower(name), {_BARS['NO_PRODUCT']})),
+f AS (SELECT *, count(*) FILTER (WHERE tier < 3) OVER (PARTITION BY site_id) AS real FROM g WHERE k = 1),
+o AS (SELECT site_id, name, tier, row_number() OVER (PARTITION BY site_id ORDER BY tier, link_ord) AS rank_ FROM f WHERE tier < 3 OR real < 15) SELECT site_id, rank_, name, tier FROM o WHERE rank_ <= 20""")
 def product_extract(spark, d):
     links = view(spark, d, "site_links").withColumn("in_menu", F.col("link_ord") % 9 == 0)
     return research.products(links)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -31,5 +32,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     if not base:
         if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + _local_dirs.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="sitewarden-"))
+        app = spark.sparkContext.applicationId
+        if app not in _local_dirs:
+            kept = tempfile.TemporaryDirectory(prefix="sitewarden-", ignore_cleanup_errors=True)
+            atexit.register(kept.cleanup)
+            _local_dirs[app] = kept.name
+        base = "file://" + _local_dirs[app]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
