@@ -48,7 +48,8 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lines = saved(lines, "lines")
     ranged = lines.repartitionByRange(shuffle_partitions(spark), "h1", "h2", "id", "pos").sortWithinPartitions("h1", "h2", "id", "pos")
     ranged = saved(ranged, "line-ranges")
-    first = ranged.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("first_id < last_id")
+    # A table of its own: then both sides of the join are shuffles, and a hot line's partition can be split.
+    first = saved(ranged.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("first_id < last_id"), "repeated-lines")
     dropped = ranged.join(first, ["h1", "h2"]).where("id > first_id")
     words = dropped.groupBy("id", "th", F.expr("pos div 64").cast("int").alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("mask")
