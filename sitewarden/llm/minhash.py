@@ -201,7 +201,7 @@ def _split_buckets(members: DataFrame, groups: DataFrame, percent: int) -> DataF
     placed = saved(
         members.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component_id", "rep").alias("c")), "placed"
     )
-    split = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+    split = saved(placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key"), "split")
     return saved(placed.join(split, "key"), "split-buckets")
 
 
@@ -228,7 +228,7 @@ def _block_links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     """The links (a, b) between members of a bucket in different components. A bucket is cut
     into cells of about CELL members, and each pair of cells is one block that is
     compared at once on full sets; only links come out."""
-    sizes = buckets.groupBy("key").agg(F.count("*").alias("m"))
+    sizes = saved(buckets.groupBy("key").agg(F.count("*").alias("m")), "bucket-sizes")
     cells = F.ceil(F.col("m") / CELL).cast("int")
     rows = (
         buckets.join(sizes, "key").withColumn("cells", cells).withColumn("cell", F.pmod(F.xxhash64("rep", "key"), F.col("cells")).cast("int"))
@@ -287,7 +287,8 @@ def near_duplicates(
         "classes",
     )
     keyed = classes.select("rep", "n", F.explode("bands").alias("key"))
-    heads = keyed.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head < last").drop("last")
+    # Tables of their own, here and below: then both sides of a join on buckets are shuffles, and a hot bucket can be split.
+    heads = saved(keyed.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head < last").drop("last"), "heads")
     members = saved(keyed.join(heads, "key").select("key", "rep", "n", "head"), "members")
     stars = saved(members.where("head < rep").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
     wanted = members.select(F.col("rep").alias("id")).distinct()
@@ -297,6 +298,7 @@ def near_duplicates(
     placed = _split_buckets(members.select("key", "rep", "n"), connected_components(links), percent)
     pivots = [F.min(F.struct(F.xxhash64(F.lit(k), "key", "rep"), F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))).alias(f"p{k}") for k in range(PIVOTS)]
     chosen = placed.groupBy("key").agg(*pivots).select("key", F.explode(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("p")).select("key", "p.b", "p.cb", "p.nb")
+    chosen = saved(chosen, "pivots")
     fits = 100 * F.least("n", "nb") >= percent * F.greatest("n", "nb")
     second = placed.join(chosen, "key").where((F.col("c") != F.col("cb")) & fits).select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
     links = links.unionAll(saved(_verified(saved(second, "pairs"), sets, percent), "links"))
