@@ -614,7 +614,8 @@ def product_indicators(spark, d):
 
 
 _ABOUT = ", ".join(f"{e} AS {n}" for n, e in signals.about_facts_sql(D, "x").items())
-_ABOUT_TEXT = "concat(CASE doc_id % 3 WHEN 0 THEN 'Our mission: to build tools for every shop in town. ' WHEN 1 THEN 'Services include repairs, cleaning and deliveries of all kinds. ' ELSE '' END, '12 High Street, Old Town 12345 ', left(page_text, 1200))"
+# The tables hold no such sentences, so the view adds some behind the text: only a search of the whole text finds them.
+_ABOUT_TEXT = "concat(page_text, CASE doc_id % 3 WHEN 0 THEN ' Our mission: to build tools for every shop in town.' WHEN 1 THEN ' Services include repairs, cleaning and deliveries of all kinds.' ELSE '' END, ' 12 High Street, Old Town 12345')"
 
 
 @query(f"WITH {cte('risk_pages')}, a AS (SELECT doc_id, {_ABOUT_TEXT} AS x FROM risk_pages) SELECT doc_id, {_ABOUT} FROM a")
