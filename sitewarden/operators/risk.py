@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -22,16 +23,15 @@ def keyword_test(d: Dialect, text: str, keyword: str) -> str:
 def keyword_hits(text: Column, keywords=R.RESTRICTED) -> Column:
     """An array of (kw_ord, category, keyword, pos) of the keywords that a text holds. The table
     is one literal; the regex of a keyword of several words runs only where its words occur."""
-    every = [(c, k, k.replace("-", " ")) for c, words in keywords for k in words]
-    table = F.array(*[
-        F.struct(
-            F.lit(n).alias("kw_ord"), F.lit(c).alias("category"), F.lit(k).alias("keyword"), F.lit(plain).alias("plain"), F.array(*map(F.lit, plain.split())).alias("words"),
-            F.lit(r"\b" + r"\b.*\b".join(re.escape(w) for w in plain.split()) + r"\b" if " " in plain else None).cast("string").alias("pattern"),
-        )
-        for n, (c, k, plain) in enumerate(every)
-    ])
+    rows = []
+    for n, (c, k) in enumerate((c, k) for c, words in keywords for k in words):
+        plain = k.replace("-", " ")
+        pattern = r"\b" + r"\b.*\b".join(re.escape(w) for w in plain.split()) + r"\b" if " " in plain else None
+        rows.append({"kw_ord": n, "category": c, "keyword": k, "plain": plain if plain != k else None, "words": plain.split(), "pattern": pattern})
+    # One text that is folded to a literal: a call for each of its fields takes seconds to build.
+    table = F.from_json(F.lit(json.dumps(rows)), "array<struct<kw_ord: int, category: string, keyword: string, plain: string, words: array<string>, pattern: string>>")
     spread = lambda r: r["pattern"].isNotNull() & F.forall(r["words"], lambda w: F.contains(text, w)) & F.coalesce(F.rlike(text, r["pattern"]), F.lit(False))
-    found = F.filter(table, lambda r: F.contains(text, r["keyword"]) | F.contains(text, r["plain"]) | spread(r))
+    found = F.filter(table, lambda r: F.contains(text, r["keyword"]) | F.coalesce(F.contains(text, r["plain"]), F.lit(False)) | spread(r))
     return F.transform(found, lambda r: F.struct(r["kw_ord"].alias("kw_ord"), r["category"].alias("category"), r["keyword"].alias("keyword"), F.call_function("instr", text, r["keyword"]).alias("pos")))
 
 

@@ -169,3 +169,15 @@ def test_stuck_alerts_and_messages(spark, tmp_path):
     (tmp_path / "m" / "a.json").write_text('{"taskId":"1","action":"site_scan","input":{"topic":"x","filters":{"business_name":"b"}}}\nnot json\n{"other":1}\n')
     got = events.run_to_end(events.task_source(spark, f"{tmp_path}/m"), f"{tmp_path}/o2", f"{tmp_path}/c2")
     assert [r["taskId"] for r in got.collect()] == ["1"]
+
+
+def test_all_restricted_categories(spark):
+    assert len(RR.RESTRICTED) == 50 and sum(len(words) for _, words in RR.RESTRICTED) == 396 and len(dict(RR.RESTRICTED)) == 50
+    assert set(RR.CRITICAL_IF_CORROBORATED) | set(RR.PENALTY) <= set(dict(RR.RESTRICTED))
+    every = [(c, k) for c, words in RR.RESTRICTED for k in words]
+    pages_ = spark.createDataFrame([(n, f"u{n}", f"we have {k} here") for n, (_, k) in enumerate(every)], "site_id int, page_url string, page_text string")
+    found = {(r["site_id"], r["category"], r["keyword"], r["kw_ord"]) for r in risk.findings(pages_).collect()}
+    assert {(n, c, k, n) for n, (c, k) in enumerate(every)} <= found
+    two = spark.createDataFrame([(1, "a", "underage"), (1, "b", "underage"), (2, "a", "underage")], "site_id int, page_url string, page_text string")
+    assert sorted((r["site_id"], r["category"], r["severity"]) for r in risk.corroborate(risk.findings(two)).collect()) == [(1, "child_pornography", "critical")] * 2 + [(2, "child_pornography", "moderate")]
+    assert {r["site_id"]: r["risk_score"] for r in risk.site_scores(two).collect()} == {1: 40, 2: 20}
