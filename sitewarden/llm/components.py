@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import drop_saved, saved
+from ._shared import drop_saved, lasting, saved, scratch
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -18,6 +18,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     equi-joins that adaptive execution splits. Every round's tables are written to
     the shared folder. Null ends and self-loops are ignored; no edges, no rows.
     """
+    with scratch(edges.sparkSession):
+        return lasting(_contract(edges, a, b))
+
+
+def _contract(edges: DataFrame, a: str, b: str) -> DataFrame:
     live = saved(
         edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u is not null and v is not null and u < v").distinct(),
         "edges",
@@ -47,6 +52,4 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         drop_saved(live)
         drop_saved(jumped)
         live, labels = rest, after
-    if labels is None:
-        return live.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
-    return labels
+    return labels if labels is not None else saved(live.select(F.col("u").alias("id"), F.col("v").alias("component_id")), "labels")

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -319,12 +320,57 @@ def test_embeddings(spark):
     links = [(a[0], b[0]) for i, a in enumerate(ok) for b in ok[i + 1 :] if near(a, b)]
     want = roots([r[0] for r in rows if r[0] is not None], links)
     n = {i: sum(i in p for p in links) for i in want}
-    got = {r["vec_id"]: r for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, VECS), block=32, window=8).collect()}
+    got = {r["vec_id"]: r for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, VECS), block=32, window=8, cells=(4, 8)).collect()}
     assert len(got) == len(rows) and got[None]["kept"] and got[None]["n_links"] == 0
     assert {i: (got[i]["n_links"], got[i]["component_id"]) for i in want} == {i: (n[i], want[i]) for i in want}
     assert embedding_dedup.near_vectors(spark.createDataFrame([], VECS)).count() == 0
 
 
+def test_embeddings_repeated_ids(spark):
+    """Rows that share an id but not a vector are vectors of their own."""
+    a, b = [1.0] + [0.0] * 7, [0.0] * 7 + [1.0]
+    rows = [(5, a, 1, 1, "x"), (5, b, 1, 1, "x"), (7, a, 1, 1, "x"), (3, b, 2, 1, "x"), (9, [x + 0.01 for x in b], 1, 1, "x")]
+    got = sorted(tuple(r)[:4] for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, VECS)).collect())
+    assert got == [(3, 0, 3, True), (5, 1, 5, True), (5, 1, 5, True), (7, 1, 5, False), (9, 1, 5, False)]
+
+
+def test_embeddings_recall(spark):
+    """One label of many blocks, with a common direction in all vectors: every planted pair at just
+    above the threshold is brought together by some pass."""
+    n, d, planted, rng = 60_000, 32, 600, np.random.default_rng(4)
+    mean = rng.standard_normal(d)
+    x = 1.5 * mean / np.linalg.norm(mean) + rng.standard_normal((n, d)) / np.sqrt(d)
+    side = rng.standard_normal((planted, d))
+    v = x[:planted] / np.linalg.norm(x[:planted], axis=1, keepdims=True)
+    side -= (side * v).sum(axis=1, keepdims=True) * v
+    x[-planted:] = 0.9805 * v + np.sqrt(1 - 0.9805**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    table = pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(x.astype(np.float32))), "label": np.zeros(n, np.int32)})
+    got = embedding_dedup.near_vectors(spark.createDataFrame(table), block=512, window=64).toArrow().sort_by("vec_id")
+    component, links = np.asarray(got["component_id"]), np.asarray(got["n_links"])
+    met = component[:planted] == component[-planted:]
+    u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32).astype(float)
+    queries = np.arange(0, n, 100)
+    want = (u[queries] @ u.T >= 0.98).sum(axis=1) - 1
+    assert met.mean() >= 0.995 and want.sum() > 0 and links[queries].sum() >= 0.99 * want.sum() and (links[queries] <= want).all()
+
+
+def test_scratch_is_deleted(spark):
+    """An operator leaves only what its lazy result reads; release() takes that away."""
+    from pathlib import Path
+
+    from sitewarden.llm import _shared
+
+    folder = Path(_shared.shared_dir(spark).removeprefix("file://"))
+    _shared.release(spark)
+    before = set(folder.iterdir())
+    rows = corpus()
+    embedding_dedup.near_vectors(spark.createDataFrame([(1, [1.0, 2.0], 1, 1, "x"), (2, [1.0, 2.1], 1, 1, "x")], VECS)).collect()
+    out = minhash.near_duplicates(docs_of(spark, rows))
+    assert out.count() == len(rows) and len(set(folder.iterdir()) - before) <= 3
+    _shared.release(spark)
+    assert set(folder.iterdir()) == before
+
+
 def test_warc(spark):
     H = {"etag": '"a"', "last-modified": "m"}
     rows = [
