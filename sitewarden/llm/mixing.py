@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ._shared import saved
+from ._shared import in_order, lasting, parts_of, saved, scratch
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
 _GAP_CHARS = " \t\n\x0b\x0c\r"
@@ -47,6 +47,66 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], budget: float,
     )
 
 
+def _queues(docs: DataFrame, slices: int, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(row, id, source, size, h, slice) of docs: row holds all its columns, h its place in the
+    shuffled order, and slice which part of that order it is in."""
+    h = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
+    # The sign-shifted high bits of the hash: slice k holds the k-th part of the shuffled order.
+    part = F.floor((F.shiftrightunsigned("h", 33).cast("double") / float(1 << 31)) * slices).cast("int")
+    return docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
+        word_count(F.col(text_col)).alias("size"), h.alias("h"),
+    ).withColumn("slice", part)
+
+
+def _key(source: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("s"), source), F.lit(""))
+
+
+def _finish(queues: DataFrame, starts: DataFrame) -> DataFrame:
+    """queues with their source's figures and `words`, the source's words up to and with the row."""
+    order = W.partitionBy("key", "slice").orderBy(F.shiftrightunsigned("h", 33), "h", F.col("id").asc_nulls_last(), "size")
+    within = F.sum("size").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
+    queued = queues.withColumn("key", _key(F.col("source"))).withColumn("within", within)
+    return queued.join(starts, ["key", "slice"]).withColumn("words", F.col("before") + F.col("within"))
+
+
+def _time(k: int) -> Column:
+    """The virtual finish time of a row's k-th copy."""
+    return (F.col("words") + F.col("source_size") * k) / F.col("weight")
+
+
+def _planned(docs: DataFrame, weights, budget, repeats, seed, id_col, text_col, source_col, rows_per_slice) -> DataFrame:
+    """_finish() of docs, with copies: how often the mix takes the row."""
+    thin = saved(_queues(docs, 1, seed, id_col, text_col, source_col).drop("row", "slice"), "mix-sizes")
+    slices = max(256, thin.count() // rows_per_slice)
+    thin = thin.withColumn("slice", F.floor((F.shiftrightunsigned("h", 33).cast("double") / float(1 << 31)) * slices).cast("int"))
+    per_slice = saved(thin.groupBy("source", "slice").agg(F.sum("size").alias("slice_size")), "mix-slices")
+    targets = source_targets(per_slice.groupBy("source").agg(F.sum("slice_size").alias("source_size")), weights, budget, repeats)
+    run = W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    starts = per_slice.withColumn("before", F.coalesce(F.sum("slice_size").over(run), F.lit(0))).withColumn("key", _key(F.col("source")))
+    starts = starts.join(targets.withColumn("key", _key(F.col("source"))).drop("source"), "key")
+    starts = lasting(saved(starts.select("key", "slice", "before", "source_size", "target", "weight", "rank_"), "mix-starts"))
+    # All queued copies in the order of their finish times. Only documents of no size can share time and source.
+    copies = _finish(thin, starts).select("rank_", "size", F.explode(F.array(*[_time(k) for k in range(repeats)])).alias("finish"))
+    ordered = in_order(copies, ["finish", "rank_"], "mix-order")
+    parts = saved(parts_of(ordered, words=F.sum("size")), "mix-ranges")
+    most = float(budget) * (parts.agg(F.sum("words")).first()[0] or 0) / repeats
+    # The budget ends in one range, and only there words are added up row by row.
+    last = parts.where(F.col("before_words") <= most).agg(F.max(F.struct("part", "before_words")).alias("x")).first()["x"]
+    if last is None:
+        cut = (0.0, -1)
+    else:
+        within = F.sum("size").over(W.orderBy("row").rowsBetween(W.unboundedPreceding, W.currentRow))
+        ends = ordered.where(F.col("part") == last["part"]).withColumn("used", within + last["before_words"] - F.col("size") / 2.0)
+        inside = ends.where(F.col("used") <= most).agg(F.max(F.struct("finish", "rank_")).alias("x")).first()["x"]
+        before = ordered.where(F.col("part") < last["part"]).agg(F.max(F.struct("finish", "rank_")).alias("x")).first()["x"] if inside is None else inside
+        cut = tuple(before) if before else (0.0, -1)
+    rows = _finish(_queues(docs, slices, seed, id_col, text_col, source_col), starts)
+    taken = [F.when((_time(k) < cut[0]) | ((_time(k) == cut[0]) & (F.col("rank_") <= cut[1])), 1).otherwise(0) for k in range(repeats)]
+    return rows.withColumn("copies", sum(taken, F.lit(0)))
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[float, ...] = (5.0, 2.0, 1.0),
@@ -61,60 +121,38 @@ def mix(
     """(id, size, source, source_size, target, taken, copies): what the mix takes of each row.
 
     Each source queues its documents in a shuffled order (a seeded hash of id and
-    text), `repeats` times over; a queued document's virtual finish time is the
-    source's words up to and with it, divided by the source's weight. Taking all
-    documents in order of finish time until the budget is used is the same as taking,
-    in every source, the queue up to the level that source_targets() finds, because
-    the level is the finish time at which the budget ends. A document is taken when
-    the middle of its span lies below the target, so a source ends within half a
-    document of it.
+    text), `repeats` times over; a queued copy's virtual finish time is the source's
+    words up to and with it, divided by the source's weight. All copies of all sources
+    are range-sorted by finish time, their words are added up in that order (by range,
+    and by row in the one range where the budget ends), and the order is truncated at
+    the budget: the last copy is taken if more than half of it fits. A source whose
+    copies are all taken leaves the rest to the others by weight, which is what
+    source_targets() computes; a source ends within about a document of its target.
 
     The running sums need no task that holds a whole source: a source's shuffled order
-    is cut into slices, 256 or as many as hold about `rows_per_slice` rows of all sources; slices are summed first, then
-    each slice is ordered by itself (a global range sort of (source, hash)) and starts
-    from the sum of those before it.
+    is cut into slices, 256 or as many as hold about `rows_per_slice` rows of all
+    sources; slices are summed first, then each is ordered by itself and starts from
+    the sum of those before it.
 
     Null text has size 0; a null source is a source of its own; a null id is allowed;
     repeated rows share the hash and are queued one after the other, each counted.
-    Zero-size documents are taken when the queue reaches them and count nothing.
+    Documents of no size are taken when the queue reaches them and count nothing.
     An empty table gives no rows. Extra columns are ignored.
     """
-    sized = docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"),
-        F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("h"),
-    )
-    sized = saved(sized, "mix-sizes")
-    slices = max(256, sized.count() // rows_per_slice)
-    # The sign-shifted high bits of the hash: slice k holds the k-th part of the shuffled order.
-    sized = sized.withColumn("slice", F.floor((F.shiftrightunsigned("h", 33).cast("double") / float(1 << 31)) * slices).cast("int"))
-    per_slice = sized.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"), F.count("*").alias("slice_rows"))
-    per_slice = saved(per_slice, "mix-slices")
-    targets = source_targets(per_slice.groupBy("source").agg(F.sum("slice_size").alias("source_size")), weights, budget, repeats)
-    run = W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    starts = per_slice.withColumn("before", F.coalesce(F.sum("slice_size").over(run), F.lit(0)))
-    key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))
-    starts = (
-        starts.withColumn("key", key).join(targets.withColumn("key", key).drop("source"), "key")
-        .select("key", "slice", "before", "source_size", "target")
-    )
-    order = W.partitionBy("key", "slice").orderBy(F.shiftrightunsigned("h", 33), "h", F.col("id").asc_nulls_last(), "size")
-    queued = sized.withColumn("key", key).withColumn(
-        "within", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
-    )
-    taken = queued.join(starts, ["key", "slice"]).withColumn("finish", F.col("before") + F.col("within"))
-    middle = F.col("finish") - F.col("size") / 2.0
-    copies = sum((F.when(middle + F.col("source_size") * k <= F.col("target"), 1).otherwise(0) for k in range(repeats)), F.lit(0))
-    return taken.withColumn("copies", copies).select(
+    with scratch(docs.sparkSession):
+        rows = _planned(docs, weights, budget, repeats, seed, id_col, text_col, source_col, rows_per_slice)
+    return rows.select(
         F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target",
         (F.col("copies") * F.col("size")).cast("long").alias("taken"), F.col("copies").cast("int").alias("copies"),
     )
 
 
-def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """The documents as often as the mix takes them, with their own columns."""
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    plan = mix(docs, **options).where("copies > 0").groupBy(F.col(id_col).alias("mix_id")).agg(F.max("copies").alias("mix_copies"))
-    return (
-        docs.join(plan, docs[id_col].eqNullSafe(plan["mix_id"])).withColumn("mix_k", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
-        .select(*[docs[c] for c in docs.columns])
-    )
+def apply_mix(
+    docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), budget: float = 1.5, repeats: int = 2, seed: int = 11,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", rows_per_slice: int = 50_000,
+) -> DataFrame:
+    """The rows of docs as often as mix() takes them, with their own columns, whatever these
+    are called. Rows that share an id, or have none, are each taken by their own count."""
+    with scratch(docs.sparkSession):
+        rows = _planned(docs, weights, budget, repeats, seed, id_col, text_col, source_col, rows_per_slice)
+    return rows.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

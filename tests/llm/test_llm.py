@@ -173,6 +173,43 @@ def test_mixing(spark):
     assert rows_out.count() == sum(r["copies"] for r in first) and rows_out.columns == docs_of(spark, []).columns
 
 
+def test_mixing_is_a_fair_queue(spark):
+    """What is taken equals a queue run by hand: copies in order of finish time until the budget ends."""
+    rows = corpus(7, 300)
+    mixed = {r["doc_id"]: r for r in mixing.mix(docs_of(spark, rows)).collect()}
+    hashes = {r[0]: r[1] for r in docs_of(spark, rows).select("doc_id", F.xxhash64(F.lit(11), "doc_id", "text")).collect()}
+    order = sorted({r[3] for r in rows if r[3] is not None}) + [None]
+    copies = []
+    for k, s in enumerate(order):
+        # Slices, and rows in them, go by the unsigned hash.
+        queue = sorted((i for i in mixed if mixed[i]["source"] == s), key=lambda i: hashes[i] % 2**64)
+        words = 0
+        for turn in range(2):
+            for i in queue:
+                words += mixed[i]["size"]
+                copies.append((words / (5, 2, 1)[k % 3], k, i))
+    used, taken = 0, dict.fromkeys(mixed, 0)
+    budget = 1.5 * sum(r["size"] for r in mixed.values())
+    for _, _, i in sorted(copies):
+        used += mixed[i]["size"]
+        if used - mixed[i]["size"] / 2 <= budget:
+            taken[i] += mixed[i]["size"]
+    assert {i: r["taken"] for i, r in mixed.items()} == taken
+
+
+def test_apply_mix_repeated_and_null_ids(spark):
+    rows = [(None, f"w{k} " * (k % 5 + 1), None, "a") for k in range(40)] + [(3, f"v{k} " * (k % 7 + 1), None, "b") for k in range(40)] + [(3, "same text", None, "b")] * 5
+    schema = "doc_id long, text string, lang string, source string, size long, key string, h long, copies int, row int"
+    docs = spark.createDataFrame([(*r, 1, "k", 2, 9, 4) for r in rows], schema).repartition(3)
+    want = sorted((r["doc_id"], r["size"]) for r in mixing.mix(docs).collect() for _ in range(r["copies"]) if r["doc_id"]) + [r["size"] for r in mixing.mix(docs).collect() for _ in range(r["copies"]) if not r["doc_id"]]
+    out = mixing.apply_mix(docs)
+    assert out.columns == docs.columns and {(r["size"], r["copies"], r["row"]) for r in out.collect()} == {(1, 9, 4)}
+    assert out.count() == len(want) and mixing.apply_mix(docs.limit(0)).count() == 0
+    a = sum(len(r["text"].split()) for r in out.where("source = 'a'").collect())
+    target = mixing.mix(docs).where("source = 'a'").first()["target"]
+    assert abs(a - target) <= 5
+
+
 def test_mixing_odd_rows(spark):
     assert mixing.mix(docs_of(spark, [])).count() == 0
     got = mixing.mix(docs_of(spark, [(None, None, None, None), (1, "", None, "a"), (1, "", None, "a")])).collect()
