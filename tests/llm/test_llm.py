@@ -143,6 +143,26 @@ def test_line_dedup_odd_rows(spark):
     assert line_dedup.dedup_lines(docs_of(spark, [])).count() == 0
 
 
+def test_line_dedup_hot_line(spark):
+    """A line of most documents is spread over several parts; its first document still keeps it."""
+    n = 6000
+    docs = spark.range(n).select((n - F.col("id")).alias("doc_id"), F.concat(F.lit("the very common line\nown line of "), F.col("id").cast("string"), F.lit("\nthe very common line")).alias("text"))
+    ranges = line_dedup.saved(line_dedup._lines(docs, "doc_id", "text", 10), "lines")
+    assert line_dedup._hot(ranges, 16).count() == 1
+    out = {r["doc_id"]: r["n_dropped"] for r in line_dedup.dedup_lines(docs).collect()}
+    assert out == {i: 0 if i == 1 else 2 for i in range(1, n + 1)}
+
+
+def test_line_dedup_clashing_names(spark):
+    line = "a line that repeats"
+    schema = "doc_id long, text string, kept_text int, n_lines int, n_dropped int, row int, `th` int, keep int, mark_id int, n_chars int, `a.b` int"
+    docs = spark.createDataFrame([(1, line, 1, 2, 3, 4, 5, 6, 7, 8, 9), (2, f"{line}\nown", 1, 2, 3, 4, 5, 6, 7, 8, 9), (3, line, 1, 2, 3, 4, 5, 6, 7, 8, 9), (4, None, 1, 2, 3, 4, 5, 6, 7, 8, 9)], schema)
+    out = line_dedup.dedup_lines(docs).collect()
+    assert {r["doc_id"]: (r["kept_text"], r["n_lines"], r["n_dropped"], r["row"], r["a.b"]) for r in out} == {1: (line, 1, 0, 4, 9), 2: ("own", 2, 1, 4, 9), 3: ("", 1, 1, 4, 9), 4: ("", 1, 0, 4, 9)}
+    left = line_dedup.without_repeated_lines(docs)
+    assert left.columns == docs.columns and {r[0]: (r["text"], r["n_lines"], r["n_chars"]) for r in left.collect()} == {1: (line, 2, 8), 2: ("own", 2, 3), 4: (None, 2, 8)}
+
+
 def test_mixing(spark):
     rows = corpus(3, 400)
     size = {r[0]: len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in rows}
