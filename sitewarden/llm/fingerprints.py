@@ -7,14 +7,18 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ._shared import saved, shuffle_partitions
+from ._shared import lasting, saved, scratch, shuffle_partitions
 from .minhash import in_parts, mix64, word_hashes
 
 FBITS = 128
 TERM_WORDS = 2
+#: Bits by which near fingerprints may differ, and the members of a bucket that are compared at once.
+RADIUS = 4
+CELL = 1024
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _SIGNS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64) * 2 - 1
 _PLACES = np.arange(FBITS // 8) * 256
@@ -76,28 +80,36 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     Buckets are ranges of ids between approximate quantiles; they decide where rows go,
     not what comes out. One shuffle of the texts; the only rows that move twice are the
-    buckets' first ones. Rows with a null id are a bucket of their own (-1) with no
-    successors."""
+    buckets' first ones. Rows with a null id are a bucket of their own for each partition
+    (-1 and below) with no successors. The driver and the tasks hold two numbers for each
+    bucket, four buckets for each shuffle partition."""
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     wanted = 4 * parts
-    bounds = docs.stat.approxQuantile(id_col, [k / wanted for k in range(1, wanted)], 0.25 / wanted)
-    bounds = sorted(set(bounds))
-    key = F.col("id")
-    bucket = F.when(key.isNull(), -1).otherwise(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= key))) if bounds else F.when(key.isNull(), -1).otherwise(0)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("bucket", bucket)
-    firsts = {r["bucket"]: r["first"] for r in rows.where("bucket >= 0").groupBy("bucket").agg(F.min("id").alias("first")).collect()}
-    order = sorted(firsts)
-    # A bucket's first id -> the bucket before it.
-    goes_to = {firsts[b]: order[i - 1] for i, b in enumerate(order)}
-    own = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("extra"))
-    if goes_to:
-        also = F.create_map(*[F.lit(x) for pair in goes_to.items() for x in pair])
-        places = F.when(key.isin(list(goes_to)), F.array(own, F.struct(also[key].alias("bucket"), F.lit(True).alias("extra")))).otherwise(F.array(own))
-    else:
-        places = F.array(own)
+    bounds = np.array(sorted(set(docs.stat.approxQuantile(id_col, [k / wanted for k in range(1, wanted)], 0.25 / wanted))))
+
+    @F.pandas_udf("int")
+    def bucket_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, ids.to_numpy(np.int64), side="right").astype(np.int32))
+
+    known = F.coalesce("id", F.lit(0).cast("long"))
+    lost = -1 - F.pmod(F.xxhash64("text"), F.lit(parts)).cast("int")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    found = rows.where("id is not null").groupBy(bucket_of("id").alias("bucket")).agg(F.min("id").alias("first")).orderBy("bucket").collect()
+    firsts, before = np.array([r["first"] for r in found], np.int64), np.array([r["bucket"] for r in [*found[-1:], *found[:-1]]], np.int32)
+
+    @F.pandas_udf("int")
+    def also_in(ids: pd.Series) -> pd.Series:
+        """The bucket before that of which the id is the first one; -1 for any other id."""
+        ids = ids.to_numpy(np.int64)
+        at = np.minimum(np.searchsorted(firsts, ids), max(0, len(firsts) - 1))
+        return pd.Series(np.where(firsts[at] == ids, before[at], -1) if len(firsts) else np.full(len(ids), -1), dtype=np.int32)
+
+    placed = rows.withColumn("bucket", F.when(F.col("id").isNull(), lost).otherwise(bucket_of(known))).withColumn("also", F.when(F.col("id").isNull(), -1).otherwise(also_in(known)))
+    own, again = F.struct("bucket", F.lit(False).alias("extra")), F.struct(F.col("also").alias("bucket"), F.lit(True).alias("extra"))
+    places = F.when(F.col("also") >= 0, F.array(own, again)).otherwise(F.array(own))
     return (
-        rows.select("id", "text", F.explode(places).alias("at")).select("at.bucket", "at.extra", "id", "text")
+        placed.select("id", "text", F.explode(places).alias("at")).select("at.bucket", "at.extra", "id", "text")
         .repartition(parts, "bucket").sortWithinPartitions("bucket", "extra", "id", "text")
     )
 
@@ -143,7 +155,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             for bucket, extra, key, text in zip(*(c.to_pylist() for c in batch.columns)):
                 text = text or ""
                 if held and bucket != held[-1][0]:
-                    # Only bucket -1, or a bucket whose extra row came already, ends without one.
+                    # Only a bucket below 0, or a bucket whose extra row came already, ends without one.
                     yield made(held, None)
                     held, size = [], 0
                 if extra:
@@ -163,39 +175,134 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return with_next(docs, id_col, text_col).mapInArrow(run, schema)
 
 
-def _halves(hex_col: Column) -> list[Column]:
-    """The fingerprint's 16-bit blocks as integers."""
-    return [F.conv(F.substring(hex_col, 1 + 4 * k, 4), 16, 10).cast("int") for k in range(FBITS // 16)]
+def block_tables(radius: int) -> tuple[np.ndarray, list[tuple[int, ...]]]:
+    """(block of each bit, choices): the permuted tables that find all fingerprints within
+    `radius` bits. Two such fingerprints differ in `radius` blocks at most, so of more
+    blocks they agree in the others: each table is keyed by one choice of blocks, and one
+    of the tables has the pair in a bucket. The blocks are the fewest with keys of 24 bits."""
+    if not 0 <= radius <= 16:
+        raise ValueError("radius must be 0 to 16")
+    blocks = next(b for b in range(radius + 1, FBITS) if (b - radius) * FBITS // b >= 24)
+    return np.arange(FBITS) * blocks // FBITS, list(combinations(range(blocks), blocks - radius))
+
+
+def _words(prints: np.ndarray) -> np.ndarray:
+    """Rows of 16 bytes as two 64-bit words each."""
+    return np.ascontiguousarray(prints).view(">u8").astype(np.uint64)
+
+
+def _keyed(classes: DataFrame, radius: int) -> DataFrame:
+    """(t, k, fp_id, hi, lo) of (fp_id, fp): each fingerprint's key in every table."""
+    block_of, choices = block_tables(radius)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = np.frombuffer(bytes.fromhex("".join(batch.column(1).to_pylist())), np.uint8).reshape(-1, FBITS // 8)
+            bits, words = np.unpackbits(raw, axis=1), _words(raw).view(np.int64)
+            for t, choice in enumerate(choices):
+                own = bits[:, np.isin(block_of, choice)]
+                key = np.zeros((len(raw), 64), np.uint8)
+                key[:, 64 - min(64, own.shape[1]) :] = own[:, :64]
+                k = np.packbits(key, axis=1).view(">u8")[:, 0].astype(np.uint64).view(np.int64)
+                columns = [pa.array(np.full(len(raw), t, np.int32)), pa.array(k), batch.column(0), pa.array(words[:, 0]), pa.array(words[:, 1])]
+                yield pa.RecordBatch.from_arrays(columns, names=["t", "k", "fp_id", "hi", "lo"])
+
+    return classes.select("fp_id", "fp").mapInArrow(run, "t int, k long, fp_id long, hi long, lo long")
+
+
+def _near_pairs(members: DataFrame, radius: int, counts: bool, cell: int = CELL) -> DataFrame:
+    """All pairs within the radius among members (t, k, fp_id, hi, lo, m) of buckets with m rows:
+    as (a, b, distance), or with `counts` as (fp_id, n), the number of pairs that each is in.
 
+    Buckets of up to `cell` members go together into groups of about so many rows; a larger
+    one is cut into cells, and each pair of cells is a group of its own. A pair counts in
+    the first table that has it in a bucket."""
+    block_of, choices = block_tables(radius)
+    masks = np.array([_words(np.packbits(block_of == b)[None])[0] for b in range(block_of[-1] + 1)])
+    # The first table of each set of agreeing blocks.
+    first = np.array([next((t for t, c in enumerate(choices) if all(have >> b & 1 for b in c)), -1) for have in range(1 << len(masks))])
+    names = ["fp_id", "n"] if counts else ["a", "b", "distance"]
 
-def near_fingerprints(prints: DataFrame, radius: int = 6, id_col: str = "doc_id", fp_col: str = "fingerprint") -> tuple[DataFrame, DataFrame]:
+    def compare(t: int, ids_a, xa, ids_b, xb, same: bool) -> Iterator[list[np.ndarray]]:
+        for i in range(0, len(ids_a), 512):
+            differ = np.bitwise_count(xa[i : i + 512, None, 0] ^ xb[None, :, 0]) + np.bitwise_count(xa[i : i + 512, None, 1] ^ xb[None, :, 1])
+            near = differ <= radius
+            if same:
+                near &= np.arange(i, i + len(near))[:, None] < np.arange(len(ids_b))[None, :]
+            a, b = np.nonzero(near)
+            apart = xa[i + a] ^ xb[b]
+            agree = sum(((apart & m) == 0).all(axis=1).astype(np.int64) << j for j, m in enumerate(masks))
+            own = first[agree] == t
+            a, b = a[own], b[own]
+            x, y = ids_a[i + a], ids_b[b]
+            if counts:
+                ids, n = np.unique(np.r_[x, y], return_counts=True)
+                yield [ids, n]
+            else:
+                yield [np.minimum(x, y), np.maximum(x, y), differ[a, b].astype(np.int64)]
+
+    def table(found: list[list[np.ndarray]]) -> pa.Table:
+        return pa.table({n: np.concatenate([x[j] for x in found] or [np.empty(0, np.int64)]).astype(np.int64) for j, n in enumerate(names)})
+
+    def parts(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return np.asarray(t["fp_id"]), np.stack([np.asarray(t["hi"]), np.asarray(t["lo"])], axis=1).view(np.uint64)
+
+    def in_group(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("t", "ascending"), ("k", "ascending")])
+        (ids, x), at, k = parts(t), np.asarray(t["t"]), np.asarray(t["k"])
+        edges = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (k[1:] != k[:-1]), True])
+        return table([out for i, j in zip(edges[:-1], edges[1:]) for out in compare(at[i], ids[i:j], x[i:j], ids[i:j], x[i:j], True)])
+
+    def in_cells(t: pa.Table) -> pa.Table:
+        low, high = t["low"][0].as_py(), t["high"][0].as_py()
+        (ids, x), own = parts(t), np.asarray(t["cell"])
+        a, b = np.flatnonzero(own == low), np.flatnonzero(own == high)
+        return table(list(compare(t["t"][0].as_py(), ids[a], x[a], ids[b], x[b], low == high)))
+
+    kinds = ", ".join(f"{n} long" for n in names)
+    few = members.where(F.col("m") <= cell)
+    groups = max(1, -(-few.count() // (2 * cell)))
+    by_group = few.withColumn("group", F.pmod(F.xxhash64("t", "k"), F.lit(groups))).groupBy("group").applyInArrow(in_group, kinds)
+    many = members.where(F.col("m") > cell).withColumn("cells", F.ceil(F.col("m") / cell).cast("int"))
+    many = many.withColumn("cell", F.pmod(F.xxhash64("fp_id", "t"), F.col("cells")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    many = many.select("t", "k", "fp_id", "hi", "lo", "cell", F.least("cell", "other").alias("low"), F.greatest("cell", "other").alias("high"))
+    out = by_group.unionAll(many.groupBy("t", "k", "low", "high").applyInArrow(in_cells, kinds))
+    return out.groupBy("fp_id").agg(F.sum("n").alias("n")) if counts else out
+
+
+def _classes(prints: DataFrame, id_col: str, fp_col: str) -> DataFrame:
+    """(fp, fp_id): each fingerprint and the smallest id that has it."""
+    rows = prints.where(F.col(id_col).isNotNull() & F.col(fp_col).isNotNull())
+    return rows.groupBy(F.col(fp_col).alias("fp")).agg(F.min(F.col(id_col).cast("long")).alias("fp_id"))
+
+
+def _buckets(classes: DataFrame, radius: int) -> DataFrame:
+    """_keyed() rows of buckets with several fingerprints, with their number m."""
+    keyed = _keyed(classes, radius)
+    sizes = saved(keyed.groupBy("t", "k").agg(F.count("*").alias("m")).where("m > 1"), "fingerprint-buckets")
+    return saved(keyed.join(sizes, ["t", "k"]), "fingerprint-tables")
+
+
+def near_fingerprints(prints: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", fp_col: str = "fingerprint") -> tuple[DataFrame, DataFrame]:
     """All fingerprints within `radius` bits: (pairs, members).
 
     members: (id, fp_id), fp_id being the smallest id with the same fingerprint; pairs:
-    (a, b, distance) of such ids with different fingerprints. 128 bits are 8 blocks of
-    16; two fingerprints within the radius differ in `radius` blocks at most, so they agree
-    in the others: one table for each choice of 8 - radius blocks, keyed by them, holds
-    every such pair in a bucket. radius is 0 to 7. A pair is reported by the first table
-    that has it. Null ids and fingerprints are left out."""
-    if not 0 <= radius < FBITS // 16:
-        raise ValueError("radius must be 0 to 7")
-    rows = prints.where(F.col(id_col).isNotNull() & F.col(fp_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(fp_col).alias("fp"))
-    classes = saved(rows.groupBy("fp").agg(F.min("id").alias("fp_id")), "fingerprints")
-    blocks = classes.select("fp_id", F.array(*_halves(F.col("fp"))).alias("w"))
-    choices = list(combinations(range(FBITS // 16), FBITS // 16 - radius))
-    keys = F.array(*[F.struct(F.lit(t).alias("t"), F.concat_ws(",", *[F.col("w")[k].cast("string") for k in c]).alias("k")) for t, c in enumerate(choices)])
-    keyed = blocks.select("fp_id", "w", F.explode(keys).alias("key")).select("fp_id", "w", "key.t", "key.k")
-    shared = keyed.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    keyed = saved(keyed.join(shared, ["t", "k"]), "fingerprint-tables")
-    x = keyed.select("t", "k", F.col("fp_id").alias("a"), F.col("w").alias("wa"))
-    y = keyed.select("t", "k", F.col("fp_id").alias("b"), F.col("w").alias("wb"))
-    differ = F.zip_with("wa", "wb", lambda p, q: F.bit_count(p.bitwiseXOR(q)))
-    same = F.zip_with("wa", "wb", lambda p, q: p == q)
-    # The first choice, in order of the tables, whose blocks all agree.
-    first = F.array_position(F.transform(F.array(*[F.array(*map(F.lit, c)) for c in choices]), lambda c: F.forall(c, lambda i: F.element_at("same", i + 1))), True)
-    pairs = (
-        x.join(y, ["t", "k"]).where("a < b").withColumn("distance", F.aggregate(differ, F.lit(0), lambda s, d: s + d)).where(F.col("distance") <= radius)
-        .withColumn("same", same).where(first == F.col("t") + 1).select("a", "b", "distance")
-    )
-    members = rows.join(classes, "fp").select(F.col("id").alias(id_col), "fp_id")
+    (a, b, distance) of such ids with different fingerprints, found by block_tables().
+    Null ids and fingerprints are left out. Pairs of a group of m near copies are m * m:
+    with_near_counts() tells their number without making them."""
+    with scratch(prints.sparkSession):
+        classes = lasting(saved(_classes(prints, id_col, fp_col), "fingerprints"))
+        pairs = lasting(saved(_near_pairs(_buckets(classes, radius), radius, False), "fingerprint-pairs"))
+    members = prints.select(F.col(id_col), F.col(fp_col).alias("fp")).where(F.col(id_col).isNotNull()).join(classes, "fp").select(id_col, "fp_id")
     return pairs, members
+
+
+def with_near_counts(prints: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", fp_col: str = "fingerprint") -> DataFrame:
+    """prints with fp_id, the smallest id with the same fingerprint, and n_near, the number of
+    other fingerprints within `radius` bits. Null ids count for none and get null."""
+    with scratch(prints.sparkSession):
+        classes = saved(_classes(prints, id_col, fp_col), "fingerprints")
+        n = _near_pairs(_buckets(classes, radius), radius, True)
+        found = lasting(saved(classes.join(n, "fp_id", "left").select("fp", "fp_id", F.coalesce("n", F.lit(0).cast("long")).alias("n_near")), "fingerprint-counts"))
+    both = prints.join(found, (prints[fp_col] == found["fp"]) & prints[id_col].isNotNull(), "left")
+    return both.select(*[prints[c] for c in prints.columns], "fp_id", "n_near")

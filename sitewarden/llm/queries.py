@@ -24,7 +24,8 @@ def op7_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+    prints = saved(fingerprints.edited_fingerprints(table(spark, sf_dir, "documents")), "edited-fingerprints")
+    return fingerprints.with_near_counts(prints)
 
 
 def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -337,23 +337,61 @@ def test_edited_fingerprints(spark):
     assert {r["edited_sha256"] for r in odd} == {hashlib.sha256(x).hexdigest() for x in (b"abc", b"efg", b"ijki")}
 
 
-def test_near_fingerprints(spark):
+@pytest.mark.parametrize("radius", [0, 4, 6, 9])
+def test_near_fingerprints(spark, radius):
     rng = random.Random(2)
     prints = [rng.getrandbits(128) for _ in range(30)]
     for p in prints[:20]:
         for _ in range(3):
             prints.append(p ^ sum(1 << b for b in rng.sample(range(128), rng.randint(0, 9))))
+    prints += [prints[0] ^ 1 << k for k in range(20)]
     df = spark.createDataFrame([(i, f"{p:032x}") for i, p in enumerate(prints)] + [(None, "0" * 32), (99999, None)], "doc_id long, fingerprint string")
-    pairs, members = fingerprints.near_fingerprints(df, 6)
+    pairs, members = fingerprints.near_fingerprints(df, radius)
     name = {r["doc_id"]: r["fp_id"] for r in members.collect()}
     want = {}
     for i, p in enumerate(prints):
         for j in range(i):
             d = (p ^ prints[j]).bit_count()
-            if 0 < d <= 6:
+            if 0 < d <= radius:
                 want[tuple(sorted((name[i], name[j])))] = d
     rows = pairs.collect()
     assert {(r["a"], r["b"]): r["distance"] for r in rows} == want and len(rows) == len(want)
+    counted = {r["doc_id"]: (r["fp_id"], r["n_near"]) for r in fingerprints.with_near_counts(df, radius).collect()}
+    assert counted == {i: (name[i], sum(name[i] in p for p in want)) for i in name} | {None: (None, None), 99999: (None, None)}
+
+
+def test_near_fingerprints_hot_bucket(spark):
+    """A bucket larger than a cell is compared in pairs of cells, with the same result."""
+    rng = random.Random(3)
+    prints = list({rng.getrandbits(20) << 50 for _ in range(400)})
+    df = spark.createDataFrame([(i, f"{p:032x}") for i, p in enumerate(prints)], "doc_id long, fingerprint string")
+    classes = fingerprints._classes(df, "doc_id", "fingerprint")
+    got = {r["fp_id"]: r["n"] for r in fingerprints._near_pairs(fingerprints._buckets(classes, 4), 4, True, cell=32).collect()}
+    want = {i: sum(0 < (p ^ q).bit_count() <= 4 for q in prints) for i, p in enumerate(prints)}
+    assert got == {i: n for i, n in want.items() if n} and len(got) > 100
+
+
+def test_simhash_votes():
+    """A fingerprint equals a plain count of votes, term by term and bit by bit."""
+    for text in ["one", "two Words", "a b a b c d e f g a b", "ÄA b\tc  D"]:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        hashes, _ = minhash.word_hashes([w.encode() for w in words], {})
+        mask = 2**64 - 1
+
+        def mix(x):
+            x = ((x ^ x >> 30) * int(minhash._MIX1)) & mask
+            x = ((x ^ x >> 27) * int(minhash._MIX2)) & mask
+            return x ^ x >> 31
+
+        golden, h = int(minhash._GOLDEN), [int(x) for x in hashes]
+        terms = [mix((a * golden + b) & mask) for a, b in zip(h, h[1:])] or h
+        votes = [0.0] * 128
+        for term in set(terms):
+            raw = term.to_bytes(8, "little") + mix((term * golden) & mask).to_bytes(8, "little")
+            for bit in range(128):
+                votes[bit] += (1 if raw[bit // 8] >> (7 - bit % 8) & 1 else -1) * (1 + np.log(terms.count(term)))
+        want = sum(int(v > 1e-9) << (127 - k) for k, v in enumerate(votes))
+        assert fingerprints.simhash([text.encode()], {})[0].tobytes().hex() == f"{want:032x}"
 
 
 VECS = "vec_id long, embedding array<float>, label int, id long, label2 string"
