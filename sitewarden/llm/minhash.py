@@ -9,13 +9,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import drop_saved, saved
+from ._shared import lasting, saved, scratch
 from .components import connected_components
 
 WORDS = 5
 BANDS, ROWS = 40, 5
 PIVOTS = 3
-CELL = 256
+#: A bucket that has to be compared in full is cut into cells of so many members and shingles.
+CELL, MOST_CELL = 256, 1024
+CELL_SHINGLES = 1 << 20
 
 # Odd 64-bit constants of the mixing steps below (splitmix64 and the golden ratio). Fixed values.
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -148,8 +150,8 @@ def _bytes(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int, rows: int) -> DataFrame:
-    """(id, n_shingles, sig, bands): the size of each row's shingle set, a 128-bit digest of it
-    and its band keys (null for an empty set)."""
+    """(id, text_hash, n_shingles, sig, bands): the size of each row's shingle set, a 128-bit
+    digest of it and its band keys (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers: dict = {}
@@ -164,30 +166,30 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int
             ends = pa.array(np.arange(0, (len(batch) + 1) * bands, bands, dtype=np.int32))
             listed = pa.ListArray.from_arrays(ends, pa.array(keys.ravel()), mask=pa.array([x is None for x in sig], pa.bool_()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), listed], names=["id", "n_shingles", "sig", "bands"]
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), listed], names=["id", "text_hash", "n_shingles", "sig", "bands"]
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "id long, n_shingles long, sig binary, bands array<long>"
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).mapInArrow(
+        run, "id long, text_hash long, n_shingles long, sig binary, bands array<long>"
     )
 
 
 def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
-    """(id, shingles) of (id, text)."""
+    """(rep, shingles) of (rep, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers: dict = {}
         for batch in batches:
             sets = [s.view(np.int64) for part in in_parts(_bytes(batch, "text")) for s in shingle_sets(part, words, powers)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "shingles"])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, shingles array<long>")
+    return texts.select("rep", "text").mapInArrow(run, "rep long, shingles array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+    left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     return (
         pairs.join(left, "a").join(right, "b")
@@ -195,9 +197,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _split_buckets(members: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """(key, rep, n, c) of the buckets whose members lie in several components c, if two of
-    them could be similar enough by their sizes."""
+def _split_buckets(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """(key, rep, n, c) of the buckets whose members lie in several components c."""
     placed = saved(
         members.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component_id", "rep").alias("c")), "placed"
     )
@@ -224,31 +225,78 @@ def _common(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     return out
 
 
-def _block_links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _block_links(buckets: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The links (a, b) between members of a bucket in different components. A bucket is cut
-    into cells of about CELL members, and each pair of cells is one block that is
-    compared at once on full sets; only links come out."""
-    sizes = saved(buckets.groupBy("key").agg(F.count("*").alias("m")), "bucket-sizes")
-    cells = F.ceil(F.col("m") / CELL).cast("int")
+    into cells, bounded by members and by shingles, and each pair of cells is one block
+    that is compared at once on full sets; only links come out. A pair is compared in the
+    first of its common buckets."""
+    sizes = saved(buckets.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("total")), "bucket-sizes")
+    most = F.least(F.lit(MOST_CELL), F.greatest(F.lit(CELL), F.floor(F.col("m") / 8)))
+    cells = F.ceil(F.greatest(F.col("m") / most, F.col("total") / CELL_SHINGLES)).cast("int")
     rows = (
         buckets.join(sizes, "key").withColumn("cells", cells).withColumn("cell", F.pmod(F.xxhash64("rep", "key"), F.col("cells")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-        .select("key", "rep", "c", F.least("cell", "other").alias("low"), F.greatest("cell", "other").alias("high"), "cell")
-        .join(sets.withColumnRenamed("id", "rep"), "rep")
+        .select("key", "rep", "c", "n", F.least("cell", "other").alias("low"), F.greatest("cell", "other").alias("high"), "cell")
+        .join(sets, "rep").join(classes.select("rep", "bands"), "rep")
     )
 
     def run(t: pa.Table) -> pa.Table:
-        rep, c, cell = (np.asarray(t[k]) for k in ("rep", "c", "cell"))
-        found = [np.asarray(x.values) for x in t["shingles"]]
-        n = np.array([len(x) for x in found])
-        both = _common(found)
-        hit = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (c[:, None] != c[None, :]) & (rep[:, None] < rep[None, :])
+        rep, c, n, cell = (np.asarray(t[k]) for k in ("rep", "c", "n", "cell"))
+        bands = np.asarray(t["bands"].combine_chunks().flatten()).reshape(len(t), -1)
+        fits = 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
+        wanted = fits & (c[:, None] != c[None, :]) & (rep[:, None] < rep[None, :])
         if t["low"][0] != t["high"][0]:
-            hit &= cell[:, None] != cell[None, :]
-        a, b = np.nonzero(hit)
-        return pa.table({"a": rep[a], "b": rep[b]})
-
-    return rows.groupBy("key", "low", "high").applyInArrow(run, "a long, b long").distinct()
+            wanted &= cell[:, None] != cell[None, :]
+        own = np.flatnonzero(bands[0] == t["key"][0].as_py())[0]
+        for k in range(own):
+            wanted &= bands[:, k][:, None] != bands[:, k][None, :]
+        used = np.flatnonzero(wanted.any(axis=0) | wanted.any(axis=1))
+        if not len(used):
+            return pa.table({"a": rep[:0], "b": rep[:0]})
+        listed = t["shingles"].combine_chunks().take(pa.array(used))
+        both = _common([np.asarray(x.values) for x in listed])
+        n = n[used]
+        a, b = np.nonzero((100 * both >= percent * (n[:, None] + n[None, :] - both)) & wanted[np.ix_(used, used)])
+        return pa.table({"a": rep[used][a], "b": rep[used][b]})
+
+    return rows.groupBy("key", "low", "high").applyInArrow(run, "a long, b long")
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """(id, text_hash, n_shingles, first struct<id, text_hash>) of every row of docs, first being
+    the smallest row of its component; null for rows that link with nothing."""
+    text = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    made = lasting(saved(sketches(docs, id_col, text_col, words, bands, rows), "sketches"))
+    # Ids may repeat with other texts, so each class gets a number of its own.
+    classes = made.where("sig is not null and id is not null").groupBy("sig").agg(
+        F.min(F.struct("id", "text_hash")).alias("first"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")
+    )
+    classes = saved(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    keyed = classes.select("rep", "n", F.explode("bands").alias("key"))
+    # Tables of their own, here and below: then both sides of a join on buckets are shuffles, and a hot bucket can be split.
+    heads = saved(keyed.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head < last").drop("last"), "heads")
+    members = saved(keyed.join(heads, "key").select("key", "rep", "n", "head"), "members")
+    stars = saved(members.where("head < rep").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
+    # One row of each class has the text that its set comes from.
+    wanted = classes.join(members.select("rep").distinct(), "rep").select("rep", "first.id", "first.text_hash")
+    sets = saved(_shingle_sets(text.join(wanted, ["id", "text_hash"]).dropDuplicates(["rep"]), words), "shingles")
+    links = saved(_verified(stars, sets, percent), "links")
+    placed = _split_buckets(members.select("key", "rep", "n"), connected_components(links))
+    pivots = [F.min(F.struct(F.xxhash64(F.lit(k), "key", "rep"), F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))).alias(f"p{k}") for k in range(PIVOTS)]
+    chosen = placed.groupBy("key").agg(*pivots).select("key", F.explode(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("p")).select("key", "p.b", "p.cb", "p.nb")
+    chosen = saved(chosen, "pivots")
+    fits = 100 * F.least("n", "nb") >= percent * F.greatest("n", "nb")
+    second = placed.join(chosen, "key").where((F.col("c") != F.col("cb")) & fits).select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
+    links = links.unionAll(saved(_verified(saved(second, "pairs"), sets, percent), "links"))
+    placed = _split_buckets(placed.select("key", "rep", "n"), connected_components(links))
+    final = connected_components(links.unionAll(saved(_block_links(placed, classes, sets, percent), "links")))
+    grouped = final.select(F.col("id").alias("rep"), F.col("component_id").alias("g")).join(classes.select("rep", "first"), "rep")
+    firsts = grouped.groupBy("g").agg(F.min("first").alias("least"))
+    grouped = grouped.select("rep", "g").join(firsts, "g").select("rep", "least")
+    by_sig = lasting(saved(classes.join(grouped, "rep", "left").select("sig", F.coalesce("least", "first").alias("first")), "by-class"))
+    return made.select("id", "text_hash", "n_shingles", "sig").join(by_sig, "sig", "left").select(
+        "id", "text_hash", "n_shingles", F.when(F.col("id").isNotNull(), F.col("first")).alias("first")
+    )
 
 
 def near_duplicates(
@@ -263,8 +311,8 @@ def near_duplicates(
     """(id, n_shingles, component_id, kept), one row for each row of docs.
 
     1. One pass over the texts makes shingle sets, their sketches and band keys.
-    2. Rows with equal sets are one class, named by its smallest id; only classes go on.
-    3. Every class of a band bucket is paired with the bucket's smallest class. These
+    2. Rows with equal sets are one class; only classes go on.
+    3. Every class of a band bucket is paired with the bucket's first class. These
        stars are verified on full sets and joined to components.
     4. In buckets that still hold several components, three more members, drawn by a hash
        of member and bucket, are paired with all others in the same way.
@@ -277,45 +325,28 @@ def near_duplicates(
 
     Null or empty text, or text without words: n_shingles 0, linked with nothing.
     A null id: component_id null, kept, linked with nothing. Rows that repeat an id
-    each follow their own text. Ids are integers. An empty table gives no rows.
+    each follow their own text. Ids are integers; further columns are not read. An empty
+    table gives no rows.
     """
-    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    made = saved(sketches(docs, id_col, text_col, words, bands, rows), "sketches")
-    classes = saved(
-        made.where("sig is not null and id is not null").groupBy("sig")
-        .agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")),
-        "classes",
-    )
-    keyed = classes.select("rep", "n", F.explode("bands").alias("key"))
-    # Tables of their own, here and below: then both sides of a join on buckets are shuffles, and a hot bucket can be split.
-    heads = saved(keyed.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head < last").drop("last"), "heads")
-    members = saved(keyed.join(heads, "key").select("key", "rep", "n", "head"), "members")
-    stars = saved(members.where("head < rep").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
-    wanted = members.select(F.col("rep").alias("id")).distinct()
-    # A class's smallest id may stand for rows with other texts, if ids repeat: the set must be the class's own.
-    sets = saved(_shingle_sets(text.join(wanted, "id").distinct(), words).dropDuplicates(["id"]), "shingles")
-    links = saved(_verified(stars, sets, percent), "links")
-    placed = _split_buckets(members.select("key", "rep", "n"), connected_components(links), percent)
-    pivots = [F.min(F.struct(F.xxhash64(F.lit(k), "key", "rep"), F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))).alias(f"p{k}") for k in range(PIVOTS)]
-    chosen = placed.groupBy("key").agg(*pivots).select("key", F.explode(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("p")).select("key", "p.b", "p.cb", "p.nb")
-    chosen = saved(chosen, "pivots")
-    fits = 100 * F.least("n", "nb") >= percent * F.greatest("n", "nb")
-    second = placed.join(chosen, "key").where((F.col("c") != F.col("cb")) & fits).select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
-    links = links.unionAll(saved(_verified(saved(second, "pairs"), sets, percent), "links"))
-    placed = _split_buckets(placed.select("key", "rep", "n"), connected_components(links), percent)
-    final = connected_components(links.unionAll(saved(_block_links(placed, sets, percent), "links")))
-    by_sig = saved(
-        classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("sig", F.coalesce("component_id", "rep").alias("component_id")),
-        "by-class",
-    )
-    out = made.select("id", "n_shingles", "sig").join(by_sig, "sig", "left")
-    component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "id"))
-    return out.select(
+    with scratch(docs.sparkSession):
+        found = _components(docs, id_col, text_col, words, percent, bands, rows)
+    component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("first.id", "id"))
+    return found.select(
         F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept")
     )
 
 
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that near_duplicates() keeps: one of each group, in the columns of docs."""
-    gone = near_duplicates(docs, id_col=id_col, **options).where("not kept").select(F.col(id_col).alias("nd_id"))
-    return docs.join(gone.distinct(), docs[id_col] == F.col("nd_id"), "left_anti")
+def keep_representatives(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = 75, bands: int = BANDS, rows: int = ROWS
+) -> DataFrame:
+    """One row of each group of near duplicates, in the columns of docs, whatever these are
+    called: the one with the smallest id. Of rows that share id and text one stays, and of
+    a group's rows that share the smallest id but not the text as well. Rows with a null id
+    stay; texts without words are no group, so each id with one stays."""
+    with scratch(docs.sparkSession):
+        found = _components(docs, id_col, text_col, words, percent, bands, rows)
+        stay = found.where("id is not null and (first is null or (id = first.id and text_hash = first.text_hash))")
+        stay = lasting(saved(stay.select(F.col("id").alias("stay_id"), F.col("text_hash").alias("stay_hash")).distinct(), "representatives"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"))
+    chosen = packed.join(stay, (F.col("id") == F.col("stay_id")) & (F.col("text_hash") == F.col("stay_hash"))).groupBy("id", "text_hash").agg(F.first("row").alias("row"))
+    return chosen.select("row").unionAll(packed.where("id is null").select("row")).select("row.*")

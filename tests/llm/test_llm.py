@@ -89,6 +89,27 @@ def test_minhash_odd_rows(spark):
     assert minhash.near_duplicates(docs_of(spark, [])).count() == 0
 
 
+def test_minhash_repeated_ids(spark):
+    """Rows that repeat an id with other texts follow their own text, in every order."""
+    a, b, c = "a b c d e f g h i j", "k l m n o p q r s t", "u v w x y z 1 2 3 4"
+    rows = [(5, a, None, None), (5, b, None, None), (7, a + " end", None, None), (8, b + " end", None, None), (6, c, None, None), (6, c, None, None), (4, "", None, None), (4, None, None, None)]
+    for order in (rows, rows[::-1]):
+        got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs_of(spark, order)).collect()), key=str)
+        assert got == sorted([(5, 6, 5, True), (5, 6, 5, True), (7, 7, 5, False), (8, 7, 5, False), (6, 6, 6, True), (6, 6, 6, True), (4, 0, 4, True), (4, 0, 4, True)], key=str)
+        kept = minhash.keep_representatives(docs_of(spark, [*order, (None, a, None, None)]))
+        assert kept.columns == docs_of(spark, []).columns
+        assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(5, a), (5, b), (6, c), (4, ""), (4, None), (None, a)], key=str)
+    near = [(5, a, None, None), (5, a + " end", None, None)]
+    assert minhash.keep_representatives(docs_of(spark, near)).count() == 1 and minhash.keep_representatives(docs_of(spark, [])).count() == 0
+
+
+def test_minhash_cells(spark, monkeypatch):
+    """Buckets cut into many cells give the same links."""
+    monkeypatch.setattr(minhash, "CELL", 4)
+    monkeypatch.setattr(minhash, "MOST_CELL", 4)
+    test_minhash_split_buckets(spark)
+
+
 def test_minhash_split_buckets(spark):
     """A chain of texts that drift apart: buckets hold several components before blocks join them."""
     rng = random.Random(5)
