@@ -11,48 +11,63 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 DIM = 2048
 GRAM = 3
-BITS = 6
+BITS = 8
 SYMBOLS = 1 << BITS
 SEED = 20240
 UNDETERMINED = "und"
 #: Cosines of unrelated texts scatter around 0 with a deviation of 1 / sqrt(DIM).
 NOISE = DIM**-0.5
+#: Texts with fewer n-grams are too short to be rejected for their score.
+SHORT = 30
+#: A document's bundle of length one as whole numbers: sums don't depend on their order.
+UNIT = 1 << 20
 
 
+@functools.cache
 def symbol_table() -> np.ndarray:
-    """The symbol of every code point up to U+FFFF after lower-casing: 0 for anything that
-    is no letter, 1 to 26 for a-z, the other symbols shared by all other letters."""
-    out = np.zeros(0x10000, np.uint8)
-    for cp in range(0x10000):
+    """The symbol of every code point after lower-casing: 0 for anything that is no letter, 1 to
+    26 for a-z, and one of the other 229, by a hash, for any other letter."""
+    out = np.zeros(0x110000, np.uint8)
+    for cp in range(0x110000):
         c = chr(cp)
-        if not 0xD800 <= cp < 0xE000 and c.isalpha():
+        if c.isalpha():
             low = ord(c.lower()[0])
             out[cp] = low - 96 if 97 <= low <= 122 else 27 + (low * 2654435761 >> 9) % (SYMBOLS - 27)
     return out
 
 
 @functools.cache
-def letter_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """The letters' random vectors of +1 and -1, and for each pair of letters the product of
-    the first one's, rotated twice, and the second one's, rotated once. A third letter's
-    vector binds to a pair by another product: rotations make the order count."""
+def letter_vectors() -> np.ndarray:
+    """The symbols' random vectors of +1 and -1, once as they are and rotated by one and by two
+    places (GRAM x symbols x DIM). An n-gram's vector is the product of its letters'
+    vectors, rotated by their distance from its end: rotations make the order count."""
     letters = (np.random.default_rng(SEED).integers(0, 2, (SYMBOLS, DIM), dtype=np.int8) * 2 - 1).astype(np.float32)
-    pairs = np.roll(letters, 2, axis=1)[:, None, :] * np.roll(letters, 1, axis=1)[None, :, :]
-    return letters, pairs.reshape(-1, DIM)
+    return np.stack([np.roll(letters, k, axis=1) for k in range(GRAM)])
 
 
-def bundle(weights: np.ndarray) -> np.ndarray:
-    """The sum of all n-gram vectors times their weights (one weight for each code)."""
-    letters, pairs = letter_vectors()
-    return ((weights.reshape(-1, SYMBOLS).astype(np.float32) @ letters) * pairs).sum(axis=0, dtype=np.float64)
+def gram_vectors(codes: np.ndarray) -> np.ndarray:
+    """The vectors of n-grams (codes x DIM)."""
+    rotated, out = letter_vectors(), None
+    for k in range(GRAM):
+        v = rotated[k][codes >> (BITS * k) & (SYMBOLS - 1)]
+        out = v if out is None else out * v
+    return out
 
 
-def gram_dots(vectors: np.ndarray) -> np.ndarray:
-    """The dot product of every n-gram's vector with each row of vectors (codes x rows). The
-    dot product of a text's bundle with that row is then the sum over the text's n-grams."""
-    letters, pairs = letter_vectors()
-    out = [((pairs * v.astype(np.float32)) @ letters.T).ravel() for v in vectors]
-    return np.stack(out, axis=1) if out else np.zeros((SYMBOLS**GRAM, 0), np.float32)
+def bundles(rows: np.ndarray, codes: np.ndarray, n: np.ndarray, texts: int, most_grams: int = 4096) -> np.ndarray:
+    """The sums of all n-gram vectors of each of `texts` texts, n times each (texts x DIM). All
+    sums are whole numbers, so they don't depend on what else is in the batch."""
+    out = np.zeros((texts, DIM), np.float32)
+    distinct, at = np.unique(codes, return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    rows, at, n = rows[order], at[order], n[order]
+    for start in range(0, len(distinct), most_grams):
+        part = slice(*np.searchsorted(at, [start, start + most_grams]))
+        own = distinct[start : start + most_grams]
+        counts = np.zeros((texts, len(own)), np.float32)
+        counts[rows[part], at[part] - start] = n[part]
+        out += counts @ gram_vectors(own)
+    return out
 
 
 class GramCounter:
@@ -68,7 +83,7 @@ class GramCounter:
         wide = [(t or b"").decode("utf-8", "replace").encode("utf-32-le") for t in texts]
         points = np.frombuffer(b"\0\0\0\0".join(wide) + b"\0\0\0\0", np.uint32)
         ends = np.cumsum([len(w) // 4 + 1 for w in wide])
-        symbols = np.where(points < 0x10000, self.symbols[np.minimum(points, 0xFFFF)], 0)
+        symbols = self.symbols[points]
         keep = np.ones(len(symbols), bool)
         keep[1:] = (symbols[1:] != 0) | (symbols[:-1] != 0)
         kept = symbols[keep].astype(np.int64)
@@ -87,7 +102,7 @@ class GramCounter:
         return key[first] >> (BITS * GRAM), key[first] & (SYMBOLS**GRAM - 1), n, has
 
 
-def parts_of(texts: list[bytes | None], most_bytes: int = 1 << 20) -> Iterator[slice]:
+def parts_of(texts: list[bytes | None], most_bytes: int = 1 << 19) -> Iterator[slice]:
     """Slices of texts of about so many bytes; a longer text is a slice of its own."""
     start = size = 0
     for i, t in enumerate(texts):
@@ -114,26 +129,22 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
     documents' bundles, each scaled to length one, scaled to length one itself.
 
     All rows with a language count. Every partition makes one sum per language, and the
-    sums are added by language: one vector for each language reaches the driver. Without
-    rows there is no language."""
+    sums, of whole numbers, are added by language: one vector of DIM numbers for each
+    language reaches the driver. Without rows there is no language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, sums = None, {}
+        counter, sums = GramCounter(), {}
         for batch in batches:
-            counter = counter or GramCounter()
             texts, langs = _texts(batch.column(0)), np.array(batch.column(1).to_pylist(), object)
             for part in parts_of(texts):
                 rows, codes, n, _ = counter.counts(texts[part])
                 own = langs[part]
-                length = np.sqrt(np.bincount(rows, n.astype(float) ** 2, len(own)))
-                w = n / np.maximum(length, 1)[rows]
+                found = bundles(rows, codes, n, len(own)).astype(np.float64)
+                length = np.sqrt((found * found).sum(axis=1, keepdims=True))
+                units = np.rint(found / np.maximum(length, 1) * UNIT).astype(np.int64)
                 for lang in set(own):
-                    mine = (own == lang)[rows]
-                    sums.setdefault(lang, np.zeros(SYMBOLS**GRAM))
-                    np.add.at(sums[lang], codes[mine], w[mine])
-        for lang, w in sums.items():
-            # Whole numbers, so that the order of adding doesn't matter and reruns agree.
-            v = np.round(bundle(w) * 1024).astype(np.int64)
+                    sums[lang] = sums.get(lang, 0) + units[own == lang].sum(axis=0)
+        for lang, v in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * DIM, pa.string()), pa.array(np.arange(DIM, dtype=np.int32)), pa.array(v)], names=["lang", "k", "v"])
 
     rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(text_col), F.col(lang_col).cast("string"))
@@ -146,33 +157,28 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
 
 
 class Identifier:
-    """Compares texts with prototypes. What it holds is bounded by the n-gram codes (2^18)
-    times the number of languages."""
+    """Compares texts with prototypes: what it holds is DIM numbers for each language."""
 
     def __init__(self, langs: list[str], protos: np.ndarray):
-        self.langs, self.dots, self.counter = langs, gram_dots(protos), None
-
-    def __getstate__(self):
-        return {**self.__dict__, "counter": None}
+        self.langs, self.protos = langs, protos
 
-    def __call__(self, texts: list[bytes | None]) -> tuple[list[str], np.ndarray]:
-        """Each text's language and cosine. The length of a bundle is taken from its
-        n-grams' counts: the vectors of different n-grams are orthogonal but for noise."""
-        self.counter = self.counter or GramCounter()
-        pred, scores = [], []
+    def __call__(self, texts: list[bytes | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Each text's language, the cosine of its bundle with that language's prototype, and its
+        number of n-grams."""
+        counter = GramCounter()
+        pred, scores, grams = [], [np.zeros(0)], [np.zeros(0, np.int64)]
         for part in parts_of(texts):
-            rows, codes, n, ok = self.counter.counts(texts[part])
-            if not self.langs:
-                ok[:] = False
+            rows, codes, n, ok = counter.counts(texts[part])
+            ok &= bool(self.langs)
             cosine = np.zeros((len(ok), max(1, len(self.langs))))
             if len(rows) and self.langs:
-                first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-                length = np.sqrt(np.add.reduceat(n.astype(float) ** 2, first) * DIM)
-                cosine[rows[first]] = np.add.reduceat(self.dots[codes] * n[:, None], first, axis=0) / length[:, None]
+                found = bundles(rows, codes, n, len(ok)).astype(np.float64)
+                cosine = found @ self.protos.T / np.maximum(1, np.sqrt((found * found).sum(axis=1, keepdims=True)))
             best = cosine.argmax(axis=1)
             pred += [self.langs[k] if good else UNDETERMINED for k, good in zip(best, ok)]
             scores.append(np.where(ok, cosine.max(axis=1).clip(0, 1), 0.0))
-        return pred, np.concatenate(scores) if scores else np.zeros(0)
+            grams.append(np.bincount(rows, n, len(ok)).astype(np.int64))
+        return pred, np.concatenate(scores), np.concatenate(grams)
 
 
 def predict(docs: DataFrame, langs: list[str], protos: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,7 +193,7 @@ def predict(docs: DataFrame, langs: list[str], protos: np.ndarray, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pred, score = shared.value(_texts(batch.column(1)))
+            pred, score, _ = shared.value(_texts(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[id_col, "lang_pred", "score"])
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
@@ -204,14 +210,16 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 def keep_identified(docs: DataFrame, least_score: float = 3 * NOISE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs, with all their columns, whose language is identified: not `und`,
-    and a score that a text in none of the learned languages doesn't reach by chance."""
+    and a score that a text in none of the learned languages doesn't reach by chance (texts
+    of fewer than SHORT n-grams are not judged by it). Null ids, repeated rows and further
+    columns stay as they are; an empty table gives no rows."""
     langs, protos = learn(docs.where(~held_out(F.col(id_col))), text_col, lang_col)
     at = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(Identifier(langs, protos))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pred, score = shared.value(_texts(batch.column(at)))
-            yield batch.filter(pa.array((np.array(pred, object) != UNDETERMINED) & (score >= least_score)))
+            pred, score, grams = shared.value(_texts(batch.column(at)))
+            yield batch.filter(pa.array((np.array(pred, object) != UNDETERMINED) & ((score >= least_score) | (grams < SHORT))))
 
     return docs.mapInArrow(run, docs.schema)
