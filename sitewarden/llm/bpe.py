@@ -6,7 +6,6 @@ import functools
 import hashlib
 import json
 import re
-import unicodedata
 from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
@@ -90,12 +89,15 @@ class _Cache(dict):
 class WordBpe:
     """Encoder and decoder of a word-end BPE vocabulary in tokenizers' JSON format.
 
-    A text is normalised (NFC, lower case, white space dropped), split into words by
-    WORD_PATTERN, each word's UTF-8 bytes become symbols, the last one with the word-end
+    A text is normalised (NFC, lower case, white space dropped) and split into words by
+    WORD_PATTERN (the tokenizers library's normalizer and splitter do this for words that
+    aren't ASCII), each word's UTF-8 bytes become symbols, the last one with the word-end
     suffix, and merges are applied to each word. Special tokens in a text are single ids.
     """
 
     def __init__(self, path: str, cached: int = 800_000):
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -114,6 +116,9 @@ class WordBpe:
         self.words = regex.compile(WORD_PATTERN)
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.chunks = re.compile(f"[^{WHITE_SPACE}]+")
+        # What is a letter or a digit, and its lower case, depends on the version of Unicode: the library has the say.
+        rules = Tokenizer.from_str(json.dumps(spec | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": []}))
+        self.normalize, self.split = rules.normalizer.normalize_str, rules.pre_tokenizer.pre_tokenize_str
         self.words_cache, self.cache = _Cache(self._word, cached), _Cache(self._chunk, cached)
 
     def _word(self, word: str) -> bytes:
@@ -128,13 +133,9 @@ class WordBpe:
         """Ids of a run without white space, as little-endian 32-bit integers."""
         if chunk.isascii():
             norm = chunk.lower()
-        else:
-            norm = unicodedata.normalize("NFC", chunk)
-            # str.lower() writes a final sigma; the vocabulary lower-cases each character by itself.
-            norm = "".join([c.lower() for c in norm]) if "\u03a3" in norm else norm.lower()
-        if norm.isalpha() and norm.isascii():
-            return self.words_cache[norm]
-        return b"".join(map(self.words_cache.__getitem__, self.words.findall(norm)))
+            return self.words_cache[norm] if norm.isalpha() else b"".join(map(self.words_cache.__getitem__, self.words.findall(norm)))
+        norm = self.normalize(chunk)
+        return b"".join([self.words_cache[norm[a:b]] for _, (a, b) in self.split(norm)])
 
     def _plain(self, text: str) -> bytes:
         exotic = any(c in text for c in "\x1c\x1d\x1e\x1f")
