@@ -46,9 +46,22 @@ def unpack(raw: bytes, count: int, bits: int, skip: int = 0) -> np.ndarray:
     return np.packbits(full, axis=1).view(">u4").ravel().astype("<u4")
 
 
+#: Schemes of Hadoop's file systems, and what Arrow calls them.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss", "gcs": "gs"}
+
+
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a URI or path, and the path in it."""
-    if "://" in uri or uri.startswith("file:"):
+    """The file system of a URI or path, and the path in it.
+
+    Arrow's own: local files, s3(a), abfs(s) and wasb(s), gs, and hdfs where the workers
+    have libhdfs. They take credentials from the environment, not from Hadoop's settings."""
+    scheme, mark, rest = uri.partition("://")
+    if mark and scheme != "file":
+        try:
+            return pafs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
+        except (pa.ArrowInvalid, pa.ArrowNotImplementedError) as e:
+            raise ValueError(f"token files can't be written to {uri}: name a folder in a file system that Arrow knows") from e
+    if uri.startswith("file:"):
         return pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
     return pafs.LocalFileSystem(), uri
 
@@ -229,8 +242,10 @@ def write_tokens(docs: DataFrame, vocabulary: str, uri: str, id_col: str = "doc_
     each file in order: (shard, uri, n_docs, n_tokens, start), start being the ids before it.
 
     One range shuffle of the texts; rows with a null id come first, repeated ids in order of
-    their text. The manifest grows with the number of files only."""
+    their text. The manifest grows with the number of files only. A uri that the workers
+    can't write to fails here, before any work (see file_system())."""
     spark = docs.sparkSession
+    file_system(uri)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(vocabulary)

@@ -276,6 +276,29 @@ def test_bpe(spark):
     assert bpe.encode_documents(docs_of(spark, []), path).count() == 0
 
 
+def test_bpe_all_characters():
+    """Ids equal the library's around every code point of the first three planes, and the last ones."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), bpe.WordBpe(path)
+    points = [c for c in [*range(0x32000), *range(0xE0000, 0xE0200), 0x10FFFF] if not 0xD800 <= c < 0xE000]
+    texts = ["\n".join(f"a{chr(c)}B{chr(c)}{chr(c)}1" for c in points[k : k + 500]) for k in range(0, len(points), 500)]
+    for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+        assert own.encode(text).tolist() == want.ids, hex(ord(text[1]))
+
+
+def test_token_file_systems(spark):
+    from pyarrow import fs
+
+    for uri in ("s3a://bucket/x?region=us-east-1", "s3://bucket/x?region=us-east-1"):
+        system, path = token_pack.file_system(uri)
+        assert isinstance(system, fs.S3FileSystem) and path == "bucket/x"
+    assert token_pack.file_system("file:/tmp/x")[1] == token_pack.file_system("file:///tmp/x")[1] == token_pack.file_system("/tmp/x")[1] == "/tmp/x"
+    with pytest.raises(ValueError, match="unknown://"):
+        token_pack.write_tokens(docs_of(spark, []), public_tokenizers.path("byte_bpe_50k.json"), "unknown://x/y")
+
+
 def test_token_files(spark, tmp_path):
     from tokenizers import Tokenizer
 
@@ -324,18 +347,39 @@ def test_language(spark):
     assert [r["lang_pred"] for r in language_id.identify(docs_of(spark, [(1, "abc", None, None)])).collect()] == ["und"]
 
 
-def test_language_dots_equal_bundles():
-    """Table look-ups give the same dot products as bundling random letter vectors outright."""
-    text = "abc abd, éa".encode()
-    letters, pairs = language_id.letter_vectors()
-    rows, codes, n, _ = language_id.GramCounter().counts([text])
-    vectors = np.stack([np.roll(letters[c >> 12], 2) * np.roll(letters[(c >> 6) & 63], 1) * letters[c & 63] for c in codes])
-    bundle = (vectors * n[:, None]).sum(axis=0)
-    weights = np.zeros(language_id.SYMBOLS**3)
-    weights[codes] = n
-    assert np.allclose(language_id.bundle(weights), bundle)
-    proto = np.random.default_rng(0).standard_normal((1, language_id.DIM))
-    assert np.allclose((language_id.gram_dots(proto)[codes, 0] * n).sum(), bundle @ proto[0], rtol=1e-3, atol=1e-2)
+def test_language_bundles():
+    """Bundles equal binding and adding letter vectors one n-gram at a time."""
+    letters, table = language_id.letter_vectors()[0], language_id.symbol_table()
+    texts = ["abc abd, éa", "", "x", "\U00010400\U00020000 Ж"]
+    rows, codes, n, has = language_id.GramCounter().counts([t.encode() for t in texts])
+    got = language_id.bundles(rows, codes, n, len(texts), most_grams=3)
+    for k, t in enumerate(texts):
+        symbols = [0]
+        for c in t:
+            symbols += [int(table[ord(c)])] if table[ord(c)] or symbols[-1] else []
+        symbols += [0] if symbols[-1] else []
+        want = np.zeros(language_id.DIM)
+        for a, b, c in zip(symbols, symbols[1:], symbols[2:]):
+            if b:
+                want += np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c]
+        assert np.array_equal(got[k], want) and has[k] == any(symbols)
+
+
+def test_language_rare_letters(spark):
+    """Letters beyond U+FFFF are letters, scripts are told apart, and short texts aren't rejected."""
+    scripts = {"dsr": "\U00010400\U00010401\U00010402\U00010403 ", "han": "漢字文書中國 ", "ell": "αβγδε ζηθ ", "rus": "привет мир ", "ara": "السلام عليكم "}
+    rng = random.Random(3)
+    rows = [(k * 10 + i, "".join(rng.choices(t, k=60)), lang, None) for k, (lang, t) in enumerate(scripts.items()) for i in range(10)]
+    rows += [(900, "\U00010400\U00010401 \U00010402\U00010400\U00010403", None, None), (901, "A.", None, None)]
+    out = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs_of(spark, rows)).collect()}
+    assert all(out[r[0]] == r[2] for r in rows[:-2]) and out[900] == "dsr"
+    assert {900, 901} <= {r["doc_id"] for r in language_id.keep_identified(docs_of(spark, rows)).collect()}
+
+
+def test_language_is_independent_of_partitions(spark):
+    rows = docs_of(spark, corpus(9))
+    a, b = (sorted((r["doc_id"], r["lang_pred"], r["score"]) for r in language_id.identify(rows.repartition(n)).collect()) for n in (1, 5))
+    assert a == b
 
 
 def test_edited_fingerprints(spark):
