@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from .url_labels import labelled_urls
 
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 16
@@ -16,44 +19,25 @@ _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: (host/path prefix, verdict). A rule fits its host and all subdomains.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "block"), ("org/es/", "block"))
 
-#: The labelled table that the classifier learns from unless given another one.
-LABELLED = tuple(
-    [(f"http://{h}.example/{p}", "block") for h in ("best-casino-bonus", "hot-xxx-cams", "cheap-pills-rx", "free-slots-jackpot", "crack-keygen-warez", "win-lottery-prize", "betting-odds-poker")
-     for p in ("casino/free-spins", "xxx/adult-video", "viagra/buy-cheap-pills", "warez/keygen-download", "bet/poker-jackpot", "ads/track?click=banner", "promo/click-win-prize")]
-    + [(f"https://{h}.example/{p}", "allow") for h in ("news.dailyherald", "docs.library", "www.university", "blog.travelnotes", "museum", "m.cookbook", "wiki.science")
-       for p in ("en/1204", "de/88/", "fr/artikel/17", "articles/2021/history-of-rivers", "guide/install.html", "research/papers?page=2", "es/recetas/pan")]
-)
-
 
-def split_url(url: str | None) -> tuple[str, str]:
+def split_url(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path; both empty if the url is null or has no `://`."""
-    before, mark, rest = (url or "").partition("://")
-    if not mark:
-        return "", ""
-    end = min([k for c in "/?#" if (k := rest.find(c)) >= 0], default=len(rest))
-    host, path = rest[:end], rest[end:]
-    stop = min([k for c in "?#" if (k := path.find(c)) >= 0], default=len(path))
-    return "".join(c.lower() if "A" <= c <= "Z" else c for c in host), path[:stop]
-
-
-class Rules:
-    """Rules by host, the longest first. Their number is bounded by what a worker holds:
-    they are a table of decisions, not data."""
-
-    def __init__(self, rules=RULES):
-        self.by_host: dict[str, list[tuple[str, str, str]]] = {}
-        for rule, verdict in rules:
-            host, slash, path = rule.partition("/")
-            self.by_host.setdefault(host, []).append((slash + path, rule, verdict))
-
-    def find(self, host: str, path: str) -> tuple[str, str] | None:
-        """The longest fitting rule with its verdict (of equals the first in code point order)."""
-        labels, best = host.split("."), None
-        for k in range(len(labels)):
-            for prefix, rule, verdict in self.by_host.get(".".join(labels[k:]), ()):
-                if path.startswith(prefix) and (best is None or (-len(rule), rule) < (-len(best[0]), best[0])):
-                    best = rule, verdict
-        return best
+    pattern = r"^(?s:.*?)://([^/?#]*)([^?#]*)"
+    host, path = (F.coalesce(F.regexp_extract(url, pattern, k), F.lit("")) for k in (1, 2))
+    return F.translate(host, string.ascii_uppercase, string.ascii_lowercase), path
+
+
+def decide(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
+    """The longest rule that fits host and path, and its verdict, or nulls. Of rules of equal
+    length the first in code point order is taken. Rules are a table of decisions, not
+    data: literals of the plan, one test each."""
+    rule, verdict = F, F
+    for text, says in sorted(rules, key=lambda r: (-len(r[0]), r[0])):
+        of, slash, start = text.partition("/")
+        fits = ((host == of) | F.endswith(host, F.lit("." + of))) & F.startswith(path, F.lit(slash + start))
+        rule, verdict = rule.when(fits, F.lit(text)), verdict.when(fits, F.lit(says))
+    none = F.lit(None).cast("string")
+    return (none, none) if rule is F else (rule, verdict)
 
 
 def features(urls: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
@@ -82,19 +66,19 @@ def features(urls: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
 class Classifier:
     """Logistic regression; a url's features are scaled to length one."""
 
-    def __init__(self, labelled=LABELLED, rounds: int = 300, rate: float = 4.0, decay: float = 1e-4):
+    def __init__(self, urls: list[tuple[str, str]], blocked: list[bool], rounds: int = 500, rate: float = 8.0, decay: float = 1e-5):
         """Fit by full gradient steps from zero, so that the same table gives the same weights.
-        labelled: (url, "block" or "allow"), a table small enough for the driver."""
-        urls = [split_url(u) for u, _ in labelled]
-        y = np.array([v == "block" for _, v in labelled], float)
+        urls: (host, path) of a table small enough for the driver."""
+        y = np.array(blocked, float)
         self.weights, self.bias = np.zeros(BUCKETS), 0.0
         row, bucket = features(urls)
-        scale = 1 / np.sqrt(np.bincount(row, minlength=len(urls)))
+        scale = 1 / np.sqrt(np.maximum(1, np.bincount(row, minlength=len(urls))))
+        # Both kinds weigh the same, however many urls there are of each.
+        share = np.where(y > 0, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, (1 - y).sum()))
         for _ in range(rounds):
-            error = 1 / (1 + np.exp(-self._linear(row, bucket, scale))) - y
-            step = np.bincount(bucket, (error * scale)[row], BUCKETS) / len(y)
-            self.weights -= rate * (step + decay * self.weights)
-            self.bias -= rate * error.mean()
+            error = (1 / (1 + np.exp(-self._linear(row, bucket, scale))) - y) * share
+            self.weights -= rate * (np.bincount(bucket, (error * scale)[row], BUCKETS) + decay * self.weights)
+            self.bias -= rate / 8 * error.sum()
 
     def _linear(self, row: np.ndarray, bucket: np.ndarray, scale: np.ndarray) -> np.ndarray:
         return np.bincount(row, self.weights[bucket], len(scale)) * scale + self.bias
@@ -108,30 +92,40 @@ class Classifier:
         return 1 / (1 + np.exp(-self._linear(row, bucket, scale)))
 
 
-def judge(pages: DataFrame, rules=RULES, labelled=LABELLED, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def fit(labelled: DataFrame, most: int = 100_000) -> Classifier:
+    """A classifier of (url, verdict) rows. The table is collected, `most` rows of it at most:
+    more is an error, and null urls are left out."""
+    host, path = split_url(F.col("url"))
+    rows = labelled.where("url is not null and verdict is not null").select(host.alias("host"), path.alias("path"), "verdict").orderBy("host", "path", "verdict").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} labelled urls")
+    return Classifier([(r["host"], r["path"]) for r in rows], [r["verdict"] == "block" for r in rows])
+
+
+def judge(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(id, host, path, rule, verdict, score) of every row: the verdict of the longest rule
     that fits the url, else of the classifier (block at 0.5 or more). rule is null where no
-    rule fits; score is the classifier's probability of "block" in any case.
-
-    Only the url is read, nothing is shuffled. A null url, or one without `://`, has an
-    empty host and path and fits no rule. Null ids and repeated rows stay as they are; an
-    empty table gives no rows."""
-    kind = dict(pages.dtypes)[id_col]
-    shared = pages.sparkSession.sparkContext.broadcast((Rules(rules), Classifier(labelled)))
+    rule fits; score is the classifier's probability of "block" in any case. labelled: (url,
+    verdict), labelled_urls() if not given.
+
+    Only the url is read, nothing is shuffled; host, path and rule are Spark expressions,
+    the score is made in Arrow batches. A null url, or one without `://`, has an empty host
+    and path and fits no rule. Null ids and repeated rows stay as they are; an empty table
+    gives no rows."""
+    spark = pages.sparkSession
+    model = fit(spark.createDataFrame(labelled_urls(), "url string, verdict string") if labelled is None else labelled)
+    shared = spark.sparkContext.broadcast(model)
+    host, path = split_url(F.col("url"))
+    rule, says = decide(F.col("host"), F.col("path"), rules)
+    urls = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).select("id", host.alias("host"), path.alias("path"))
+    ruled = urls.select("id", "host", "path", rule.alias("rule"), says.alias("says"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, model = shared.value
         for batch in batches:
-            urls = [split_url(u) for u in batch.column(1).to_pylist()]
-            found = [known.find(*u) for u in urls]
-            scores = model.scores(urls)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), pa.array([u[0] for u in urls], pa.string()), pa.array([u[1] for u in urls], pa.string()),
-                    pa.array([f and f[0] for f in found], pa.string()), pa.array([f[1] if f else "block" if s >= 0.5 else "allow" for f, s in zip(found, scores)], pa.string()),
-                    pa.array(scores),
-                ],
-                names=[id_col, "host", "path", "rule", "verdict", "score"],
-            )
-
-    return pages.select(F.col(id_col), F.col(url_col)).mapInArrow(run, f"`{id_col}` {kind}, host string, path string, rule string, verdict string, score double")
+            scores = shared.value.scores(list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=["id", "host", "path", "rule", "says", "score"])
+
+    kind = ruled.schema["id"].dataType.simpleString()
+    scored = ruled.mapInArrow(run, f"id {kind}, host string, path string, rule string, says string, score double")
+    verdict = F.coalesce("says", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
+    return scored.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "score")

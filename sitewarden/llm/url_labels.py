@@ -1,0 +1,89 @@
+"""The labelled urls that the url classifier learns from unless given a table of its own."""
+
+from __future__ import annotations
+
+#: Hosts of pages to leave out: gambling, adult, pharmacy spam, pirated software, advertising,
+#: link farms, phishing. Made up.
+BLOCK_HOSTS = (
+    "casino-royal-bonus.example", "www.lucky-casino.example", "onlinecasino24.example", "m.slots-jackpot.example", "free-spins-slots.example",
+    "poker-stars-win.example", "bet-odds-live.example", "sportbets.example", "www.bestbets.example", "freebets-today.example",
+    "lottery-winner.example", "win-big-lotto.example", "roulette-win.example", "blackjack-online.example", "bingo-bonus-win.example",
+    "adult-videos.example", "www.xxx-tube.example", "adultcams.example", "hot-adult-chat.example", "sexy-webcams.example",
+    "porn-hub-free.example", "nude-pics.example", "erotic-stories-xxx.example", "escort-girls.example", "adult-dating.example",
+    "cheap-pills-online.example", "buy-viagra-cialis.example", "rx-pharmacy-discount.example", "canadian-pills.example", "diet-pills-fast.example",
+    "crack-keygen.example", "warez-download.example", "free-serials-cracks.example", "torrent-movies-free.example", "nulled-scripts.example",
+    "ads.adserver.example", "adtrack.example", "track-clicks.example", "click-ads-network.example", "banner-ads.example",
+    "pixel-tracker.example", "popunder-ads.example", "adclick-redirect.example", "traffic-exchange-ads.example", "ad-track-click.example",
+    "spam-links.example", "link-farm-seo.example", "cheap-backlinks.example", "seo-spam-farm.example", "content-farm.example",
+    "get-rich-quick.example", "free-money-now.example", "earn-cash-fast.example", "payday-loans-fast.example", "bitcoin-doubler.example",
+    "free-iphone-prize.example", "claim-your-prize.example", "account-verify-login.example", "secure-paypal-login.example", "bank-update-verify.example",
+    "replica-watches-cheap.example", "fake-rolex-shop.example", "miracle-weight-loss.example", "forex-signals-win.example", "binary-options-profit.example",
+)
+
+#: Hosts of ordinary pages: reference works, code, news, shops, schools, offices, homepages.
+ALLOW_HOSTS = (
+    "en.wikipedia.org", "de.wikipedia.org", "fr.wiktionary.org", "github.com", "docs.python.org", "pypi.org", "spark.apache.org", "arxiv.org", "www.gnu.org", "kernel.org",
+    "stackoverflow.com", "news.ycombinator.com", "www.bbc.co.uk", "www.theguardian.com", "www.lemonde.fr", "www.spiegel.de", "elpais.com", "www.nytimes.com", "apnews.com", "www.nature.com",
+    "www.who.int", "europa.eu", "www.nasa.gov", "www.nih.gov", "data.gov.uk", "www.bundestag.de", "www.service-public.fr", "www.un.org", "www.mit.edu", "ox.ac.uk",
+    "shop.example", "www.bookstore.example", "garden-tools.example", "bikes-and-parts.example", "coffee-roasters.example", "furniture-store.example", "my-bakery.example", "toys-online.example", "shoes24.example", "winery.example",
+    "blog.travel-notes.example", "cooking-blog.example", "photo-diary.example", "m.weather.example", "recipes.example", "www.hiking-club.example", "chess-club.example", "football-results.example", "museum-of-art.example", "city-library.example",
+    "www.university.example", "school-district.example", "forum.linux-users.example", "wiki.science.example", "blog.developer.example", "docs.project.example", "status.cloud.example", "api.maps.example", "cdn.images.example", "mail.example",
+    "dentist-smith.example", "law-office.example", "hotel-am-see.example", "www.restaurant-roma.example", "hospital.example", "pharmacy-museum.example", "insurance-advice.example", "architects.example", "plumbing-service.example", "car-repair.example",
+    "tionsha.example", "m.thresher.example", "www.onthere.example", "blog.therint.example", "ingther.example", "www.brenso.example", "kalimo.example", "m.vorunda.example", "terrano.example", "blog.shelin.example",
+    "thathen.example", "www.ndouer.example", "stonered.example", "m.haterly.example", "enthou.example", "www.edreth.example", "zulanti.example", "blog.esthed.example", "orinth.example", "atwhere.example",
+)
+
+#: Paths of either kind of page. `{}` is a number.
+PLAIN_PATHS = (
+    "/", "", "/en/{}", "/de/{}/", "/fr/{}.html", "/es/{}?page=2", "/about", "/contact", "/blog/{}", "/index.html", "/news/2021/{}", "/item/{}", "/articles/{}", "/en/{}?utm_source=feed",
+    "/products/{}", "/search?q=test", "/user/{}", "/a/b", "/category/home", "/p/{}#top", "/it/{}", "/en/{}.html", "/help/faq", "/login",
+)
+
+BLOCK_PATHS = (
+    "/casino/free-spins", "/bonus/win-jackpot", "/slots/play-now", "/xxx/video-{}", "/adult/cams/{}", "/buy/cheap-viagra", "/pills/order?aff={}", "/crack/keygen-{}", "/warez/download-{}", "/ads/click?id={}",
+    "/track/pixel?cid={}", "/banner/{}/click", "/redirect?ad={}", "/claim-prize/{}", "/verify-account/login", "/free-money", "/poker/bet-now", "/betting/odds", "/promo/click-win", "/sexy/pics/{}",
+)
+
+ALLOW_PATHS = (
+    "/wiki/Casino", "/wiki/Poker", "/wiki/River_{}", "/research/papers/{}", "/library/guide", "/history/of-rivers", "/recipes/bread-{}", "/docs/install.html", "/news/lottery-law-{}", "/health/viagra-side-effects",
+    "/sports/football/{}", "/travel/italy", "/issues/{}", "/tree/main/src", "/weather/today", "/courses/math-{}", "/exhibitions/{}", "/politics/election-{}", "/science/physics", "/music/concerts",
+)
+
+
+#: Words that further hosts are joined from, two for each host.
+BLOCK_WORDS = (
+    "casino", "poker", "slots", "bet", "bets", "jackpot", "lotto", "bingo", "adult", "xxx", "porn", "sexy", "nude", "cams", "escort", "pills",
+    "viagra", "pharma", "keygen", "crack", "warez", "torrent", "ads", "track", "tracker", "click", "banner", "spam", "farm", "bonus", "free", "win",
+    "prize", "cheap", "cash", "loan", "replica", "x", "24", "vip",
+)
+ALLOW_WORDS = (
+    "book", "garden", "city", "school", "river", "music", "travel", "news", "daily", "house", "kitchen", "science", "history", "health", "sport", "photo",
+    "wood", "bike", "coffee", "green", "north", "family", "design", "doctor", "law", "hotel", "art", "code", "data", "cloud", "map", "club",
+)
+SYLLABLES = ("th", "en", "er", "an", "in", "re", "on", "at", "st", "nd", "le", "ou", "ka", "mo", "li", "ve", "tion", "sha", "ha", "ed", "ti", "that", "hat", "ble")
+PREFIXES = ("", "www.", "m.", "blog.")
+
+
+def hosts(verdict: str) -> list[str]:
+    """The named hosts of a kind, and those joined from its words."""
+    if verdict == "block":
+        words, named = BLOCK_WORDS, BLOCK_HOSTS
+        joined = [f"{PREFIXES[k % 4]}{a}-{words[(k * 7 + j * 11 + 3) % len(words)]}.example" for j in (0, 1, 2) for k, a in enumerate(words)]
+    else:
+        words, syllables, named = ALLOW_WORDS, SYLLABLES, ALLOW_HOSTS
+        joined = [f"{PREFIXES[k % 4]}{a}-{words[(k * 5 + j * 7 + 1) % len(words)]}.example" for j in (0, 1) for k, a in enumerate(words)]
+        joined += [f"{PREFIXES[(k + j) % 4]}{a}{syllables[(k * 5 + j * 7 + 1) % len(syllables)]}{syllables[(k * 3 + j) % len(syllables)]}.example" for j in range(5) for k, a in enumerate(syllables)]
+    return sorted({*named, *joined})
+
+
+def labelled_urls(each: int = 4) -> list[tuple[str, str]]:
+    """(url, "block" or "allow"): every host with `each` paths in turn, half of them of its own
+    kind and the others of either kind, so that hosts and paths both count."""
+    out = []
+    for verdict, own in (("block", BLOCK_PATHS), ("allow", ALLOW_PATHS)):
+        for h, host in enumerate(hosts(verdict)):
+            for k in range(each):
+                paths = own if k % 2 else PLAIN_PATHS
+                path = paths[(h * 7 + k * 5) % len(paths)].format((h * 389 + k * 1277) % 9973)
+                out.append((f"{'https' if (h + k) % 2 else 'http'}://{host}{path}", verdict))
+    return out
