@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ._shared import saved
+from ._shared import lasting, saved, scratch
 
 #: Headers of a 304 response that replace those of the stored one.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
@@ -31,7 +31,7 @@ def _weak(tag: Column) -> Column:
     return F.regexp_replace(tag, "^W/", "")
 
 
-def resolve_revisits(records: DataFrame, slices: int = 256) -> DataFrame:
+def resolve_revisits(records: DataFrame, slices: int = 256, rows_per_slice: int = 1_000_000) -> DataFrame:
     """Every revisit of `records` with the response that it stands for.
 
     records: record_id long, url string, date timestamp, type ("response" or "revisit"),
@@ -48,31 +48,49 @@ def resolve_revisits(records: DataFrame, slices: int = 256) -> DataFrame:
     headers with those PERMITTED taken from the revisit.
 
     The as-of join is two-level, so that a url with a third of all captures isn't one
-    task's work: dates are cut into `slices` ranges; within (url, range) a window finds the
-    latest response, and the ranges' last responses are carried forward over at most
-    `slices` rows for each url. Null urls and null dates match nothing; nulls in headers
-    are absent headers; record ids are unique. Empty tables give no rows.
+    task's work: dates are cut into `slices` equal spans, or as many as hold
+    `rows_per_slice` rows; within (url, span) a window finds the latest response, and the
+    spans' last responses are carried forward over at most as many rows for each url.
+    Only record ids move in these steps; headers are joined once, to the revisits.
+
+    Null urls and null dates match nothing; nulls in headers are absent headers. Repeated
+    rows are rows of their own: a revisit that appears twice comes out twice. Of responses
+    that share a record id, one that has its url and the greatest date, status, digest and
+    headers counts. A revisit with a null record id is resolved like any other. Empty
+    tables give no rows.
     """
+    with scratch(records.sparkSession):
+        return _resolve(records, slices, rows_per_slice)
+
+
+def _resolve(records: DataFrame, slices: int, rows_per_slice: int) -> DataFrame:
     micros = F.unix_micros(F.col("date").cast("timestamp"))
-    thin = saved(
-        records.select("record_id", canonical_url(F.col("url")).alias("url_key"), micros.alias("at"), ((F.col("type") == "response") & (F.col("status") == 200)).alias("full"), (F.col("type") == "revisit").alias("revisit"))
-        .where("revisit or (full and url_key is not null and at is not null)"),
-        "captures",
-    )
-    bounds = sorted(set(thin.stat.approxQuantile("at", [k / slices for k in range(1, slices)], 0.25 / slices)))
-    cut = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("at"))) if bounds else F.lit(0)
-    keyed = thin.where("url_key is not null and at is not null").withColumn("slice", cut)
+    full = F.coalesce((F.col("type") == "response") & (F.col("status") == 200), F.lit(False))
+    keyed = records.select(
+        "record_id", canonical_url(F.col("url")).alias("url_key"), micros.alias("at"), full.alias("full"), F.coalesce(F.col("type") == "revisit", F.lit(False)).alias("revisit"), "status", "headers", "digest"
+    ).where("revisit or (full and record_id is not null and url_key is not null and at is not null)")
+    # A number for each row tells repeated revisits apart.
+    rows = lasting(saved(keyed.withColumn("n", F.monotonically_increasing_id()), "captures"))
+    thin = rows.where("url_key is not null and at is not null").select("n", "record_id", "url_key", "at", "full", "revisit")
+    low, high, count = thin.agg(F.min("at"), F.max("at"), F.count("*")).first()
+    spans = max(slices, count // rows_per_slice)
+    width = max(1, -(-((high or 0) - (low or 0) + 1) // spans))
+    thin = thin.withColumn("span", F.floor((F.col("at") - (low or 0)) / width))
     candidate = F.when(F.col("full"), F.struct("at", "record_id"))
-    near = W.partitionBy("url_key", "slice").orderBy("at").rangeBetween(W.unboundedPreceding, -1)
-    in_slice = keyed.withColumn("here", F.max(candidate).over(near)).where("revisit")
-    ends = keyed.groupBy("url_key", "slice").agg(F.max(candidate).alias("end"))
-    carried = ends.withColumn("carried", F.max("end").over(W.partitionBy("url_key").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)))
-    found = in_slice.join(carried.select("url_key", "slice", "carried"), ["url_key", "slice"], "left").select(
-        "record_id", F.coalesce("here", "carried")["record_id"].alias("ref_id")
+    near = W.partitionBy("url_key", "span").orderBy("at").rangeBetween(W.unboundedPreceding, -1)
+    in_span = thin.withColumn("here", F.max(candidate).over(near)).where("revisit")
+    ends = thin.groupBy("url_key", "span").agg(F.max(candidate).alias("end"))
+    carried = ends.withColumn("carried", F.max("end").over(W.partitionBy("url_key").orderBy("span").rowsBetween(W.unboundedPreceding, -1)))
+    found = in_span.join(carried.select("url_key", "span", "carried"), ["url_key", "span"], "left").select("n", F.coalesce("here", "carried").alias("ref"))
+    found = found.where("ref is not null").select("n", F.col("ref.record_id").alias("ref_id"), F.col("ref.at").alias("ref_at"), "ref")
+    # Few responses are asked for: their headers move, and only theirs.
+    wanted = rows.where("full").join(found.select(F.col("ref_id").alias("record_id"), F.col("ref_at").alias("at")).distinct(), ["record_id", "at"])
+    stored = F.struct("status", "digest", F.array_sort(F.map_entries("headers")).alias("entries"))
+    old = wanted.groupBy(F.col("record_id").alias("ref_id"), F.col("at").alias("ref_at")).agg(F.max(stored).alias("stored")).select(
+        "ref_id", "ref_at", F.col("stored.status").alias("old_status"), F.col("stored.digest").alias("old_digest"), F.map_from_entries("stored.entries").alias("old")
     )
-    revisits = records.where("type = 'revisit'").select("record_id", canonical_url(F.col("url")).alias("url_key"), F.col("headers").alias("new"), F.col("digest").alias("new_digest"))
-    old = records.where("type = 'response' and status = 200").select(F.col("record_id").alias("ref_id"), F.col("status").alias("old_status"), F.col("headers").alias("old"), F.col("digest").alias("old_digest"))
-    both = revisits.join(found, "record_id", "left").join(old, "ref_id", "left")
+    answered = lasting(saved(found.select("n", "ref_id", "ref_at").join(old, ["ref_id", "ref_at"]).drop("ref_at"), "answers"))
+    both = rows.where("revisit").select("n", "record_id", "url_key", F.col("headers").alias("new"), F.col("digest").alias("new_digest")).join(answered, "n", "left")
     agrees = F.coalesce(
         _weak(_header("new", "etag")) == _weak(_header("old", "etag")), _header("new", "last-modified") == _header("old", "last-modified"), F.col("new_digest") == F.col("old_digest")
     )

@@ -546,6 +546,30 @@ def test_warc(spark):
     assert warc.resolve_revisits(df.limit(0)).count() == 0
 
 
+def test_warc_repeated_rows(spark):
+    """Repeated revisits come out as often as they are there, repeated responses count once."""
+    H, url = {"etag": '"a"'}, "http://e.com/" + "long/" * 20_000
+    rows = [(1, url, 10, "response", 200, H, "s")] * 3 + [(2, url, 20, "revisit", 304, H, None)] * 2 + [(None, url, 20, "revisit", 304, H, None), (None, url, 10, "response", 200, H, "z"), (4, None, None, None, None, None, None), (1, url, 15, "response", 200, H, "t")]
+    df = spark.createDataFrame(rows, "record_id long, url string, at long, type string, status int, headers map<string,string>, digest string").withColumn("date", F.timestamp_seconds("at")).withColumn("n", F.lit(1)).withColumn("span", F.lit("x"))
+    got = sorted(((r["record_id"], r["ref_id"], r["outcome"], r["digest"]) for r in warc.resolve_revisits(df, slices=3).collect()), key=str)
+    assert got == [(2, 1, "resolved", "t")] * 2 + [(None, 1, "resolved", "t")]
+
+
+def test_warc_by_brute_force(spark):
+    rng, rows = random.Random(8), []
+    for i in range(400):
+        kind = rng.choice(["response", "response", "revisit", "revisit", "request"])
+        rows.append((i, f"http://{rng.choice(['a', 'b', 'hot', 'hot', 'hot'])}.com/", rng.randrange(200), kind, rng.choice([200, 200, 404]), {"etag": rng.choice('"xy')}, None))
+    df = spark.createDataFrame(rows, "record_id long, url string, at long, type string, status int, headers map<string,string>, digest string").withColumn("date", F.timestamp_seconds("at"))
+    want = {}
+    for i, url, at, kind, _, head, _ in rows:
+        if kind == "revisit":
+            ref = max(((t, j, h) for j, u, t, k, s, h, _ in rows if k == "response" and s == 200 and u == url and t < at), key=lambda x: x[:2], default=None)
+            want[i] = (None, "no_response") if ref is None else (ref[1], "resolved" if ref[2] == head else "mismatch")
+    for slices in (1, 7, 500):
+        assert {r["record_id"]: (r["ref_id"], r["outcome"]) for r in warc.resolve_revisits(df, slices=slices).collect()} == want
+
+
 def test_warc_hot_url(spark):
     df = spark.range(3000).select(F.col("id").alias("record_id"), F.lit("http://e.com/").alias("url"), F.timestamp_seconds("id").alias("date"), F.when(F.col("id") % 7 == 0, "response").otherwise("revisit").alias("type"), F.lit(200).alias("status"), F.create_map().cast("map<string,string>").alias("headers"), F.lit("d").alias("digest"))
     assert warc.resolve_revisits(df, slices=16).where("ref_id <> record_id div 7 * 7 or outcome <> 'resolved'").count() == 0
