@@ -4,38 +4,40 @@ sitewarden.llm. Every stage gets what its predecessor kept, written as Parquet a
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from sitewarden.llm import bpe, language_id, line_dedup, minhash, mixing
-from sitewarden.llm._shared import saved, table
+from sitewarden.llm._shared import drop_saved, lasting, saved, scratch, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified (operator 2)."""
+    """Documents whose language is identified (operator 2). Null texts and texts without a letter
+    go; rows with null or repeated ids are judged like any other; no rows, no rows."""
     return language_id.keep_identified(docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the lines that they keep (operator 8), n_chars counted anew. A document
-    that loses its last line goes: others hold all that it said."""
-    out = line_dedup.dedup_lines(docs).where("n_dropped < n_lines")
-    changed = {"text": F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text"))}
-    out = out.withColumns(changed).withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    that loses its last line goes: others hold all that it said. Rows with a null id keep
+    all their lines; rows that share an id count as one document; null texts stay null."""
+    return line_dedup.without_repeated_lines(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (operator 5)."""
+    """One document of each group of near duplicates (operator 5), and one of rows that share id
+    and text. Rows with a null id and texts without words are in no group and stay."""
     return minhash.keep_representatives(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them (operator 10)."""
+    """Documents as often as the mix of sources takes them (operator 10), each row by its own
+    count. A null source is a source; a text without words has no size and counts nothing."""
     return mixing.apply_mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with hashes of the ids and of the decoded text (operator 7)."""
+    """Token ids of every document, with hashes of the ids and of the decoded text (operator 7).
+    Null text is empty text; null and repeated ids stay as they are."""
     return bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
 
 
@@ -47,13 +49,18 @@ STAGES = [
     ("word_bpe", encode),
 ]
 
-#: Neither language profiles nor merges can be said in SQL; tests hold stages against brute force.
+#: Neither language profiles nor merges can be said in SQL; a test runs every stage by brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages' result over documents."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages' result over documents. Each stage's output is deleted once the next one is
+    written, and all that a stage saves with it; the last one's stays until release()."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark):
+            docs = lasting(saved(stage(spark, docs, sf_dir), f"stage-{name}"))
+        if before is not None:
+            drop_saved(before)
+        before = docs
     return docs

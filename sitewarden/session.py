@@ -24,18 +24,24 @@ def build_session(app: str = "sitewarden", **options: str) -> SparkSession:
 _local_dirs: dict[str, str] = {}
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name under spark.checkpoint.dir, which all executors share. Only a single
-    local JVM without that setting gets a temporary folder; a cluster without it is an error."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir of the session. Only a
+    single local JVM without that setting, as in tests, gets a temporary folder, which goes
+    with the process; a cluster without it is an error."""
     conf = spark.sparkContext.getConf()
-    base, master = conf.get("spark.checkpoint.dir", None), conf.get("spark.master", "")
-    if not base:
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        app = spark.sparkContext.applicationId
-        if app not in _local_dirs:
-            kept = tempfile.TemporaryDirectory(prefix="sitewarden-", ignore_cleanup_errors=True)
-            atexit.register(kept.cleanup)
-            _local_dirs[app] = kept.name
-        base = "file://" + _local_dirs[app]
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if path := conf.get("spark.checkpoint.dir", None):
+        return path.rstrip("/")
+    master = conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _local_dirs:
+        kept = tempfile.TemporaryDirectory(prefix="sitewarden-", ignore_cleanup_errors=True)
+        atexit.register(kept.cleanup)
+        _local_dirs[app] = kept.name
+    return "file://" + _local_dirs[app]
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name in the shared folder. Whoever writes to it deletes it."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
