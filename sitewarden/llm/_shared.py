@@ -2,40 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
-import tempfile
 import threading
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-_local_dirs: dict[str, str] = {}
+from ..session import shared_dir
+
 #: Paths of saved tables by nested scope, innermost last; one stack for each thread.
 _scopes = threading.local()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only where it is unset and the master is a single local JVM (as in tests) a
-    temporary folder stands in; on a cluster a missing setting is an error.
-    """
-    conf = spark.sparkContext.getConf()
-    if path := conf.get("spark.checkpoint.dir", None):
-        return path.rstrip("/")
-    master = conf.get("spark.master", "")
-    if master != "local" and not master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _local_dirs:
-        kept = tempfile.TemporaryDirectory(prefix="sitewarden-", ignore_cleanup_errors=True)
-        atexit.register(kept.cleanup)
-        _local_dirs[app] = kept.name
-    return "file://" + _local_dirs[app]
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other table has, known to the scope it was made in."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -630,19 +630,60 @@ def test_url_classifier_known_kinds():
     assert (scores[: len(good)] < 0.5).all() and (scores[len(good) :] >= 0.5).all(), scores
 
 
+ODD = "doc_id long, text string, lang string, source string, n_chars long, id long, row int, stay_id long, kept_text string, size int, copies int, keep int, h long"
+
+
 def test_pipeline(spark, tmp_path):
+    """Every stage against brute force on its own input, with odd rows and clashing names."""
     import corpus_pipeline
 
-    rows = corpus(6, 120)
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.char_length("text").cast("long")).write.parquet(f"{tmp_path}/documents.parquet")
-    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
+    rows = [(*r, len(r[1] or "")) for r in corpus(6, 120)]
+    rows += [(None, "no id at all here", "en", "a", 3), (None, "no id at all here", "en", "a", 3), (3, "the id of another one", "en", "b", 3), rows[20], rows[20], (5000, "123 456", None, "a", 7)]
+    spark.createDataFrame([(*r, 1, 2, 3, "k", 4, 5, 6, 7) for r in rows], ODD).write.parquet(f"{tmp_path}/documents.parquet")
+    docs, stages = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
         before, docs = docs, stage(spark, docs, str(tmp_path))
-        assert docs.columns == before.columns, name
+        assert name == "word_bpe" or docs.columns == before.columns, name
         docs.write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
-    lines = spark.read.parquet(f"{tmp_path}/minhash_near_dedup")
-    sets = [shingle_set(r["text"]) for r in lines.collect()]
-    assert not any(a and b and 100 * len(a & b) >= 75 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
-    out = corpus_pipeline.run(spark, str(tmp_path))
-    assert out.count() == docs.count() and sorted(r[0] for r in out.select("doc_id").collect()) == sorted(r[0] for r in docs.select("doc_id").collect())
+        stages[name] = docs.collect()
+    names = [name for name, _ in corpus_pipeline.STAGES]
+    say = lambda rows: sorted(((r["doc_id"], r["text"]) for r in rows), key=str)
+    # Language: texts with a letter stay, but for one letter many times, which is like no language.
+    assert say(r for r in stages[names[0]]) == sorted(((r[0], r[1]) for r in rows if any(c.isalpha() for c in r[1] or "") and len(set(r[1])) > 1), key=str)
+    # Lines.
+    holders = {}
+    for r in stages[names[0]]:
+        for line in r["text"].split("\n") if r["doc_id"] is not None else ():
+            if len(key_of(line)) >= 10:
+                holders.setdefault(key_of(line), set()).add(r["doc_id"])
+    want = []
+    for r in stages[names[0]]:
+        kept = [x for x in r["text"].split("\n") if r["doc_id"] is None or len(holders.get(key_of(x), ())) < 2 or min(holders[key_of(x)]) == r["doc_id"]]
+        if kept:
+            want.append((r["doc_id"], "\n".join(kept), r["n_chars"] if len(kept) == r["text"].count("\n") + 1 else len("\n".join(kept))))
+    assert sorted(((r["doc_id"], r["text"], r["n_chars"]) for r in stages[names[1]]), key=str) == sorted(want, key=str)
+    # Near duplicates: one row of each group, the smallest id; rows without id stay.
+    inputs = sorted({(r["doc_id"], r["text"]) for r in stages[names[1]] if r["doc_id"] is not None})
+    sets = [shingle_set(t) for _, t in inputs]
+    root = roots(range(len(inputs)), [(i, j) for i, a in enumerate(sets) for j in range(i) if a and sets[j] and 100 * len(a & sets[j]) >= 75 * len(a | sets[j])])
+    out = say(stages[names[2]])
+    assert [i for i, _ in out if i is None] == [r["doc_id"] for r in stages[names[1]] if r["doc_id"] is None]
+    assert sorted(i for i, _ in out if i is not None) == sorted(inputs[k][0] for k in range(len(inputs)) if root[k] == k)
+    # Mixing takes what mix() says; encoding is the library's.
+    plan = mixing.mix(spark.read.parquet(f"{tmp_path}/{names[2]}")).collect()
+    assert sorted((r["doc_id"] or -1 for r in stages[names[3]])) == sorted(r["doc_id"] or -1 for r in plan for _ in range(r["copies"]))
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = {(r["doc_id"], tuple(library.encode(r["text"], add_special_tokens=False).ids)) for r in stages[names[3]]}
+    assert {(r["doc_id"], tuple(r["ids"])) for r in stages[names[4]]} == ids and len(stages[names[4]]) == len(stages[names[3]])
+    whole = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted(((r["doc_id"] or -1, r["ids_sha256"]) for r in whole.collect())) == sorted(((r["doc_id"] or -1, r["ids_sha256"]) for r in stages[names[4]]))
+
+
+def test_pipeline_empty(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], ODD).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
