@@ -72,16 +72,21 @@ def is_content(d: Dialect, url: str) -> str:
 
 
 def type_scores(d: Dialect, url: str, anchor: str | None = None, title: str | None = None) -> list[tuple[str, str]]:
+    """scores_of() with its inputs written out."""
+    texts = [(f"lower(coalesce({t}, ''))", share) for t, share in ((anchor, 0.3), (title, 0.2)) if t]
+    return scores_of(d, f"lower({path(d, url)})", is_content(d, url), texts)
+
+
+def scores_of(d: Dialect, route: str, content: str, texts: list[tuple[str, float]]) -> list[tuple[str, str]]:
     """(page type, confidence) expressions, one for each type: the first matching url pattern's
-    weight, plus 0.3 and 0.2 of the first matching anchor's and title's, each sum capped at 1."""
-    route, out = f"lower({path(d, url)})", []
+    weight, plus a share of the first matching weight of each text (0.3 of the anchor's, 0.2
+    of the title's), each sum capped at 1. route is the path and texts are in lower case."""
+    out = []
     for kind, by_url, by_text in R.PAGE_PATTERNS:
         score = cases([(d.match(route, p), d.double(w)) for p, w in by_url], d.double(0))
-        for text, share in ((anchor, 0.3), (title, 0.2)):
-            if text:
-                low = f"lower(coalesce({text}, ''))"
-                score = f"least({d.double(1)}, {score} + {cases([(d.match(low, p), d.double(w)) for p, w in by_text], d.double(0))} * {d.double(share)})"
-        out.append((kind, f"CASE WHEN {is_content(d, url)} THEN {d.double(0)} ELSE {score} END" if kind in R.POLICY_LIKE else score))
+        for text, share in texts:
+            score = f"least({d.double(1)}, {score} + {cases([(d.match(text, p), d.double(w)) for p, w in by_text], d.double(0))} * {d.double(share)})"
+        out.append((kind, f"CASE WHEN {content} THEN {d.double(0)} ELSE {score} END" if kind in R.POLICY_LIKE else score))
     return out
 
 

@@ -54,7 +54,7 @@ def gram_vectors(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def bundles(rows: np.ndarray, codes: np.ndarray, n: np.ndarray, texts: int, most_grams: int = 4096) -> np.ndarray:
+def bundles(rows: np.ndarray, codes: np.ndarray, n: np.ndarray, texts: int, most_grams: int = 1024) -> np.ndarray:
     """The sums of all n-gram vectors of each of `texts` texts, n times each (texts x DIM). All
     sums are whole numbers, so they don't depend on what else is in the batch."""
     out = np.zeros((texts, DIM), np.float32)

@@ -16,7 +16,7 @@ WORDS = 5
 BANDS, ROWS = 40, 5
 PIVOTS = 3
 #: A bucket that has to be compared in full is cut into cells of so many members and shingles.
-CELL, MOST_CELL = 256, 1024
+CELL, MOST_CELL = 256, 512
 CELL_SHINGLES = 1 << 20
 
 # Odd 64-bit constants of the mixing steps below (splitmix64 and the golden ratio). Fixed values.

@@ -76,10 +76,13 @@ def _time(k: int) -> Column:
     return (F.col("words") + F.col("source_size") * k) / F.col("weight")
 
 
-def _planned(docs: DataFrame, weights, budget, repeats, seed, id_col, text_col, source_col, rows_per_slice) -> DataFrame:
-    """_finish() of docs, with copies: how often the mix takes the row."""
+def _planned(docs: DataFrame, weights, budget, repeats, seed, id_col, text_col, source_col, rows_per_slice, whole: bool) -> DataFrame:
+    """_finish() of docs, with copies: how often the mix takes the row. With `whole` the rows of
+    docs are carried along (read and ordered a second time), else just id, source and size."""
     thin = saved(_queues(docs, 1, seed, id_col, text_col, source_col).drop("row", "slice"), "mix-sizes")
     slices = max(256, thin.count() // rows_per_slice)
+    if not whole:
+        lasting(thin)
     thin = thin.withColumn("slice", F.floor((F.shiftrightunsigned("h", 33).cast("double") / float(1 << 31)) * slices).cast("int"))
     per_slice = saved(thin.groupBy("source", "slice").agg(F.sum("size").alias("slice_size")), "mix-slices")
     targets = source_targets(per_slice.groupBy("source").agg(F.sum("slice_size").alias("source_size")), weights, budget, repeats)
@@ -102,7 +105,7 @@ def _planned(docs: DataFrame, weights, budget, repeats, seed, id_col, text_col,
         inside = ends.where(F.col("used") <= most).agg(F.max(F.struct("finish", "rank_")).alias("x")).first()["x"]
         before = ordered.where(F.col("part") < last["part"]).agg(F.max(F.struct("finish", "rank_")).alias("x")).first()["x"] if inside is None else inside
         cut = tuple(before) if before else (0.0, -1)
-    rows = _finish(_queues(docs, slices, seed, id_col, text_col, source_col), starts)
+    rows = _finish(_queues(docs, slices, seed, id_col, text_col, source_col) if whole else thin, starts)
     taken = [F.when((_time(k) < cut[0]) | ((_time(k) == cut[0]) & (F.col("rank_") <= cut[1])), 1).otherwise(0) for k in range(repeats)]
     return rows.withColumn("copies", sum(taken, F.lit(0)))
 
@@ -140,7 +143,7 @@ def mix(
     An empty table gives no rows. Extra columns are ignored.
     """
     with scratch(docs.sparkSession):
-        rows = _planned(docs, weights, budget, repeats, seed, id_col, text_col, source_col, rows_per_slice)
+        rows = _planned(docs, weights, budget, repeats, seed, id_col, text_col, source_col, rows_per_slice, False)
     return rows.select(
         F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target",
         (F.col("copies") * F.col("size")).cast("long").alias("taken"), F.col("copies").cast("int").alias("copies"),
@@ -154,5 +157,5 @@ def apply_mix(
     """The rows of docs as often as mix() takes them, with their own columns, whatever these
     are called. Rows that share an id, or have none, are each taken by their own count."""
     with scratch(docs.sparkSession):
-        rows = _planned(docs, weights, budget, repeats, seed, id_col, text_col, source_col, rows_per_slice)
+        rows = _planned(docs, weights, budget, repeats, seed, id_col, text_col, source_col, rows_per_slice, True)
     return rows.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

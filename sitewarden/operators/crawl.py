@@ -15,11 +15,13 @@ def classify(links: DataFrame, url: str = "url", anchor: str | None = "anchor",
     """links with page_type and confidence. `skip` for urls that are never pages; else the
     type with the largest score, the first of equal ones, `other` if none scores.
 
-    The types' scores meet in one array, so that each is in the plan once, whatever filter is
+    What all patterns read is a column before they do. The types' scores meet in one array, so that each is in the plan once, whatever filter is
     pushed down to it; page_type is never null."""
-    scores = U.type_scores(SPARK, url, anchor, title)
+    texts = [(n, t, share) for n, t, share in (("anchor_", anchor, 0.3), ("title_", title, 0.2)) if t]
+    inputs = {"route_": F.expr(f"lower({U.path(SPARK, url)})"), "content_": F.expr(U.is_content(SPARK, url)), **{n: F.lower(F.coalesce(F.col(t), F.lit(""))) for n, t, _ in texts}}
+    scores = U.scores_of(SPARK, "route_", "content_", [(n, share) for n, _, share in texts])
     ranked = F.array(*[F.struct(F.expr(s).alias("score"), F.lit(-i).alias("o"), F.lit(k).alias("name")) for i, (k, s) in enumerate(scores)])
-    scored = links.withColumns({"best_": F.array_max(ranked), "skip_": F.expr(U.is_skipped(SPARK, url))})
+    scored = links.withColumns(inputs).withColumns({"best_": F.array_max(ranked), "skip_": F.expr(U.is_skipped(SPARK, url))})
     score = F.col("best_.score")
     kind = F.when(F.col("skip_"), "skip").when(score > 0, F.col("best_.name"))
     return scored.select(*links.columns, F.coalesce(kind, F.lit("other")).alias("page_type"), F.when(F.col("skip_"), 1.0).otherwise(F.round(score, 2)).alias("confidence"))
@@ -131,9 +133,19 @@ def allowed(urls: DataFrame, rules: DataFrame, agent: str = "*") -> DataFrame:
     return urls.join(by_site, "site_id", "left").select(*[urls[c] for c in urls.columns], F.when(fits(F.col("allow")), True).otherwise(~fits(F.col("disallow"))).alias("allowed"))
 
 
+def unescape_xml(text: Column) -> Column:
+    """text with XML's five named entities resolved, and the decimal references of two of them."""
+    # The ampersand comes last: what it opens then is no escape any more.
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("#39", "'"), ("#38", "&amp"), ("amp", "&")):
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(char + ";" if char == "&amp" else char))
+    return text
+
+
 def sitemap_urls(files: DataFrame, cap: int = 100) -> DataFrame:
-    """(site_id, ord, url) of sitemap files (site_id, content), the first `cap` of each."""
-    return files.select("site_id", F.posexplode(F.slice(F.regexp_extract_all("content", F.lit(r"<loc>\s*(https?://[^<]+?)\s*</loc>"), 1), 1, cap)).alias("ord", "url"))
+    """(site_id, ord, url) of sitemap files (site_id, content), the first `cap` of each, with
+    XML's escapes resolved."""
+    found = F.regexp_extract_all("content", F.lit(r"<loc>\s*(https?://[^<]+?)\s*</loc>"), 1)
+    return files.select("site_id", F.posexplode(F.slice(found, 1, cap)).alias("ord", "url")).withColumn("url", unescape_xml(F.col("url")))
 
 
 def breadth_first(roots: DataFrame, links: DataFrame, depth: int = 3) -> DataFrame:

@@ -104,7 +104,7 @@ def tech_columns_sql(d: S.Dialect, html: str = "html") -> dict[str, str]:
     def hit(patterns: tuple[str, ...]) -> str:
         return d.match(html, "(?i)" + "|".join(f"(?:{p})" for p in patterns))
 
-    cms = [(" OR ".join([*([d.match(html, f'(?i)<meta[^>]*name="generator"[^>]*{generator}')] if generator else []), hit((*scripts, *plain))]), d.text(name)) for name, generator, scripts, plain in T.CMS]
+    cms = [(" OR ".join([d.match(html, f'(?i)<meta[^>]*name="{meta}"' + (f"[^>]*{content}" if content else "")), hit((*scripts, *plain))]), d.text(name)) for name, (meta, content), scripts, plain in T.CMS]
     lists = {k: d.join(d.filter(d.array([f"CASE WHEN {hit(p)} THEN {d.text(n)} ELSE '' END" for n, p in table]), "x", "x <> ''"), ",") for k, table in (("analytics", T.ANALYTICS), ("payments", T.PAYMENTS), ("frameworks", T.FRAMEWORKS))}
     return {"cms": S.cases(cms, "'Custom'"), **lists, "hosting": S.cases([(hit(p), d.text(n)) for n, p in T.HOSTING], "NULL")}
 

@@ -20,18 +20,53 @@ def keyword_test(d: Dialect, text: str, keyword: str) -> str:
     return "(" + " OR ".join(tests) + ")"
 
 
+def _trie(words: list[str]) -> str:
+    """A regular expression for any of the words, with common beginnings shared."""
+    root: dict = {}
+    for w in words:
+        node = root
+        for c in w:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def text(node: dict) -> str:
+        if "" in node:
+            return ""
+        parts = [re.escape(c) + text(n) for c, n in sorted(node.items())]
+        return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+    return text(root)
+
+
+def anchors(keywords) -> dict[str, str]:
+    """For each keyword a word that any text with it holds: its longest, or a shorter anchor within
+    that. No anchor is a part of another."""
+    longest = {k: max(k.replace("-", " ").split(), key=len) for _, words in keywords for k in words}
+    least = [w for w in set(longest.values()) if not any(v != w and v in w for v in longest.values())]
+    return {k: next(v for v in sorted(least) if v in w) for k, w in longest.items()}
+
+
 def keyword_hits(text: Column, keywords=R.RESTRICTED) -> Column:
-    """An array of (kw_ord, category, keyword, pos) of the keywords that a text holds. The table
-    is one literal; the regex of a keyword of several words runs only where its words occur."""
-    rows = []
+    """An array of (kw_ord, category, keyword, pos) of the keywords that a text holds.
+
+    One regular expression finds all anchors in one pass over the text; only keywords whose
+    anchor is there are looked for, so the table's size hardly counts. The table is one
+    literal; the regex of a keyword of several words runs only where its words occur."""
+    rows, anchor = [], anchors(keywords)
     for n, (c, k) in enumerate((c, k) for c, words in keywords for k in words):
         plain = k.replace("-", " ")
         pattern = r"\b" + r"\b.*\b".join(re.escape(w) for w in plain.split()) + r"\b" if " " in plain else None
-        rows.append({"kw_ord": n, "category": c, "keyword": k, "plain": plain if plain != k else None, "words": plain.split(), "pattern": pattern})
+        rows.append({"kw_ord": n, "category": c, "keyword": k, "plain": plain if plain != k else None, "words": plain.split(), "pattern": pattern, "anchor": anchor[k]})
     # One text that is folded to a literal: a call for each of its fields takes seconds to build.
-    table = F.from_json(F.lit(json.dumps(rows)), "array<struct<kw_ord: int, category: string, keyword: string, plain: string, words: array<string>, pattern: string>>")
+    table = F.from_json(F.lit(json.dumps(rows)), "array<struct<kw_ord: int, category: string, keyword: string, plain: string, words: array<string>, pattern: string, anchor: string>>")
+    # A look-ahead takes no text away, so that anchors which overlap are all found.
+    words = sorted(set(anchor.values()))
+    starts = re.escape("".join(sorted({w[0] for w in words})))
+    seen = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=[{starts}])(?=({_trie(words)}))"), 1))
     spread = lambda r: r["pattern"].isNotNull() & F.forall(r["words"], lambda w: F.contains(text, w)) & F.coalesce(F.rlike(text, r["pattern"]), F.lit(False))
-    found = F.filter(table, lambda r: F.contains(text, r["keyword"]) | F.coalesce(F.contains(text, r["plain"]), F.lit(False)) | spread(r))
+    holds = lambda r: F.contains(text, r["keyword"]) | F.coalesce(F.contains(text, r["plain"]), F.lit(False)) | spread(r)
+    # The anchors are an argument of a lambda, so that they are made once for a text.
+    found = F.flatten(F.transform(F.array(seen), lambda s: F.when(F.size(s) > 0, F.filter(table, lambda r: F.array_contains(s, r["anchor"]) & holds(r))).otherwise(F.filter(table, lambda r: F.lit(False)))))
     return F.transform(found, lambda r: F.struct(r["kw_ord"].alias("kw_ord"), r["category"].alias("category"), r["keyword"].alias("keyword"), F.call_function("instr", text, r["keyword"]).alias("pos")))
 
 
@@ -47,7 +82,8 @@ def findings(pages: DataFrame, keywords=R.RESTRICTED, text: str = "page_text", k
     snippet. Texts are lower case. Keywords are literals of the plan: pages are
     scanned once, and nothing is joined or multiplied but the hits."""
     col = F.col(text)
-    rows = pages.withColumn("f", F.explode(keyword_hits(col, keywords)))
+    # The optimizer would put a filter on the hits before a plain explode, and scan each page twice.
+    rows = pages.withColumn("f", F.explode_outer(keyword_hits(col, keywords))).where("f is not null")
     quote = F.when(F.col("f.pos") > 0, snippet(col, F.col("f.pos"), F.char_length("f.keyword"))).otherwise(F.concat(F.lit("Keyword '"), F.col("f.keyword"), F.lit("' found in "), F.col("f.category"), F.lit(" category")))
     return rows.select(*keep, "f.kw_ord", "f.category", "f.keyword", "f.pos", quote.alias("snippet"))
 

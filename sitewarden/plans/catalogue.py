@@ -322,10 +322,10 @@ def robots_filter(spark, d):
     return crawl.allowed(links.select("site_id", "link_ord", "url"), crawl.robots_rules(files)).select("link_ord", "allowed")
 
 
-@query(f"WITH {cte('site_links')}, f AS (SELECT site_id, link_ord, url, row_number() OVER (PARTITION BY site_id ORDER BY link_ord) - 1 AS ord FROM site_links WHERE NOT contains(url, '&')) SELECT site_id, ord, url FROM f WHERE ord < 100")
+@query(f"WITH {cte('site_links')}, f AS (SELECT site_id, link_ord, url, row_number() OVER (PARTITION BY site_id ORDER BY link_ord) - 1 AS ord FROM site_links) SELECT site_id, ord, url FROM f WHERE ord < 100")
 def sitemap_extract(spark, d):
-    one = F.concat(F.lit("<url><loc> "), F.col("url"), F.lit(" </loc></url>"))
-    files = view(spark, d, "site_links").where("not contains(url, '&')").groupBy("site_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("link_ord", one.alias("x")))), lambda r: r["x"]), "\n").alias("content"))
+    one = F.concat(F.lit("<url><loc> "), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url>"))
+    files = view(spark, d, "site_links").groupBy("site_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("link_ord", one.alias("x")))), lambda r: r["x"]), "\n").alias("content"))
     return crawl.sitemap_urls(files)
 
 
@@ -436,16 +436,18 @@ def _facts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     sites = rows.groupBy("site_id").agg(F.bool_or(risk.has_lorem(F.col("page_text"))).alias("has_dummy")).select(
         "site_id", (F.col("site_id") % 7 != 0).alias("ssl_ok"), F.when(F.col("site_id") % 5 != 0, F.col("site_id") * 60).alias("age_days"), "has_dummy"
     )
-    home = context.classify(rows).join(rows.select("doc_id", "site_id"), "doc_id").where("doc_id < 40")
-    policies_ = policy.detect(view(spark, d, "site_links").where("link_ord % 4 <> 1"))
+    # A site's home page is its page with the smallest id.
+    home = rows.join(rows.groupBy("site_id").agg(F.min("doc_id").alias("doc_id")), ["site_id", "doc_id"])
+    home = context.classify(home).join(home.select("doc_id", "site_id"), "doc_id")
+    policies_ = policy.detect(view(spark, d, "compliance_links"))
     return compliance.facts_of(sites, policies_, found, home), found
 
 
 _FACTS = f"""facts AS (SELECT s.site_id, s.site_id % 7 <> 0 AS ssl_ok, CASE WHEN s.site_id % 5 <> 0 THEN s.site_id * 60 END AS age_days, s.has_dummy, coalesce(c.primary_context, 'UNKNOWN') AS primary_context, coalesce(c.status, 'DETERMINED') AS context_status,
   {', '.join(f"EXISTS (SELECT 1 FROM detected p WHERE p.site_id = s.site_id AND p.policy = '{p}') AS found_{p}" for p, _ in PO.SCORED_POLICIES)},
   {', '.join(f"(SELECT count(*) FROM found f WHERE f.site_id = s.site_id AND f.category = '{c}') AS n_{c}" for c in RR.PENALTY)}
-  FROM lorem s LEFT JOIN (SELECT * FROM contexts WHERE doc_id < 40) c ON c.site_id = s.site_id)"""
-_ALL = f"{cte('risk_pages', 'site_links')}, {_FOUND}, {_RISK}, {_CTX}, {_POLICY.replace('FROM site_links)', 'FROM site_links WHERE link_ord % 4 <> 1)', 1)}, {_FACTS}"
+  FROM lorem s LEFT JOIN (SELECT * FROM contexts WHERE doc_id IN (SELECT min(doc_id) FROM risk_pages GROUP BY site_id)) c ON c.site_id = s.site_id)"""
+_ALL = f"{cte('risk_pages', 'compliance_links')}, {_FOUND}, {_RISK}, {_CTX}, {_POLICY.replace('FROM site_links)', 'FROM compliance_links)', 1)}, {_FACTS}"
 _SCORE = "scores AS (SELECT site_id, " + ", ".join(f"{e} AS {n}" for n, e in compliance.score_columns_sql(D).items()) + " FROM facts)"
 
 
@@ -493,11 +495,21 @@ def report_filenames(spark, d):
 
 # --- snapshots and cache
 
-_LAG = "l AS (SELECT *, lag(id) OVER w AS p_id, lag(home_hash) OVER w AS p_home, lag(privacy_hash) OVER w AS p_priv, lag(pricing_model) OVER w AS p_model, lag(product_count) OVER w AS p_count FROM snapshots WINDOW w AS (PARTITION BY target_url ORDER BY scan_timestamp, id))"
-_CHG = """chg AS (SELECT target_url, id, 0 AS ord, 'content_change' AS type, 'home' AS where_, 'minor' AS severity, 'Home page content has changed.' AS description FROM l WHERE p_home IS NOT NULL AND home_hash IS DISTINCT FROM p_home
-UNION ALL SELECT target_url, id, 1, 'content_change', 'privacy_policy', 'minor', 'Privacy Policy page content has changed.' FROM l WHERE p_priv IS NOT NULL AND privacy_hash IS DISTINCT FROM p_priv
-UNION ALL SELECT target_url, id, 2, 'pricing_change', 'pricing', 'critical', 'Pricing model changed from ' || coalesce(p_model, 'Unknown') || ' to ' || coalesce(pricing_model, 'Unknown') || '.' FROM l WHERE p_id IS NOT NULL AND pricing_model IS DISTINCT FROM p_model
-UNION ALL SELECT target_url, id, 3, 'product_change', 'product', 'moderate', 'Number of detected products changed from ' || p_count || ' to ' || product_count || '.' FROM l WHERE p_id IS NOT NULL AND product_count <> p_count)"""
+_HASHED = ("home", "privacy_policy", "terms_conditions", "product", "pricing", "about")
+_LAG = "l AS (SELECT *, lag(id) OVER w AS p_id, " + ", ".join(f"lag({p}_hash) OVER w AS p_{p}" for p in _HASHED) + ", lag(pricing_model) OVER w AS p_model, lag(product_count) OVER w AS p_count FROM snapshots WINDOW w AS (PARTITION BY target_url ORDER BY scan_timestamp, id))"
+_PAGES = [("Home", "minor"), ("Privacy Policy", "minor"), ("Terms Conditions", "minor"), ("Product", "moderate"), ("Pricing", "moderate"), ("About", "minor")]
+_CHG = "chg AS (" + " UNION ALL ".join(
+    f"SELECT target_url, id, {k} AS ord, 'content_change' AS type, '{p}' AS where_, '{s}' AS severity, '{t} page content has changed.' AS description FROM l WHERE p_{p} IS NOT NULL AND {p}_hash IS DISTINCT FROM p_{p}" for k, (p, (t, s)) in enumerate(zip(_HASHED, _PAGES))
+) + """ UNION ALL SELECT target_url, id, 6, 'pricing_change', 'pricing', 'critical', 'Pricing model changed from ' || coalesce(p_model, 'Unknown') || ' to ' || coalesce(pricing_model, 'Unknown') || '.' FROM l WHERE p_id IS NOT NULL AND pricing_model IS DISTINCT FROM p_model
+UNION ALL SELECT target_url, id, 7, 'product_change', 'product', 'moderate', 'Number of detected products changed from ' || p_count || ' to ' || product_count || '.' FROM l WHERE p_id IS NOT NULL AND product_count <> p_count)"""
+
+
+def _snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """The snapshots view with its hashes as a map of page type to hash."""
+    rows = view(spark, d, "snapshots")
+    return rows.withColumn("page_hashes", F.create_map(*[x for p in _HASHED for x in (F.lit(p), F.col(f"{p}_hash"))])).drop(*[f"{p}_hash" for p in _HASHED])
+
+
 _RULES = ", ".join(f"({D.text(t)}, {D.text(s)}, {D.text(i)}, {D.text(a)}, {c}::DOUBLE)" for t, s, i, a, c in CR.CHANGE_RULES)
 _PAGE_RULE = cases([(f"type = 'content_change' AND where_ = '{p}'", f"'{r}'") for p, r in CR.PAGE_RULES], "type")
 _ENR = f"enr AS (SELECT c.target_url, c.id, c.ord, c.type, c.where_, c.description, coalesce(r.severity, 'minor') AS severity, coalesce(r.impact, 'Unclassified change detected') AS business_impact, coalesce(r.action, 'Review manually') AS recommended_action, coalesce(r.confidence, 0.5) AS confidence FROM (SELECT *, {_PAGE_RULE} AS rule FROM chg) c LEFT JOIN (VALUES {_RULES}) AS r(rule, severity, impact, action, confidence) ON r.rule = c.rule)"
@@ -505,27 +517,27 @@ _ENR = f"enr AS (SELECT c.target_url, c.id, c.ord, c.type, c.where_, c.descripti
 
 @query(f"WITH {cte('snapshots')}, {_LAG}, {_CHG} SELECT * FROM chg")
 def snapshot_change_detect(spark, d):
-    return changes.detect(view(spark, d, "snapshots"))
+    return changes.detect(_snapshots(spark, d))
 
 
 @query(f"WITH {cte('snapshots')}, {_LAG}, {_CHG}, {_ENR} SELECT * FROM enr")
 def change_rules(spark, d):
-    return changes.enrich(changes.detect(view(spark, d, "snapshots")))
+    return changes.enrich(changes.detect(_snapshots(spark, d)))
 
 
 @query(f"""WITH {cte('snapshots')}, {_LAG}, {_CHG}, {_ENR}, o AS (SELECT *, CASE severity WHEN 'critical' THEN 3 WHEN 'moderate' THEN 2 ELSE 1 END AS k FROM enr),
-a AS (SELECT target_url, id, count(*) FILTER (WHERE k = 3) AS c, count(*) FILTER (WHERE k = 2) AS m, count(*) FILTER (WHERE k = 1) AS n, round(avg(confidence), 2) AS confidence, first(description ORDER BY k DESC, ord) AS de, first(recommended_action ORDER BY k DESC, ord) AS ac FROM o GROUP BY 1, 2)
+a AS (SELECT target_url, id, count(*) FILTER (WHERE k = 3) AS c, count(*) FILTER (WHERE k = 2) AS m, count(*) FILTER (WHERE k = 1) AS n, floor((2 * sum(round(confidence * 100)::BIGINT) + count(*)) / (2 * count(*))) / 100 AS confidence, first(description ORDER BY k DESC, ord) AS de, first(recommended_action ORDER BY k DESC, ord) AS ac FROM o GROUP BY 1, 2)
 SELECT l.target_url, l.id, p_id IS NOT NULL AS since_last_scan, CASE WHEN p_id IS NULL THEN 'none' WHEN c > 0 THEN 'critical' WHEN m > 0 THEN 'moderate' ELSE 'minor' END AS overall_severity,
 CASE WHEN p_id IS NULL THEN 'No significant changes detected' WHEN a.id IS NULL THEN 'No changes detected.' ELSE 'Detected ' || concat_ws(', ', CASE WHEN c > 0 THEN c || ' critical' END, CASE WHEN m > 0 THEN m || ' moderate' END, CASE WHEN n > 0 THEN n || ' minor' END) || ' changes' || CASE WHEN c > 0 THEN ' — dominated by ' || de WHEN m > 0 THEN ' — notably ' || de ELSE '' END END AS summary,
 CASE WHEN p_id IS NOT NULL THEN CASE WHEN c > 0 OR m > 0 THEN ac ELSE 'No immediate action required' END END AS recommended_action, CASE WHEN p_id IS NOT NULL THEN coalesce(a.confidence, 1) END AS confidence
 FROM l LEFT JOIN a ON a.target_url = l.target_url AND a.id = l.id""")
 def change_intelligence(spark, d):
-    return changes.intelligence(view(spark, d, "snapshots"))
+    return changes.intelligence(_snapshots(spark, d))
 
 
 @query(f"WITH {cte('snapshots')} SELECT target_url, id, pricing_model FROM (SELECT *, row_number() OVER (PARTITION BY target_url ORDER BY scan_timestamp DESC, id DESC) AS k FROM snapshots) x WHERE k = 1")
 def snapshot_asof_prev(spark, d):
-    return changes.latest(view(spark, d, "snapshots")).select("target_url", "id", "pricing_model")
+    return changes.latest(_snapshots(spark, d)).select("target_url", "id", "pricing_model")
 
 
 _TTL = f"created_at + {U.ttl_seconds(D, 'page_type')} * INTERVAL '1' SECOND"

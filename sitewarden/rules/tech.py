@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-# Name, generator pattern or meta name, script patterns, html patterns; first match wins.
+# Name, meta name and pattern of its content, script patterns, html patterns; first match wins.
 CMS = (
-    ("WordPress", "WordPress", (r"wp-content", r"wp-includes"), (r"wp-json",)),
-    ("Shopify", None, (r"cdn\.shopify\.com",), (r"Shopify\.",)),
-    ("Wix", "Wix", (r"static\.wixstatic\.com",), ()),
-    ("Squarespace", "Squarespace", (r"squarespace",), ()),
-    ("Webflow", "Webflow", (r"webflow",), ()),
-    ("Drupal", "Drupal", (r"/sites/default", r"drupal"), ()),
-    ("Joomla", "Joomla", (r"joomla",), ()),
+    ("WordPress", ("generator", "WordPress"), (r"wp-content", r"wp-includes"), (r"wp-json",)),
+    ("Shopify", ("shopify", None), (r"cdn\.shopify\.com",), (r"Shopify\.",)),
+    ("Wix", ("generator", "Wix"), (r"static\.wixstatic\.com",), ()),
+    ("Squarespace", ("generator", "Squarespace"), (r"squarespace",), ()),
+    ("Webflow", ("generator", "Webflow"), (r"webflow",), ()),
+    ("Drupal", ("generator", "Drupal"), (r"/sites/default", r"drupal"), ()),
+    ("Joomla", ("generator", "Joomla"), (r"joomla",), ()),
 )
 # Name and patterns, in the order of the lists that they make.
 ANALYTICS = (("Google Analytics", (r"google-analytics\.com/analytics\.js", r"googletagmanager\.com/gtag")), ("Google Tag Manager", (r"googletagmanager\.com/gtm\.js",)), ("Facebook Pixel", (r"connect\.facebook\.net/.*fbevents\.js",)), ("Hotjar", (r"static\.hotjar\.com",)), ("Mixpanel", (r"cdn\.mxpnl\.com",)), ("Segment", (r"cdn\.segment\.com",)))

@@ -25,7 +25,9 @@ SELECT * FROM (VALUES (0, 'sales', 'active'), (1, 'support', 'paused'), (2, 'hr'
     "snapshots": """
 SELECT event_id AS id, concat('https://site', CAST(user_id AS STRING), '.example.com') AS target_url, ts AS scan_timestamp,
        md5(concat('home', CAST(event_id % 3 AS STRING))) AS home_hash,
-       CASE WHEN event_id % 5 = 0 THEN NULL ELSE md5(concat('priv', CAST(event_id % 2 AS STRING))) END AS privacy_hash,
+       CASE WHEN event_id % 5 = 0 THEN NULL ELSE md5(concat('priv', CAST(event_id % 2 AS STRING))) END AS privacy_policy_hash,
+       md5(concat('terms', CAST(event_id % 7 AS STRING))) AS terms_conditions_hash, CASE WHEN event_id % 4 = 1 THEN NULL ELSE md5(concat('prod', CAST(event_id % 3 AS STRING))) END AS product_hash,
+       md5(concat('price', CAST(event_id % 2 AS STRING))) AS pricing_hash, md5(concat('about', CAST(event_id % 6 AS STRING))) AS about_hash,
        CASE event_type WHEN 'purchase' THEN 'Subscription' WHEN 'view' THEN 'Fixed Price' WHEN 'click' THEN 'Freemium' WHEN 'signup' THEN 'Quote-based' ELSE NULL END AS pricing_model,
        CAST(event_id % 4 AS INT) AS product_count FROM {events}""",
     "site_links": """
@@ -36,6 +38,11 @@ SELECT CAST(o_custkey % 50 AS INT) AS site_id, o_orderkey AS link_ord,
            WHEN 11 THEN '/brochure.pdf' WHEN 12 THEN '/shipping?utm=x&id=7' WHEN 13 THEN '/' WHEN 14 THEN '/idfy-story/' ELSE '/item?page=2&a=1&id=9' END) AS url,
        CASE o_orderkey % 5 WHEN 0 THEN 'Privacy Policy' WHEN 1 THEN 'terms' WHEN 2 THEN 'Our Story' WHEN 3 THEN 'products' ELSE '' END AS anchor,
        CASE WHEN o_orderkey % 7 = 0 THEN 404 WHEN o_orderkey % 11 = 0 THEN 403 ELSE 200 END AS status FROM {orders}""",
+    "compliance_links": """
+SELECT site_id, link_ord, concat('https://site', CAST(site_id AS STRING), '.example.com',
+         CASE WHEN site_id % 4 = 1 THEN '/news' WHEN link_ord % 5 = 0 THEN '/privacy-policy' WHEN link_ord % 5 = 1 AND site_id % 3 <> 0 THEN '/terms-of-service/'
+           WHEN link_ord % 5 = 2 AND site_id % 7 <> 0 THEN '/refund-policy' WHEN link_ord % 5 = 3 AND site_id % 2 = 0 THEN '/contact/' ELSE '/' END) AS url, '' AS anchor, 200 AS status
+FROM (SELECT CAST(o_custkey % 50 AS INT) AS site_id, o_orderkey AS link_ord FROM {orders}) a""",
     "risk_pages": """
 SELECT doc_id, CAST(doc_id % 40 AS INT) AS site_id, concat('https://site', CAST(doc_id % 40 AS STRING), '.example.com/p', CAST(doc_id AS STRING)) AS page_url,
        lower(concat(CASE doc_id % 12 WHEN 0 THEN 'Online casino and sports betting. ' WHEN 1 THEN 'Buy bitcoin with your crypto wallet. ' WHEN 2 THEN 'Lorem ipsum dolor sit amet. '

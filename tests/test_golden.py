@@ -1,6 +1,8 @@
 """Values that are known by hand, as in scoring rules and url handling."""
 
 import datetime as dt
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,12 +71,13 @@ def test_compliance(spark, context, found, crypto, want):
     assert (got["policy_score"], got["trust_score"], got["total_score"], got["rating"]) == want
 
 
-SNAP = "id long, target_url string, scan_timestamp timestamp, home_hash string, privacy_hash string, pricing_model string, product_count int"
+SNAP = "id long, target_url string, scan_timestamp timestamp, page_hashes map<string,string>, pricing_model string, product_count int"
 
 
 def test_change_intelligence(spark):
     t = dt.datetime(2024, 1, 1)
-    rows = [(1, "u", t, "a", "p", "Subscription", 1), (2, "u", t + dt.timedelta(1), "b", "q", "Subscription", 1), (3, "u", t + dt.timedelta(2), "b", "q", "Subscription", 1), (4, "u", t + dt.timedelta(3), None, "q", None, 1)]
+    h = lambda home, privacy: {"home": home, "privacy_policy": privacy}
+    rows = [(1, "u", t, h("a", "p"), "Subscription", 1), (2, "u", t + dt.timedelta(1), h("b", "q"), "Subscription", 1), (3, "u", t + dt.timedelta(2), h("b", "q"), "Subscription", 1), (4, "u", t + dt.timedelta(3), h(None, "q"), None, 1)]
     got = {r["id"]: r for r in changes.intelligence(spark.createDataFrame(rows, SNAP)).collect()}
     assert got[1]["overall_severity"] == "none" and got[1]["summary"] == "No significant changes detected"
     assert got[2]["overall_severity"] == "critical" and "1 critical" in got[2]["summary"] and "1 minor" in got[2]["summary"] and got[2]["recommended_action"].startswith("Re-run legal")
@@ -82,6 +85,62 @@ def test_change_intelligence(spark):
     assert got[4]["summary"].startswith("Detected 1 critical, 1 minor changes") and "Subscription to Unknown" in got[4]["summary"]
 
 
+def test_every_page_of_the_map(spark):
+    """Each key of the current map is compared; rules of terms, product and pricing pages fire."""
+    t = dt.datetime(2024, 1, 1)
+    old = {"home": "1", "privacy_policy": "1", "terms_conditions": "1", "product": "1", "pricing": "1", "about": "1", "gone": "1"}
+    new = {"home": "2", "privacy_policy": "2", "terms_conditions": "2", "product": "2", "pricing": "2", "about": "2", "fresh": "1"}
+    snaps = spark.createDataFrame([(1, "u", t, old, None, 3), (2, "u", t + dt.timedelta(1), new, None, 3), (3, "u", t + dt.timedelta(2), None, None, 3)], SNAP)
+    got = {r["where_"]: (r["severity"], r["business_impact"], r["confidence"]) for r in changes.enrich(changes.detect(snaps)).collect()}
+    assert got == {
+        "home": ("minor", "Routine marketing refresh", 0.7), "privacy_policy": ("critical", "Legal & compliance risk exposure", 1.0), "terms_conditions": ("critical", "Contractual terms update risk", 1.0),
+        "product": ("moderate", "Core offering scope or messaging evolution", 0.85), "pricing": ("critical", "Fundamental revenue model shift detected", 0.95), "about": ("minor", "General content update", 0.6),
+    }
+    row = {r["id"]: r for r in changes.intelligence(snaps).collect()}
+    assert row[2]["summary"].startswith("Detected 3 critical, 1 moderate, 2 minor changes — dominated by ") and row[2]["confidence"] == 0.85
+    assert row[3]["summary"] == "No changes detected." and row[1]["confidence"] is None
+    more = changes.append(snaps, spark.createDataFrame([(4, "u", {"home": "3", "about": ""}, None, 3)], "id long, target_url string, page_hashes map<string,string>, pricing_model string, product_count int"), F.lit(t + dt.timedelta(3)))
+    assert changes.latest(more).first()["page_hashes"] == {"home": "3"} and more.columns == snaps.columns
+
+
+def test_keyword_table(spark):
+    """All categories and keywords, each found in a text that holds it, and nothing in others."""
+    assert len(RR.RESTRICTED) == 50 and sum(len(w) for _, w in RR.RESTRICTED) == 396
+    words = [k for _, ws in RR.RESTRICTED for k in ws]
+    rows = [(1, str(i), f"before {k} after") for i, k in enumerate(words)] + [(2, "plain", "an ordinary page")]
+    got = {}
+    for r in risk.findings(spark.createDataFrame(rows, "site_id int, page_url string, page_text string")).collect():
+        got.setdefault(r["page_url"], set()).add(r["keyword"])
+    assert all(k in got[str(i)] for i, k in enumerate(words)) and "plain" not in got
+
+
+def test_keyword_hits_by_brute_force(spark):
+    """The anchors change nothing: hits equal plain tests of every keyword."""
+    rng = random.Random(5)
+    pieces = sorted({w for _, ws in RR.RESTRICTED for k in ws for w in k.replace("-", " ").split()})
+    texts = [" ".join("".join(rng.choice([w, w[:-1], w + "s", w + rng.choice(pieces)]) for _ in range(1)) for w in rng.choices(pieces, k=12)) for _ in range(150)] + ["", None]
+
+    def holds(text, k):
+        plain = k.replace("-", " ")
+        return k in text or plain in text or (" " in plain and re.search(r"\b" + r"\b.*\b".join(map(re.escape, plain.split())) + r"\b", text) is not None)
+
+    want = {(str(i), n) for i, t in enumerate(texts) if t for n, k in enumerate(k for _, ws in RR.RESTRICTED for k in ws) if holds(t, k)}
+    found = risk.findings(spark.createDataFrame([(1, str(i), t) for i, t in enumerate(texts)], "site_id int, page_url string, page_text string"))
+    assert {(r["page_url"], r["kw_ord"]) for r in found.collect()} == want and len(want) > 50
+
+
+@pytest.mark.parametrize("html,cms", [
+    ('<meta name="shopify" content="x">', "Shopify"), ('<script src="https://cdn.shopify.com/a.js">', "Shopify"), ('<meta name="generator" content="WordPress 6">', "WordPress"), ("<p>shopify</p>", "Custom"),
+])
+def test_cms(spark, html, cms):
+    assert pages.technologies(spark.createDataFrame([(1, html)], "page_id int, html string")).first()["cms"] == cms
+
+
+def test_sitemap_escapes(spark):
+    xml = "<loc> https://e.com/?a=1&amp;b=2&#38;c=&quot;x&quot; </loc><loc>https://e.com/&amp;lt;</loc>"
+    assert [r["url"] for r in crawl.sitemap_urls(spark.createDataFrame([(1, xml)], "site_id int, content string")).orderBy("ord").collect()] == ['https://e.com/?a=1&b=2&c="x"', "https://e.com/&lt;"]
+
+
 def test_unknown_change(spark):
     row = changes.enrich(spark.createDataFrame([("u", 1, 0, "new_thing", "x", "minor", "d")], "target_url string, id long, ord int, type string, where_ string, severity string, description string")).first()
     assert row["business_impact"] == "Unclassified change detected" and row["severity"] == "minor"
