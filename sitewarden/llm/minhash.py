@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import lasting, saved, scratch
+from ._shared import lasting, saved, scratch, shuffle_partitions
 from .components import connected_components
 
 WORDS = 5
@@ -175,15 +175,15 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int
 
 
 def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
-    """(rep, shingles) of (rep, text)."""
+    """(rep, bands, shingles) of (rep, bands, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers: dict = {}
         for batch in batches:
             sets = [s.view(np.int64) for part in in_parts(_bytes(batch, "text")) for s in shingle_sets(part, words, powers)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "bands", "shingles"])
 
-    return texts.select("rep", "text").mapInArrow(run, "rep long, shingles array<long>")
+    return texts.select("rep", "bands", "text").mapInArrow(run, "rep long, bands array<long>, shingles array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -225,7 +225,7 @@ def _common(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     return out
 
 
-def _block_links(buckets: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _block_links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The links (a, b) between members of a bucket in different components. A bucket is cut
     into cells, bounded by members and by shingles, and each pair of cells is one block
     that is compared at once on full sets; only links come out. A pair is compared in the
@@ -234,10 +234,9 @@ def _block_links(buckets: DataFrame, classes: DataFrame, sets: DataFrame, percen
     most = F.least(F.lit(MOST_CELL), F.greatest(F.lit(CELL), F.floor(F.col("m") / 8)))
     cells = F.ceil(F.greatest(F.col("m") / most, F.col("total") / CELL_SHINGLES)).cast("int")
     rows = (
-        buckets.join(sizes, "key").withColumn("cells", cells).withColumn("cell", F.pmod(F.xxhash64("rep", "key"), F.col("cells")).cast("int"))
+        buckets.join(sizes, "key").join(sets, "rep").withColumn("cells", cells).withColumn("cell", F.pmod(F.xxhash64("rep", "key"), F.col("cells")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-        .select("key", "rep", "c", "n", F.least("cell", "other").alias("low"), F.greatest("cell", "other").alias("high"), "cell")
-        .join(sets, "rep").join(classes.select("rep", "bands"), "rep")
+        .select("key", "rep", "c", "n", F.least("cell", "other").alias("low"), F.greatest("cell", "other").alias("high"), "cell", "bands", "shingles")
     )
 
     def run(t: pa.Table) -> pa.Table:
@@ -271,14 +270,16 @@ def _components(docs: DataFrame, id_col: str, text_col: str, words: int, percent
     classes = made.where("sig is not null and id is not null").groupBy("sig").agg(
         F.min(F.struct("id", "text_hash")).alias("first"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")
     )
-    classes = saved(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    # The numbers follow the ids, so that a bucket's first class is the oldest: copies of one text are more like it than like each other.
+    ranged = classes.repartitionByRange(shuffle_partitions(docs.sparkSession), "first").sortWithinPartitions("first")
+    classes = saved(ranged.withColumn("rep", F.monotonically_increasing_id()), "classes")
     keyed = classes.select("rep", "n", F.explode("bands").alias("key"))
     # Tables of their own, here and below: then both sides of a join on buckets are shuffles, and a hot bucket can be split.
     heads = saved(keyed.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head < last").drop("last"), "heads")
     members = saved(keyed.join(heads, "key").select("key", "rep", "n", "head"), "members")
     stars = saved(members.where("head < rep").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
     # One row of each class has the text that its set comes from.
-    wanted = classes.join(members.select("rep").distinct(), "rep").select("rep", "first.id", "first.text_hash")
+    wanted = classes.join(members.select("rep").distinct(), "rep").select("rep", "bands", "first.id", "first.text_hash")
     sets = saved(_shingle_sets(text.join(wanted, ["id", "text_hash"]).dropDuplicates(["rep"]), words), "shingles")
     links = saved(_verified(stars, sets, percent), "links")
     placed = _split_buckets(members.select("key", "rep", "n"), connected_components(links))
@@ -289,7 +290,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, words: int, percent
     second = placed.join(chosen, "key").where((F.col("c") != F.col("cb")) & fits).select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
     links = links.unionAll(saved(_verified(saved(second, "pairs"), sets, percent), "links"))
     placed = _split_buckets(placed.select("key", "rep", "n"), connected_components(links))
-    final = connected_components(links.unionAll(saved(_block_links(placed, classes, sets, percent), "links")))
+    final = connected_components(links.unionAll(saved(_block_links(placed, sets, percent), "links")))
     grouped = final.select(F.col("id").alias("rep"), F.col("component_id").alias("g")).join(classes.select("rep", "first"), "rep")
     firsts = grouped.groupBy("g").agg(F.min("first").alias("least"))
     grouped = grouped.select("rep", "g").join(firsts, "g").select("rep", "least")
