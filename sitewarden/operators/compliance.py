@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.sqltext import SPARK, Dialect, cases
 from ..rules import policies as P, risk as R
@@ -63,34 +63,66 @@ def facts_of(sites: DataFrame, found: DataFrame, findings: DataFrame, contexts:
 _TITLES = {"NO_HTTPS": "Enable HTTPS with valid SSL certificate", "SSL_ERROR": "Fix SSL certificate configuration"}
 
 
-def severity(kind: Column, category: Column, expectation: Column, context: Column) -> Column:
-    """HIGH, MEDIUM or LOW of an issue."""
+def severity(kind: Column, category: Column, expectation: Column, context: Column, age_days: Column | None = None) -> Column:
+    """HIGH, MEDIUM or LOW of an issue: of a young domain by age_days (null counts as 0), of a failed
+    check by its name in category."""
+    age = F.coalesce(age_days if age_days is not None else F.lit(0), F.lit(0))
+    by_age = F.when(age < 180, "HIGH").when(age < 365, "MEDIUM").otherwise("LOW")
     policy = F.when(expectation == "required", "HIGH").when(expectation == "optional", "MEDIUM").otherwise("LOW")
     content = F.when((category == "crypto") & context.isin(*R.CRYPTO_EXPECTED), "LOW").when(category.isin("gambling", "adult"), "HIGH").otherwise("MEDIUM")
-    return F.when(kind == "ssl_missing", "HIGH").when(kind == "policy_missing", policy).when(kind == "restricted_content", content).otherwise("MEDIUM")
+    return F.when(kind.isin("ssl_missing", "ssl_error"), "HIGH").when(kind == "domain_age_low", by_age).when((kind == "compliance_failure") & category.isin(*R.STOPPING_CHECKS), "HIGH").when(kind == "policy_missing", policy).when(kind == "restricted_content", content).otherwise("MEDIUM")
+
+
+def reason(kind: Column, category: Column, expectation: Column, context: Column, age_days: Column, keyword: Column, policy: Column) -> Column:
+    """Why an issue has its severity, in words."""
+    say = lambda *parts: F.concat(*[F.coalesce(p, F.lit("")) if isinstance(p, Column) else F.lit(p) for p in parts])
+    age, expected = F.coalesce(age_days, F.lit(0)), context.isin(*R.CRYPTO_EXPECTED)
+    texts = R.REASONS
+    content = (
+        F.when((category == "crypto") & expected, say("Crypto content is expected for ", context, " businesses")).when(category == "crypto", say("Crypto content detected in ", context, " context may require review"))
+        .when(category == "gambling", texts["gambling"]).when(category == "adult", texts["adult"]).when(category == "pharmacy", texts["pharmacy"])
+        .otherwise(say("Restricted keyword '", keyword, "' detected in ", category, " category"))
+    )
+    wanted = F.when(expectation == "required", say(policy, " is required for ", context, " businesses")).when(expectation == "optional", say(policy, " is optional for ", context, " but recommended")).otherwise(say(policy, " is not applicable for ", context))
+    return (
+        F.when(kind.isin("ssl_missing", "ssl_error"), texts["ssl"]).when(kind == "domain_age_low", F.when(age < 180, texts["age_180"]).when(age < 365, texts["age_365"]).otherwise(texts["age"]))
+        .when(kind == "policy_missing", wanted).when(kind == "restricted_content", content).when(kind == "dummy_text", texts["dummy_text"])
+        .when((kind == "compliance_failure") & category.isin(*R.STOPPING_CHECKS), say(category, " failure prevents payment processing")).when(kind == "compliance_failure", say(category, " failure may impact compliance"))
+    )
+
+
+def by_severity(found: DataFrame, key: str = "site_id") -> DataFrame:
+    """Issues as a report lists them: by site, then HIGH, MEDIUM and LOW, then title and fix."""
+    rank = F.when(F.col("severity") == "HIGH", 0).when(F.col("severity") == "MEDIUM", 1).otherwise(2)
+    return found.orderBy(key, rank, "title", "fix")
 
 
 def issues(facts: DataFrame, findings: DataFrame, key: str = "site_id") -> DataFrame:
-    """(key, category, title, severity, required, fix): certificates, missing policies, restricted
-    content and placeholder text of every site."""
+    """(key, ord, category, title, severity, required, fix): certificates, missing policies, restricted
+    content and placeholder text of every site, in this order; content by its keyword's place
+    in the table."""
     null = F.lit(None).cast("string")
     ctx = F.col("primary_context")
-    made = [F.when(~F.col("ssl_ok"), F.struct(F.lit("ssl_missing").alias("kind"), F.lit("COMPLIANCE").alias("category"), F.lit("Compliance issue: NO_HTTPS").alias("title"), null.alias("expectation"), F.lit(_TITLES["NO_HTTPS"]).alias("fix")))]
-    for k, name in P.SCORED_POLICIES:
-        made.append(F.when(~F.col(f"found_{k}"), F.struct(F.lit("policy_missing").alias("kind"), F.lit("POLICY").alias("category"), F.lit(f"{name} missing").alias("title"), F.expr(expectation_sql(SPARK, k)).alias("expectation"), F.lit(f"Add {name} page accessible from site navigation").alias("fix"))))
-    made.append(F.when(F.col("has_dummy"), F.struct(F.lit("dummy_text").alias("kind"), F.lit("QUALITY").alias("category"), F.lit("Dummy/placeholder text detected").alias("title"), null.alias("expectation"), F.lit("Replace placeholder text with actual content before going live").alias("fix"))))
-    own = facts.select(key, "primary_context", F.explode(F.array_compact(F.array(*made))).alias("i")).select(key, "i.category", "i.title", severity(F.col("i.kind"), null, F.col("i.expectation"), ctx).alias("severity"), "i.fix")
+    made = [F.when(~F.col("ssl_ok"), F.struct(F.lit(0).alias("ord"), F.lit("ssl_missing").alias("kind"), F.lit("COMPLIANCE").alias("category"), F.lit("Compliance issue: NO_HTTPS").alias("title"), null.alias("expectation"), F.lit(_TITLES["NO_HTTPS"]).alias("fix")))]
+    for n, (k, name) in enumerate(P.SCORED_POLICIES, 1):
+        made.append(F.when(~F.col(f"found_{k}"), F.struct(F.lit(n).alias("ord"), F.lit("policy_missing").alias("kind"), F.lit("POLICY").alias("category"), F.lit(f"{name} missing").alias("title"), F.expr(expectation_sql(SPARK, k)).alias("expectation"), F.lit(f"Add {name} page accessible from site navigation").alias("fix"))))
+    made.append(F.when(F.col("has_dummy"), F.struct(F.lit(1_000_000).alias("ord"), F.lit("dummy_text").alias("kind"), F.lit("QUALITY").alias("category"), F.lit("Dummy/placeholder text detected").alias("title"), null.alias("expectation"), F.lit("Replace placeholder text with actual content before going live").alias("fix"))))
+    own = facts.select(key, "primary_context", F.explode(F.array_compact(F.array(*made))).alias("i")).select(key, "i.ord", "i.category", "i.title", severity(F.col("i.kind"), null, F.col("i.expectation"), ctx).alias("severity"), "i.fix")
     content = findings.join(facts.select(key, "primary_context"), key).select(
-        key, F.lit("CONTENT_RISK").alias("category"), F.concat(F.lit("Restricted content detected: "), F.col("category")).alias("title"),
+        key, (F.col("kw_ord") + 100).cast("int").alias("ord"), F.lit("CONTENT_RISK").alias("category"), F.concat(F.lit("Restricted content detected: "), F.col("category")).alias("title"),
         severity(F.lit("restricted_content"), F.col("category"), null, ctx).alias("severity"), F.concat(F.lit("Review content for '"), F.col("keyword"), F.lit("' - may require special compliance")).alias("fix"),
     )
     return own.unionByName(content).withColumn("required", F.col("severity") == "HIGH")
 
 
 def recommendations(found: DataFrame, key: str = "site_id") -> DataFrame:
-    """(key, fixes): up to three distinct fixes of HIGH issues, then up to two of MEDIUM."""
-    take = lambda s, n: F.slice(F.array_sort(F.collect_set(F.when(F.col("severity") == s, F.col("fix")))), 1, n)
-    return found.groupBy(key).agg(take("HIGH", 3).alias("a"), take("MEDIUM", 2).alias("b")).select(key, F.array_join(F.array_distinct(F.concat("a", "b")), "; ").alias("fixes"))
+    """(key, fixes): the distinct fixes of a site's first three HIGH issues, then of its first two
+    MEDIUM ones. A bounded rank, so that a site with many findings is cut before the shuffle."""
+    order = W.partitionBy(key, "severity").orderBy("ord", "fix")
+    ranked = found.where("severity in ('HIGH', 'MEDIUM')").select(key, "severity", "fix", "ord").withColumn("k", F.row_number().over(order)).where("k <= 3")
+    kept = ranked.where("severity = 'HIGH' or k <= 2").select(key, F.struct(F.when(F.col("severity") == "HIGH", 0).otherwise(1).alias("s"), "k", "fix").alias("r"))
+    fixes = F.transform(F.array_sort(F.collect_list("r")), lambda r: r["fix"])
+    return kept.groupBy(key).agg(F.array_join(F.array_distinct(fixes), "; ").alias("fixes"))
 
 
 def report(scores: DataFrame, found: DataFrame, key: str = "site_id") -> DataFrame:

@@ -148,6 +148,18 @@ def sitemap_urls(files: DataFrame, cap: int = 100) -> DataFrame:
     return files.select("site_id", F.posexplode(F.slice(found, 1, cap)).alias("ord", "url")).withColumn("url", unescape_xml(F.col("url")))
 
 
+def sitemap_queue(urls: DataFrame, cap: int = 100) -> DataFrame:
+    """(site_id, rank_, url, page_type, priority): of each site's sitemap urls (site_id, base, ord,
+    url) the distinct ones of just its own host (no subdomains, every `www.` left out) that
+    are pages, by priority and then order, the first `cap`. Priority comes before the cap.
+    A bounded rank, which Spark cuts in every partition before it shuffles."""
+    own = urls.withColumn("url", F.trim("url")).where(f"url <> '' and {U.domain(SPARK, 'url')} = {U.domain(SPARK, 'base')} and not {U.is_skipped(SPARK, 'url')}")
+    distinct = own.groupBy("site_id", "url").agg(F.min("ord").alias("ord"))
+    typed = classify(distinct, anchor=None).withColumn("priority", F.expr(U.priority(SPARK, "page_type")))
+    order = W.partitionBy("site_id").orderBy(F.col("priority").desc(), "ord")
+    return typed.withColumn("rank_", F.row_number().over(order)).where(F.col("rank_") <= cap).select("site_id", "rank_", "url", "page_type", "priority")
+
+
 def breadth_first(roots: DataFrame, links: DataFrame, depth: int = 3) -> DataFrame:
     """(node, depth): nodes reachable from roots (node) over links (src, dst) in at most `depth`
     steps, with their least distance. One join a level, each with the nodes that are new."""

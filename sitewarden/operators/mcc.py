@@ -30,6 +30,11 @@ def insert_missing(old: DataFrame, new: DataFrame) -> DataFrame:
     return fresh.groupBy("mcc").agg(F.min_by("description", "ord").alias("description"))
 
 
+def listed(codes: DataFrame, active_only: bool = True) -> DataFrame:
+    """Codes by number; those that aren't active only if asked for."""
+    return (codes.where("active") if active_only else codes).orderBy("mcc")
+
+
 def decide(decisions: DataFrame, codes: DataFrame, tasks: DataFrame) -> DataFrame:
     """Validation of decisions (id, mcc, task_id): the first check that fails, or ok."""
     known = codes.groupBy("mcc").agg(F.max("active").alias("active"))

@@ -101,6 +101,15 @@ def has_lorem(text: Column) -> Column:
     return text.rlike("|".join(f"(?:{p})" for p in R.LOREM))
 
 
+def placeholder_patterns(pages: DataFrame, key: str = "site_id") -> DataFrame:
+    """(key, patterns): which placeholder patterns a site's pages hold, as a sorted set of at most
+    as many as there are patterns; sites without any have no row."""
+    text = F.col("page_text")
+    hits = F.filter(F.array(*[F.when(text.rlike(p), F.lit(i)) for i, p in enumerate(R.LOREM)]), lambda i: i.isNotNull())
+    found = pages.select(key, F.explode(hits).alias("i")).groupBy(key).agg(F.sort_array(F.collect_set("i")).alias("at"))
+    return found.select(key, F.transform("at", lambda i: F.get(F.array(*map(F.lit, R.LOREM)), i)).alias("patterns"))
+
+
 def site_scores(pages: DataFrame, keywords=R.RESTRICTED) -> DataFrame:
     """(site_id, n_findings, has_dummy, risk_score, risk_band): 20 for each finding and 50 for
     placeholder text. Findings are counted in the page, so that only counts are shuffled."""

@@ -114,8 +114,41 @@ def update_status(tasks: DataFrame, changes: DataFrame, as_of: Column) -> DataFr
     )
 
 
-def merge_fields(old: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
-    """Rows of old with the non-null fields of changes put in their place (a partial update)."""
+def finish(tasks: DataFrame, ends: DataFrame, as_of: Column) -> DataFrame:
+    """Tasks after they end: ends (id, output, error) has one row for each that did. With an error
+    they are failed, else completed with the output; all end at as_of."""
+    done = ends.select("id", F.col("output").alias("new_output"), F.col("error").alias("new_error"), F.lit(True).alias("done_"))
+    ended = F.col("done_").isNotNull()
+    new = lambda c: F.when(ended, F.col(f"new_{c}")).otherwise(F.col(c) if c in tasks.columns else F.lit(None).cast("string"))
+    return tasks.join(done, "id", "left").select(
+        *[c for c in tasks.columns if c not in ("status", "completed_at", "output", "error")],
+        F.when(F.col("new_error").isNotNull(), "failed").when(ended, "completed").otherwise(F.col("status")).alias("status"),
+        F.when(ended, as_of).otherwise(F.col("completed_at")).alias("completed_at"), new("output").alias("output"), new("error").alias("error"),
+    )
+
+
+def append_rows(log: DataFrame, new: DataFrame, as_of: Column) -> DataFrame:
+    """A log (audit entries, messages) with new rows at its end, stamped as_of."""
+    return log.unionByName(new.withColumn("timestamp", as_of), allowMissingColumns=True)
+
+
+def page_bounds(total: Column, page: Column, limit: int) -> dict[str, Column]:
+    """offset, number of pages, and whether a page (from 1 on) has one before and one behind it."""
+    return {"offset": (page - 1) * limit, "pages": F.ceil(total / limit), "has_previous": page > 1, "has_next": page * limit < total}
+
+
+def of_kind(rows: DataFrame, kind: str | None, col: str = "type", limit: int | None = None) -> DataFrame:
+    """Rows whose col is kind, whatever the case; None and All take every row. With limit the
+    newest ones."""
+    kept = rows if kind is None or kind.lower() == "all" else rows.where(F.lower(col) == kind.lower())
+    return kept if limit is None else kept.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(limit)
+
+
+def merge_fields(old: DataFrame, changes: DataFrame, key: str = "id", as_of: Column | None = None) -> DataFrame:
+    """Rows of old with the non-null fields of changes put in their place (a partial update).
+    With as_of, updated_at of every row that has a change is set, even of one without fields."""
+    if as_of is not None:
+        changes = changes.withColumn("updated_at", as_of)
     fields = [c for c in changes.columns if c != key]
     new = changes.select(key, *[F.col(c).alias(f"new_{c}") for c in fields])
     both = old.join(new, key, "left")

@@ -11,6 +11,7 @@ from ..functions.sqltext import DUCK, SPARK, cases
 from ..operators import cache, changes, compliance, context, crawl, mcc, pages, policy, research, risk, signals, tasks
 from ..rules import changes as CR, mcc as MR, pages as PR, policies as PO, risk as RR
 from ..session import scratch
+from ..sources import files
 from ..sources.views import VIEWS, cte, read_table, view
 from ..streaming import events as events_
 
@@ -143,8 +144,50 @@ def agent_lookup(spark, d):
     return view(spark, d, "agents").where("type = 'market_research'")
 
 
+_END = f"CASE WHEN id % 12 = 0 THEN 'failed' WHEN id % 6 = 0 THEN 'completed' ELSE status END"
+
+
+@query(f"WITH {cte('tasks')} SELECT id, {_END} AS status, CASE WHEN id % 6 = 0 THEN {AS_OF_TASKS} ELSE completed_at END AS completed_at, CASE WHEN id % 6 = 0 AND id % 12 <> 0 THEN 'done ' || id END AS output, CASE WHEN id % 12 = 0 THEN 'broken' END AS error FROM tasks")
+def task_finish(spark, d):
+    t = view(spark, d, "tasks")
+    broken = F.col("id") % 12 == 0
+    ends = t.where("id % 6 = 0").select("id", F.when(~broken, F.concat(F.lit("done "), F.col("id").cast("string"))).alias("output"), F.when(broken, "broken").alias("error"))
+    return tasks.finish(t, ends, _ntz(AS_OF_TASKS)).select("id", "status", "completed_at", "output", "error")
+
+
+@query(f"WITH {cte('agents')} SELECT id, CASE WHEN id % 2 = 0 AND id % 4 <> 0 THEN 'paused' ELSE status END AS status, CASE WHEN id % 2 = 0 THEN {AS_OF_TASKS} END AS updated_at FROM agents")
+def agent_update_stamp(spark, d):
+    a = view(spark, d, "agents").withColumn("updated_at", F.lit(None).cast("timestamp_ntz"))
+    change = a.where("id % 2 = 0").select("id", F.when(F.col("id") % 4 != 0, "paused").alias("status"))
+    return tasks.merge_fields(a, change, as_of=_ntz(AS_OF_TASKS)).select("id", "status", "updated_at")
+
+
+@query(f"SELECT s_suppkey AS scan_id, source, CASE WHEN source = 'review' THEN {AS_OF_TASKS} END AS timestamp FROM supplier, (VALUES ('import'), ('review')) AS t(source) WHERE source = 'import' OR s_suppkey % 3 = 0")
+def audit_append(spark, d):
+    rows = read_table(spark, d, "supplier").select(F.col("s_suppkey").alias("scan_id"))
+    log = rows.select("scan_id", F.lit("import").alias("source"), F.lit(None).cast("timestamp_ntz").alias("timestamp"))
+    return tasks.append_rows(log, rows.where("scan_id % 3 = 0").withColumn("source", F.lit("review")), _ntz(AS_OF_TASKS))
+
+
+@query(f"WITH {cte('tasks')}, n AS (SELECT agent_id, count(*) AS total FROM tasks GROUP BY 1), p AS (SELECT agent_id, total, 1 + agent_id AS page FROM n) SELECT agent_id, total, (page - 1) * 50 AS start, CAST(ceil(total / 50) AS BIGINT) AS pages, page > 1 AS has_previous, page * 50 < total AS has_next FROM p")
+def task_page_bounds(spark, d):
+    n = tasks.agent_metrics(view(spark, d, "tasks")).select("agent_id", F.col("total_tasks").alias("total"))
+    b = tasks.page_bounds(F.col("total"), F.col("agent_id") + 1, 50)
+    return n.select("agent_id", "total", b["offset"].alias("start"), *[b[k].alias(k) for k in ("pages", "has_previous", "has_next")])
+
+
+@query(f"WITH {cte('tasks')} SELECT id, priority FROM tasks WHERE priority = 'high' ORDER BY created_at DESC, id DESC LIMIT 3")
+def task_of_kind(spark, d):
+    return tasks.of_kind(view(spark, d, "tasks"), "HIGH", "priority", 3).select("id", "priority")
+
+
 # --- category codes
 
+@query(f"WITH {cte('mcc_codes')} SELECT mcc, description FROM mcc_codes WHERE active ORDER BY mcc")
+def mcc_active(spark, d):
+    return mcc.listed(view(spark, d, "mcc_codes")).select("mcc", "description")
+
+
 _BANDED = f"SELECT mcc, arg_max(description, ord) AS description, {mcc.band(D, 'mcc')} AS category, concat(CAST(mcc AS INT) // 100 * 100, '-', CAST(mcc AS INT) // 100 * 100 + 99) AS mcc_range FROM mcc_codes GROUP BY mcc"
 
 
@@ -329,6 +372,19 @@ def sitemap_extract(spark, d):
     return crawl.sitemap_urls(files)
 
 
+_MAP_URLS = "SELECT site_id, link_ord AS ord, CASE WHEN link_ord % 10 = 0 THEN replace(url, '://', '://blog.') ELSE url END AS url, concat('https://www.site', CAST(site_id AS VARCHAR(9)), '.example.com/') AS base FROM {links}"
+_URL_SCORES = U.type_scores(D, "url")
+_URL_BEST = "greatest(" + ", ".join(f"s_{k}" for k, _ in _URL_SCORES) + ")"
+
+
+@query(f"""WITH {cte('site_links')}, m AS ({_MAP_URLS.replace('{links}', 'site_links')}),
+own AS (SELECT site_id, url, min(ord) AS ord FROM m WHERE {U.domain(D, 'url')} = {U.domain(D, 'base')} AND NOT {U.is_skipped(D, 'url')} GROUP BY 1, 2),
+scored AS (SELECT *, {', '.join(f'{e} AS s_{k}' for k, e in _URL_SCORES)} FROM own), typed AS (SELECT *, {cases([(f'{_URL_BEST} <= 0', "'other'"), *[(f's_{k} = {_URL_BEST}', f"'{k}'") for k, _ in _URL_SCORES]], 'NULL')} AS page_type FROM scored),
+p AS (SELECT *, {U.priority(D, 'page_type')} AS priority FROM typed), r AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY priority DESC, ord) AS rank_ FROM p) SELECT site_id, rank_, url, page_type, priority FROM r WHERE rank_ <= 100""")
+def sitemap_queue(spark, d):
+    return crawl.sitemap_queue(spark.sql(_MAP_URLS, links=view(spark, d, "site_links")))
+
+
 @query("""WITH RECURSIVE e AS (SELECT c_custkey AS src, c_custkey * 2 AS dst FROM customer UNION SELECT c_custkey, c_custkey * 3 + 1 FROM customer),
 b AS (SELECT 1::BIGINT AS node, 0 AS depth UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.node WHERE b.depth < 3) SELECT node, min(depth) AS depth FROM b GROUP BY 1""")
 def bfs_depth(spark, d):
@@ -412,6 +468,11 @@ def risk_by_category(spark, d):
     return risk.by_category(risk.findings(view(spark, d, "risk_pages")))
 
 
+@query(f"WITH {cte('risk_pages')}, p AS (SELECT DISTINCT site_id, i, p FROM risk_pages, (VALUES {', '.join(f'({i}, {D.text(p)})' for i, p in enumerate(RR.LOREM))}) AS t(i, p) WHERE regexp_matches(page_text, p)) SELECT site_id, string_agg(p, ' ' ORDER BY i) AS patterns FROM p GROUP BY 1")
+def placeholder_patterns(spark, d):
+    return risk.placeholder_patterns(view(spark, d, "risk_pages")).select("site_id", F.array_join("patterns", " ").alias("patterns"))
+
+
 _EV = ", ".join(f"{e} AS {n}" for n, e in context.evidence_sql(D, "page_text").items())
 _S = context.score_sql(D)
 _SC = ", ".join(f"{s} AS s_{k}" for k, s in _S)
@@ -457,13 +518,13 @@ def compliance_score(spark, d):
 
 
 def _issue_sql() -> str:
-    parts = ["SELECT site_id, 'COMPLIANCE' AS category, 'Compliance issue: NO_HTTPS' AS title, 'HIGH' AS severity, 'Enable HTTPS with valid SSL certificate' AS fix FROM facts WHERE NOT ssl_ok"]
-    for p, name in PO.SCORED_POLICIES:
+    parts = ["SELECT site_id, 0 AS ord, 'COMPLIANCE' AS category, 'Compliance issue: NO_HTTPS' AS title, 'HIGH' AS severity, 'Enable HTTPS with valid SSL certificate' AS fix FROM facts WHERE NOT ssl_ok"]
+    for n, (p, name) in enumerate(PO.SCORED_POLICIES, 1):
         e = compliance.expectation_sql(D, p)
-        parts.append(f"SELECT site_id, 'POLICY', '{name} missing', CASE {e} WHEN 'required' THEN 'HIGH' WHEN 'optional' THEN 'MEDIUM' ELSE 'LOW' END, 'Add {name} page accessible from site navigation' FROM facts WHERE NOT found_{p}")
-    parts.append("SELECT site_id, 'QUALITY', 'Dummy/placeholder text detected', 'MEDIUM', 'Replace placeholder text with actual content before going live' FROM facts WHERE has_dummy")
+        parts.append(f"SELECT site_id, {n}, 'POLICY', '{name} missing', CASE {e} WHEN 'required' THEN 'HIGH' WHEN 'optional' THEN 'MEDIUM' ELSE 'LOW' END, 'Add {name} page accessible from site navigation' FROM facts WHERE NOT found_{p}")
+    parts.append("SELECT site_id, 1000000, 'QUALITY', 'Dummy/placeholder text detected', 'MEDIUM', 'Replace placeholder text with actual content before going live' FROM facts WHERE has_dummy")
     expected = ", ".join(f"'{c}'" for c in RR.CRYPTO_EXPECTED)
-    parts.append(f"SELECT f.site_id, 'CONTENT_RISK', 'Restricted content detected: ' || f.category, CASE WHEN f.category = 'crypto' AND primary_context IN ({expected}) THEN 'LOW' WHEN f.category IN ('gambling', 'adult') THEN 'HIGH' ELSE 'MEDIUM' END, 'Review content for ''' || keyword || ''' - may require special compliance' FROM found f JOIN facts USING (site_id)")
+    parts.append(f"SELECT f.site_id, kw_ord + 100, 'CONTENT_RISK', 'Restricted content detected: ' || f.category, CASE WHEN f.category = 'crypto' AND primary_context IN ({expected}) THEN 'LOW' WHEN f.category IN ('gambling', 'adult') THEN 'HIGH' ELSE 'MEDIUM' END, 'Review content for ''' || keyword || ''' - may require special compliance' FROM found f JOIN facts USING (site_id)")
     return "issues AS (SELECT *, severity = 'HIGH' AS required FROM (" + " UNION ALL ".join(parts) + ") x)"
 
 
@@ -477,7 +538,15 @@ def severity_rules(spark, d):
     return compliance.issues(*_facts(spark, d)).groupBy("site_id").agg(F.count("*").alias("issues"), F.count_if(F.col("severity") == "HIGH").alias("critical"))
 
 
-@query()
+_FIXES = """ranked AS (SELECT *, row_number() OVER (PARTITION BY site_id, severity ORDER BY ord, fix) AS k FROM issues),
+firsts AS (SELECT site_id, fix, min(CASE severity WHEN 'HIGH' THEN k ELSE 10 + k END) AS place FROM ranked WHERE (severity = 'HIGH' AND k <= 3) OR (severity = 'MEDIUM' AND k <= 2) GROUP BY 1, 2),
+fixes AS (SELECT site_id, string_agg(fix, '; ' ORDER BY place) AS fixes FROM firsts GROUP BY 1),
+counted AS (SELECT site_id, count(*) AS issues, count(*) FILTER (WHERE severity = 'HIGH') AS critical FROM issues GROUP BY 1)"""
+
+
+@query(f"""WITH {_ALL}, {_SCORE}, {_issue_sql()}, {_FIXES}
+SELECT site_id, '{{"site_id":' || site_id || ',"scores":{{"technical_score":' || technical_score || ',"policy_score":' || policy_score || ',"trust_score":' || trust_score || ',"total_score":' || total_score || ',"rating":"' || rating || '"}},"pass":' || CASE WHEN rating <> 'Poor' AND coalesce(critical, 0) = 0 THEN 'true' ELSE 'false' END
+  || ',"summary":{{"issues":' || coalesce(issues, 0) || ',"critical":' || coalesce(critical, 0) || '}},"recommendations":"' || coalesce(fixes, '') || '"}}' AS report FROM scores LEFT JOIN counted USING (site_id) LEFT JOIN fixes USING (site_id)""")
 def report_json(spark, d):
     facts, found = _facts(spark, d)
     return compliance.report(compliance.score(facts), compliance.issues(facts, found))
@@ -609,6 +678,18 @@ def redirect_alerts(spark, d):
     return rows.select("site_id", "a.code", "a.description")
 
 
+@query("SELECT c_custkey AS id, c_custkey * 11 AS days, CASE WHEN c_custkey * 11 > 1095 THEN 'Good' WHEN c_custkey * 11 > 365 THEN 'Moderate' ELSE 'Low' END AS band FROM customer")
+def domain_age_bands(spark, d):
+    days = F.col("c_custkey") * 11
+    return read_table(spark, d, "customer").select(F.col("c_custkey").alias("id"), days.alias("days"), signals.age_band(days).alias("band"))
+
+
+@query("SELECT c_custkey AS id, 'https://a.test/domain/' || c_custkey || CASE WHEN c_custkey % 2 = 0 THEN '' ELSE ' https://b.test/r/domain/' || c_custkey END AS urls FROM customer")
+def registry_urls(spark, d):
+    bases = F.array(F.lit("https://a.test/"), F.when(F.col("c_custkey") % 2 == 0, "https://a.test").otherwise("https://b.test/r//"), F.lit("https://a.test"))
+    return read_table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.array_join(files.registry_urls(F.col("c_custkey").cast("string"), bases), " ").alias("urls"))
+
+
 @query("""WITH f AS (SELECT c_custkey AS site_id, c_custkey % 2 = 0 AS r, c_custkey % 3 = 0 AS t, c_custkey % 5 = 0 AS s, c_custkey % 7 = 0 AS p FROM customer)
 SELECT site_id, r AND t AS passes, CASE WHEN r AND t THEN '' ELSE concat_ws(' ', CASE WHEN NOT r THEN 'Refund/Return Policy is missing. Please add a clear Refund Policy page.' END, CASE WHEN NOT t THEN 'Terms & Conditions are missing. Please add a Terms of Service page.' END, CASE WHEN NOT s AND p THEN 'Shipping Policy is recommended for e-commerce sites.' END) END AS actions FROM f""")
 def payment_terms(spark, d):

@@ -23,6 +23,12 @@ def networks(text: Column) -> Column:
     return F.when(inner != "", F.split(inner, ","))
 
 
+def registry_urls(domain: Column, bases: Column) -> Column:
+    """Where to ask a registry for a domain: one url for each base, without the slashes at its
+    end, the first of equal ones only."""
+    return F.array_distinct(F.transform(bases, lambda b: F.concat(F.regexp_replace(b, "/+$", ""), F.lit("/domain/"), domain)))
+
+
 def registry_facts(answers: DataFrame, as_of: Column) -> DataFrame:
     """Facts of domain registry answers (site_id, body as JSON): registered and expiry dates (the
     first event of that kind), age in days at as_of, up to ten name servers, whether signed."""

@@ -71,6 +71,43 @@ def test_compliance(spark, context, found, crypto, want):
     assert (got["policy_score"], got["trust_score"], got["total_score"], got["rating"]) == want
 
 
+def test_severities_and_reasons(spark):
+    """Every kind of issue: severity and reason by hand."""
+    rows = [
+        ("ssl_missing", None, None, "FINTECH", None, None, None), ("ssl_error", None, None, "FINTECH", None, None, None), ("domain_age_low", None, None, "X", 10, None, None), ("domain_age_low", None, None, "X", 200, None, None),
+        ("domain_age_low", None, None, "X", 400, None, None), ("policy_missing", None, "required", "X", None, None, "Privacy Policy"), ("policy_missing", None, "optional", "X", None, None, "Refund Policy"),
+        ("policy_missing", None, "n/a", "X", None, None, "Refund Policy"), ("restricted_content", "crypto", None, "FINTECH_INFRASTRUCTURE", None, "bitcoin", None), ("restricted_content", "crypto", None, "X", None, "bitcoin", None),
+        ("restricted_content", "gambling", None, "X", None, "casino", None), ("restricted_content", "forex", None, "X", None, "fx", None), ("dummy_text", None, None, "X", None, None, None),
+        ("compliance_failure", "ssl_valid", None, "X", None, None, None), ("compliance_failure", "redirects", None, "X", None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "kind string, category string, expectation string, context string, age int, keyword string, policy string").coalesce(1)
+    c = {n: F.col(n) for n in df.columns}
+    got = df.select(compliance.severity(c["kind"], c["category"], c["expectation"], c["context"], c["age"]).alias("s"), compliance.reason(c["kind"], c["category"], c["expectation"], c["context"], c["age"], c["keyword"], c["policy"]).alias("r")).collect()
+    assert [r["s"] for r in got] == ["HIGH", "HIGH", "HIGH", "MEDIUM", "LOW", "HIGH", "MEDIUM", "LOW", "LOW", "MEDIUM", "HIGH", "MEDIUM", "MEDIUM", "HIGH", "MEDIUM"]
+    want = {
+        2: "Domain age < 6 months indicates high risk for payment processing", 5: "Privacy Policy is required for X businesses", 6: "Refund Policy is optional for X but recommended", 7: "Refund Policy is not applicable for X",
+        8: "Crypto content is expected for FINTECH_INFRASTRUCTURE businesses", 9: "Crypto content detected in X context may require review", 11: "Restricted keyword 'fx' detected in forex category",
+        13: "ssl_valid failure prevents payment processing", 14: "redirects failure may impact compliance",
+    }
+    assert {k: got[k]["r"] for k in want} == want and all(r["r"] for r in got)
+
+
+def test_recommendations_in_order(spark):
+    """The first three HIGH issues and the first two MEDIUM ones, in issue order, each fix once."""
+    rows = [(1, 5, "HIGH", "d"), (1, 0, "HIGH", "z"), (1, 1, "HIGH", "y"), (1, 2, "HIGH", "z"), (1, 9, "MEDIUM", "b"), (1, 8, "MEDIUM", "y"), (1, 10, "MEDIUM", "a"), (1, 3, "LOW", "l"), (2, 0, "LOW", "l")]
+    df = spark.createDataFrame([(*r, "t") for r in rows], "site_id int, ord int, severity string, fix string, title string")
+    assert [tuple(r) for r in compliance.recommendations(df).collect()] == [(1, "z; y; b")]
+    assert [r["severity"] for r in compliance.by_severity(df.where("site_id = 1")).collect()] == ["HIGH"] * 4 + ["MEDIUM"] * 3 + ["LOW"]
+
+
+def test_sitemap_queue(spark):
+    """Own host only, pages only, each url once, priority before the cap."""
+    urls = ["https://e.com/x", " https://e.com/x ", "https://blog.e.com/privacy", "https://e.com/a.pdf", "", "https://www.e.com/privacy-policy", None, "https://o.com/pricing"]
+    df = spark.createDataFrame([(1, "https://www.E.com", i, u) for i, u in enumerate(urls)], "site_id int, base string, ord int, url string")
+    assert [(r["rank_"], r["url"]) for r in crawl.sitemap_queue(df).orderBy("rank_").collect()] == [(1, "https://www.e.com/privacy-policy"), (2, "https://e.com/x")]
+    assert [r["url"] for r in crawl.sitemap_queue(df, 1).collect()] == ["https://www.e.com/privacy-policy"]
+
+
 SNAP = "id long, target_url string, scan_timestamp timestamp, page_hashes map<string,string>, pricing_model string, product_count int"
 
 
