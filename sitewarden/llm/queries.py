@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, embedding_dedup, fill_middle, fingerprints, language_id, line_dedup, minhash, mixing, token_pack, url_filter, warc
+from . import bpe, embedding_dedup, fill_middle, fingerprints, language_id, license_scan, line_dedup, minhash, mixing, token_pack, url_filter, warc
 from ._shared import saved, table
 
 
@@ -57,6 +57,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_middle.restored(), 256).alias("restored_sha256"))
@@ -67,6 +71,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
+def _license_sql() -> str:
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    k, lower = license_scan.GRAM, f"translate(%s, '{license_scan.UPPER}', '{license_scan.LOWER}')"
+    words = f"regexp_extract_all({lower}, '{license_scan.WORD}')"
+    templates = ", ".join(f"({i}, {quoted(label)}, {quoted(text)})" for i, (label, text) in enumerate(license_scan.TEMPLATES))
+    places = " UNION ALL ".join(f"SELECT doc_id, i - 1 AS place, {quoted(label)} AS label FROM w, unnest(range(1, len(ws) + 1)) AS u(i) WHERE ws[i:i + {len(p.split(' ')) - 1}] = {p.split(' ')}" for p, label in license_scan.PHRASES)
+    return f"""
+WITH w AS (SELECT doc_id, {words % "coalesce(text, '')"} AS ws FROM documents),
+t AS (SELECT tpl, label, {words % "text"} AS ws FROM (VALUES {templates}) AS v(tpl, label, text)),
+g AS (SELECT tpl, label, len(ws) AS m, i - 1 AS tpl_pos, array_to_string(ws[i:i + {k - 1}], ' ') AS gram FROM t, unnest(range(1, len(ws) - {k - 2})) AS u(i)),
+d AS (SELECT doc_id, i - 1 AS doc_pos, array_to_string(ws[i:i + {k - 1}], ' ') AS gram FROM w, unnest(range(1, len(ws) - {k - 2})) AS u(i)),
+h AS (SELECT DISTINCT doc_id, tpl, label, m, doc_pos, tpl_pos, doc_pos - tpl_pos AS diagonal FROM d JOIN g USING (gram)),
+n AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, tpl ORDER BY diagonal, doc_pos) <= {license_scan.DRIFT} THEN 0 ELSE 1 END AS new FROM h),
+c AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, tpl ORDER BY diagonal, doc_pos) AS cluster FROM n),
+s AS (SELECT doc_id, tpl, label, m, cluster, tpl_pos, min(doc_pos) AS low, max(doc_pos) AS high FROM c GROUP BY ALL),
+e AS (SELECT *, least({k}, coalesce(tpl_pos - lag(tpl_pos) OVER (PARTITION BY doc_id, tpl, cluster ORDER BY tpl_pos), {k})) AS adds FROM s),
+v AS (SELECT doc_id, tpl, label, m, cluster, min(low) AS b, max(high) + {k} AS f, sum(adds) AS covered FROM e GROUP BY ALL),
+r AS (SELECT * FROM v WHERE 100 * covered >= {license_scan.PERCENT} * m AND 2 * (f - b) <= 3 * m),
+best AS (SELECT doc_id, max(covered / m) AS score FROM r x WHERE NOT EXISTS (SELECT 1 FROM r o WHERE o.doc_id = x.doc_id AND o.b < x.f AND x.b < o.f AND (o.covered > x.covered OR (o.covered = x.covered AND o.m < x.m))) GROUP BY 1),
+own AS (SELECT doc_id, label FROM r x WHERE NOT EXISTS (SELECT 1 FROM r o WHERE o.doc_id = x.doc_id AND o.b < x.f AND x.b < o.f AND (o.covered > x.covered OR (o.covered = x.covered AND o.m < x.m)))),
+p AS ({places}),
+base AS (SELECT doc_id, count(*) AS n, min(place) AS lo, max(place) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM p GROUP BY 1),
+every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM p UNION ALL SELECT doc_id, label FROM own) GROUP BY 1)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_base, base.lo AS first_word, base.hi AS last_word, coalesce(base.labels, '') AS base_labels, coalesce(every.labels, '') AS labels,
+  greatest(coalesce(best.score, 0.0), CASE WHEN base.n > 0 THEN {license_scan.NAMED} ELSE 0.0 END)::DOUBLE AS score
+FROM w LEFT JOIN base ON base.doc_id = w.doc_id LEFT JOIN every ON every.doc_id = w.doc_id LEFT JOIN best ON best.doc_id = w.doc_id"""
+
+
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
 
@@ -111,6 +143,7 @@ f AS (SELECT key, min(doc_id) AS first_doc FROM k WHERE length(key) >= 10 GROUP
 j AS (SELECT k.*, f.key IS NOT NULL AND k.doc_id <> f.first_doc AS gone FROM k LEFT JOIN f ON f.key = k.key)
 SELECT doc_id, max(n)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM j GROUP BY doc_id""",
+        "op12_license_scan": _license_sql(),
         "op13_fill_in_middle": r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || doc_id) AS d FROM documents),
 h AS (SELECT *, len(u) AS n, ('0x' || d[1:8])::BIGINT AS h1, ('0x' || d[9:16])::BIGINT AS h2, ('0x' || d[17:24])::BIGINT AS h3, ('0x' || d[25:32])::BIGINT AS h4 FROM t),
