@@ -1,0 +1,123 @@
+"""Plain versions of what a crawl of one site does: a tree, queues and loops, one page at a time."""
+
+import re
+from html.parser import HTMLParser
+from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit
+
+from sitewarden.rules import pages as R
+
+VOID = "area base br col embed hr img input link meta param source track wbr".split()
+
+
+class Node:
+    def __init__(self, tag, attrs, parent):
+        self.tag, self.attrs, self.parent, self.kids = tag, attrs, parent, []
+
+    def walk(self):
+        for k in self.kids:
+            if isinstance(k, Node):
+                yield k
+                yield from k.walk()
+
+    def text(self):
+        return "".join(k.text() if isinstance(k, Node) else k.strip() for k in self.kids if not (isinstance(k, Node) and k.tag in ("script", "style")))
+
+
+class Tree(HTMLParser):
+    def __init__(self, html):
+        super().__init__(convert_charrefs=True)
+        self.root = self.at = Node("", {}, None)
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
+        self.at.kids.append(node)
+        if tag not in VOID:
+            self.at = node
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
+            self.handle_endtag(tag)
+
+    def handle_endtag(self, tag):
+        x = self.at
+        while x.parent and x.tag != tag:
+            x = x.parent
+        if x.parent:
+            self.at = x.parent
+
+    def handle_data(self, data):
+        self.at.kids.append(data)
+
+
+def domain(url):
+    return urlsplit(url).netloc.lower().replace("www.", "")
+
+
+def normalize(url):
+    p = urlsplit(url)
+    kept = sorted((k, v) for k, v in parse_qsl(p.query) if k.lower() in R.PRESERVED_PARAMS)
+    return f"{p.scheme}://{p.netloc.lower()}{p.path.rstrip('/') or '/'}" + (f"?{urlencode(kept)}" if kept else "")
+
+
+def classify(url, anchor="", title=""):
+    if any(re.search(p, url.lower()) for p in R.SKIP_URLS):
+        return "skip", 1.0
+    path, best = urlsplit(url).path.lower(), ("other", 0.0)
+    for kind, by_url, by_text in R.PAGE_PATTERNS:
+        if kind in R.POLICY_LIKE and any(re.search(p, url.lower()) for p in R.CONTENT_URLS):
+            continue
+        score = next((w for p, w in by_url if re.search(p, path)), 0.0)
+        for text, share in ((anchor.lower(), 0.3), (title.lower(), 0.2)):
+            score = min(1.0, score + next((w for p, w in by_text if re.search(p, text)), 0.0) * share)
+        if score > best[1]:
+            best = kind, score
+    return best[0], round(best[1], 2)
+
+
+def priority(kind):
+    return R.PRIORITY.get(kind, 10)
+
+
+def take(element, base, source, seen):
+    out = []
+    for a in element.walk():
+        href = a.attrs.get("href")
+        if a.tag != "a" or href is None or href.startswith(("#", "javascript:", "mailto:", "tel:")):
+            continue
+        url = urljoin(base, href)
+        norm, own = normalize(url), domain(base)
+        if norm in seen or not (domain(url) == own or domain(url).endswith("." + own)):
+            continue
+        kind, confidence = classify(url, a.text())
+        if kind == "skip":
+            continue
+        seen.add(norm)
+        out.append({"url": url, "norm": norm, "text": a.text(), "source": source, "page_type": kind, "confidence": confidence})
+    return out
+
+
+def navigation(html, base, sitemap_found=True):
+    tree, seen, out = Tree(html).root, set(), []
+    every = list(tree.walk())
+    for tag, most in (("nav", 10**6), ("header", 1), ("footer", 1)):
+        for e in [e for e in every if e.tag == tag][:most]:
+            out += take(e, base, tag, seen)
+    for at in ("class", "id"):
+        for word in ("menu", "nav"):
+            for e in [e for e in every if word in e.attrs.get(at, "")][:5]:
+                if e.tag not in ("nav", "header", "footer"):
+                    out += take(e, base, "menu", seen)
+    out.sort(key=lambda x: -priority(x["page_type"]))
+    if not sitemap_found:
+        more = []
+        main = next((e for e in every if e.tag == "main"), None) or next((e for e in every if e.attrs.get("id") == "content"), None) or next((e for e in every if "content" in e.attrs.get("class", "").split()), None)
+        if main:
+            more += take(main, base, "content", seen)
+        if body := next((e for e in every if e.tag == "body"), None):
+            more += take(body, base, "body", seen)
+        more.sort(key=lambda x: -priority(x["page_type"]))
+        out = sorted(out + more[:50], key=lambda x: -priority(x["page_type"]))
+    return out
