@@ -21,6 +21,8 @@ from .bpe import byte_alphabet
 BLOCK_BYTES = 4 << 20
 #: Alignments of so many distinct runs are kept by a worker; of longer runs than RUN_BYTES none.
 MOST_RUNS, RUN_BYTES = 200_000, 64
+#: New runs that go through the tokenizers and the kernel side by side.
+RUNS_AT_ONCE = 1 << 13
 #: Rows of a block's dictionary that travel as one.
 DICTIONARY_ROWS = 1 << 14
 A_SHIFT = 1 << 32
@@ -95,6 +97,9 @@ class Aligner:
         a_bytes = {i: bytes(byte_of[c] for c in s) for s, i in spec["model"]["vocab"].items() if all(c in byte_of for c in s)}
         self.a_bytes = [a_bytes.get(i, b"") for i in range(self.a.get_vocab_size())]
         self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
+        self.lengths = [np.array([len(x) for x in names]) for names in (self.a_bytes, self.b_bytes)]
+        # An id's digits, and what may follow them: within its part of a group, and at the part's end.
+        self.digits = [(_strings(n, ","), _strings(n, end)) for n, end in ((len(self.a_bytes), "|"), (len(self.b_bytes), ";"))]
         self.kept: dict[str, Aligned | None] = {}
         self.by_runs = not any(re.search("[^▁]▁|\n", self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))
 
@@ -108,7 +113,7 @@ class Aligner:
         if len(kept) > MOST_RUNS:
             kept.clear()
         parts: list[list[str] | None] = []
-        new: dict[str, None] = {}
+        new: dict[str, Aligned | None] = {}
         for t in texts:
             if t and self.by_runs and not self.OTHER.search(f" {t}"):
                 runs = t.replace("\n", " \n").split(" ")
@@ -116,50 +121,63 @@ class Aligner:
                 parts.append(runs)
             else:
                 parts.append(None)
-        whole = [t for t, p in zip(texts, parts) if p is None and t]
-        made = dict(zip(new, self._align([" " + r if r[:1] != "\n" else r for r in new])))
-        own = iter(self._align([" " + t for t in whole]))
+        names = list(new)
+        for at in range(0, len(names), RUNS_AT_ONCE):
+            part = names[at : at + RUNS_AT_ONCE]
+            new.update(zip(part, self._align([r if r[:1] == "\n" else " " + r for r in part])))
         for t, runs in zip(texts, parts):
             if runs is None:
-                yield next(own) if t else None
+                yield self._align([" " + t])[0] if t else None
                 continue
-            found = [kept[r] if r in kept else made[r] for r in runs]
+            found = [kept[r] if r in kept else new[r] for r in runs]
             if None in found:
                 yield None
                 continue
             n_a, n_b, n_groups, pairs, groups = zip(*found)
             yield sum(n_a), sum(n_b), sum(n_groups), b"".join(pairs), b";".join(groups)
-        kept.update((r, x) for r, x in made.items() if len(r) <= RUN_BYTES)
+        kept.update((r, x) for r, x in new.items() if len(r) <= RUN_BYTES)
 
     def _align(self, units: list[str]) -> list[Aligned | None]:
-        """The alignments of units, each a blank or line break and what follows, all in one pass
-        of the kernel."""
-        if not units:
-            return []
-        a_ids = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
-        # B adds the blank itself; to a line break it is a token of its own, which isn't in the unit.
-        b_ids = [x if u[0] == " " else x[1:] for u, x in zip(units, self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1))]
-        raw = [u.encode() for u in units]
-        good = [b"".join([self.a_bytes[i] for i in x]) == r == b"".join([self.b_bytes[i] for i in y]) for x, y, r in zip(a_ids, b_ids, raw)]
-        out: list[Aligned | None] = [None] * len(units)
-        at = [k for k, ok in enumerate(good) if ok]
-        if not at:
-            return out
-        a, b = (np.array([i for k in at for i in ids[k]], np.int64) for ids in (a_ids, b_ids))
-        a_ends, b_ends = (np.cumsum([len(names[i]) for i in x]) for names, x in ((self.a_bytes, a.tolist()), (self.b_bytes, b.tolist())))
-        a_cut, b_cut, a_of, b_of = align(a_ends, b_ends, sum(len(raw[k]) for k in at))
-        pairs = a[a_of] * A_SHIFT + b[b_of]
-        # Units are cut from each other, so each is a run of tokens, of groups and of stretches.
-        a_at, b_at = (np.cumsum([0, *(len(ids[k]) for k in at)]) for ids in (a_ids, b_ids))
+        """The alignments of units, each a blank or line break and what follows, in one pass of
+        the kernel: side by side they are one text, which both vocabularies cut between them."""
+        text = "".join(units)
+        raw = text.encode()
+        a = np.array(self.a.encode(text, add_special_tokens=False).ids, np.int64)
+        # B adds the blank itself; to a line break it is a token of its own, which isn't in the text.
+        b = self.b.encode(text[1:]) if text[0] == " " else self.b.encode(text)[1:]
+        if b"".join([self.a_bytes[i] for i in a.tolist()]) != raw or b"".join([self.b_bytes[i] for i in b]) != raw:
+            return [None] if len(units) == 1 else [x for u in units for x in self._align([u])]
+        b = np.array(b, np.int64)
+        a_ends, b_ends = np.cumsum(self.lengths[0][a]), np.cumsum(self.lengths[1][b])
+        a_cut, b_cut, a_of, b_of = align(a_ends, b_ends, len(raw))
+        pairs = (a[a_of] * A_SHIFT + b[b_of]).tobytes()
+        groups, group_ends = self._groups(a, b, a_cut, b_cut)
+        # Units end where tokens of both do: each is a run of tokens, of groups and of links.
+        ends = np.cumsum([len(u) if u.isascii() else len(u.encode()) for u in units])
+        a_at, b_at = (np.concatenate([[0], np.searchsorted(x, ends) + 1]) for x in (a_ends, b_ends))
         g_at = np.searchsorted(a_cut, a_at)
-        s_at = np.searchsorted(a_of, a_at)
-        a_text, b_text = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        a_cut, b_cut = a_cut.tolist(), b_cut.tolist()
-        for n, k in enumerate(at):
-            g, h = int(g_at[n]), int(g_at[n + 1])
-            groups = ";".join([f"{','.join(a_text[a_cut[i] : a_cut[i + 1]])}|{','.join(b_text[b_cut[i] : b_cut[i + 1]])}" for i in range(g, h)])
-            out[k] = (len(a_ids[k]), len(b_ids[k]), h - g, pairs[s_at[n] : s_at[n + 1]].tobytes(), groups.encode())
-        return out
+        s_at = np.searchsorted(a_of, a_at) * 8
+        t_at = group_ends[g_at].tolist()
+        n_a, n_b, n_groups, s_at = np.diff(a_at).tolist(), np.diff(b_at).tolist(), np.diff(g_at).tolist(), s_at.tolist()
+        return [(n_a[k], n_b[k], n_groups[k], pairs[s_at[k] : s_at[k + 1]], groups[t_at[k] : t_at[k + 1] - 1]) for k in range(len(units))]
+
+    def _groups(self, a: np.ndarray, b: np.ndarray, a_cut: np.ndarray, b_cut: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """All groups as text, each with a semicolon after it, and where each begins (and the last ends)."""
+        text = np.empty(len(a) + len(b), object)
+        sizes = np.empty(len(text), np.int64)
+        for ids, cut, other, (inside, last) in ((a, a_cut, b_cut[:-1], self.digits[0]), (b, b_cut, a_cut[1:], self.digits[1])):
+            at = np.arange(len(ids)) + np.repeat(other, np.diff(cut))
+            text[at] = inside[0][ids]
+            text[at[cut[1:] - 1]] = last[0][ids[cut[1:] - 1]]
+            sizes[at] = inside[1][ids]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        return "".join(text.tolist()).encode(), ends[a_cut + b_cut]
+
+
+def _strings(n: int, after: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers below n in decimal with a mark after them, and the lengths of that."""
+    out = np.array([f"{i}{after}" for i in range(n)], object)
+    return out, np.array([len(x) for x in out])
 
 
 @functools.cache
@@ -201,8 +219,9 @@ def _aligned(docs: DataFrame, id_col: str, text_col: str, a_path: str, b_path: s
         for slices, texts in _blocks(batches):
             found = [x for at in range(0, len(texts), 256) for x in both.many(texts[at : at + 256])]
             ids = pa.concat_arrays([s.column(0) for s in slices])
-            links = np.frombuffer(b"".join(x[3] for x in found if x), np.int64)
-            pairs, at, counts = np.unique(links, return_inverse=True, return_counts=True)
+            coded = pa.array(np.frombuffer(b"".join(x[3] for x in found if x), np.int64)).dictionary_encode()
+            pairs, at = np.asarray(coded.dictionary), np.asarray(coded.indices)
+            counts = np.bincount(at, minlength=len(pairs))
             n = len(found)
             ends = np.cumsum([0, *(len(x[3]) // 8 if x else 0 for x in found)])
             listed = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(at.astype(np.int32)))
