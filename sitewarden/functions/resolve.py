@@ -4,24 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-_SCHEME = r"^([a-zA-Z][a-zA-Z0-9+.-]*):"
-
-
-def _parts(url: Column) -> tuple[Column, Column, Column, Column]:
-    """(scheme in lower case, what follows it, host with its port, what follows that)."""
-    scheme = F.lower(F.regexp_extract(url, _SCHEME, 1))
-    rest = F.regexp_replace(url, _SCHEME, "")
-    return scheme, rest, F.regexp_extract(rest, r"(?s)^//([^/?#]*)", 1), F.regexp_replace(rest, r"(?s)^//[^/?#]*", "")
-
+from .sqltext import bound
 
-def _tail(text: Column) -> tuple[Column, Column, Column]:
-    """Path with parameters, query and fragment of what follows the host."""
-    return F.regexp_extract(text, r"(?s)^([^?#]*)", 1), F.regexp_extract(text, r"(?s)^[^?#]*\?([^#]*)", 1), F.regexp_extract(text, r"(?s)#(.*)$", 1)
+_SCHEME = r"^([a-zA-Z][a-zA-Z0-9+.-]*):"
 
 
-def _clean(url: Column) -> Column:
-    """Without tabs and line breaks, and without blanks and control characters in front."""
-    return F.regexp_replace(F.regexp_replace(url, r"[\t\r\n]", ""), r"^[\x00-\x20]+", "")
+def _parts(url: Column) -> Column:
+    """(scheme in lower case, host with its port, path, parameters of its last segment, query, fragment)."""
+    clean = F.regexp_replace(F.regexp_replace(url, r"[\t\r\n]", ""), r"^[\x00-\x20]+", "")
+    rest = F.regexp_replace(clean, _SCHEME, "")
+    after = F.regexp_replace(rest, r"(?s)^//[^/?#]*", "")
+    route = F.regexp_extract(after, r"(?s)^([^?#]*)", 1)
+    return bound(
+        F.struct(F.lower(F.regexp_extract(clean, _SCHEME, 1)).alias("scheme"), F.regexp_extract(rest, r"(?s)^//([^/?#]*)", 1).alias("host"), after.alias("after"), route.alias("route")),
+        lambda p: F.struct(
+            p["scheme"].alias("scheme"), p["host"].alias("host"), F.regexp_extract(p["route"], r"(?s)^((?:.*/)?[^/;]*)", 1).alias("path"),
+            # Without a lone semicolon: empty parameters leave no mark.
+            F.regexp_replace(F.regexp_replace(p["route"], r"(?s)^(?:.*/)?[^/;]*", ""), r"^;$", "").alias("params"),
+            F.regexp_extract(p["after"], r"(?s)^[^?#]*\?([^#]*)", 1).alias("query"), F.regexp_extract(p["after"], r"(?s)#(.*)$", 1).alias("fragment"),
+        ),
+    )
 
 
 def _joined(scheme: Column, host: Column, route: Column, query: Column, fragment: Column) -> Column:
@@ -38,12 +40,14 @@ def _without_dots(route: Column, base: Column) -> Column:
     folder = F.split(F.when(F.endswith(base, F.lit("/")) | (base == ""), base).otherwise(F.regexp_extract(base, r"(?s)^(.*/)?[^/]*$", 1)), "/")
     # A folder's last, empty segment makes room for what follows; it goes with all empty ones between.
     both = F.concat(folder, own)
-    kept = F.when(F.startswith(route, F.lit("/")), own).otherwise(F.filter(both, lambda s, i: (s != "") | (i == 0) | (i == F.size(both) - 1)))
+    kept = F.when(F.startswith(route, F.lit("/")), own).otherwise(bound(both, lambda segs: F.filter(segs, lambda s, i: (s != "") | (i == 0) | (i == F.size(segs) - 1))))
     empty = F.array().cast("array<string>")
-    stack = F.aggregate(kept, empty, lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(s == ".", acc).otherwise(F.concat(acc, F.array(s))))
-    last = F.element_at(kept, -1)
-    closed = F.concat(stack, F.when(last.isin(".", ".."), F.array(F.lit(""))).otherwise(empty))
-    return F.coalesce(F.nullif(F.array_join(closed, "/"), F.lit("")), F.lit("/"))
+
+    def folded(segs: Column) -> Column:
+        stack = F.aggregate(segs, empty, lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(s == ".", acc).otherwise(F.concat(acc, F.array(s))))
+        return F.concat(stack, F.when(F.element_at(segs, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(empty))
+
+    return F.coalesce(F.nullif(F.array_join(bound(kept, folded), "/"), F.lit("")), F.lit("/"))
 
 
 def resolve(base: Column, ref: Column) -> Column:
@@ -55,19 +59,16 @@ def resolve(base: Column, ref: Column) -> Column:
     base's. An empty query or fragment leaves no mark. Null if either is null.
 
     All of it is expressions, so links need no Python worker."""
-    scheme, _, host, after = _parts(_clean(base))
-    route, query, _ = _tail(after)
-    own_scheme, _, own_host, own_after = _parts(_clean(ref))
-    own_route, own_query, fragment = _tail(own_after)
-    bare = F.regexp_extract(own_route, r"(?s)^((?:.*/)?[^/;]*)", 1)
-    # Only parameters of the last segment count, so what stands before them may hold a semicolon.
-    params = F.substring(own_route, F.length(bare) + 1, F.length(own_route))
-    merged = F.concat(_without_dots(bare, F.regexp_extract(route, r"(?s)^((?:.*/)?[^/;]*)", 1)), F.when(params == ";", "").otherwise(params))
-    trim = lambda r: F.regexp_replace(r, ";$", "")
-    return (
-        F.when(ref == "", base)
-        .when((own_scheme != "") & (own_scheme != scheme), ref)
-        .when(own_host != "", _joined(scheme, own_host, trim(own_route), own_query, fragment))
-        .when(own_route == "", _joined(scheme, host, trim(route), F.when(own_query != "", own_query).otherwise(query), fragment))
-        .otherwise(_joined(scheme, host, merged, own_query, fragment))
-    )
+    def named(x: Column) -> Column:
+        b, r = x["b"], x["r"]
+        with_params = lambda p: F.concat(p["path"], p["params"])
+        merged = F.concat(_without_dots(r["path"], b["path"]), r["params"])
+        return (
+            F.when((r["scheme"] != "") & (r["scheme"] != b["scheme"]), x["ref"])
+            .when(r["host"] != "", _joined(b["scheme"], r["host"], with_params(r), r["query"], r["fragment"]))
+            .when(x["bare"], _joined(b["scheme"], b["host"], with_params(b), F.when(r["query"] != "", r["query"]).otherwise(b["query"]), r["fragment"]))
+            .otherwise(_joined(b["scheme"], b["host"], merged, r["query"], r["fragment"]))
+        )
+
+    parts = bound(F.struct(_parts(base).alias("b"), _parts(ref).alias("r"), ref.alias("ref")), lambda x: F.struct(x["b"].alias("b"), x["r"].alias("r"), x["ref"].alias("ref"), ((x["r"]["path"] == "") & (x["r"]["params"] == "")).alias("bare")))
+    return F.when(base.isNotNull() & ref.isNotNull(), F.when(ref == "", base).otherwise(bound(parts, named)))

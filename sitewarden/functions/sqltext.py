@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, functions as F
+
 
 class Dialect:
     """Writes the few functions that Spark SQL and DuckDB name or quote differently."""
@@ -64,3 +68,8 @@ SPARK, DUCK = Dialect(True), Dialect(False)
 
 def cases(pairs: list[tuple[str, str]], default: str) -> str:
     return "CASE " + " ".join(f"WHEN {c} THEN {v}" for c, v in pairs) + f" ELSE {default} END" if pairs else default
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value in the plan and computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

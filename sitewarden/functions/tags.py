@@ -5,10 +5,13 @@ tree; what needs nesting has `operators.navigation`."""
 
 from __future__ import annotations
 
+import json
 from html.entities import html5
 
 from pyspark.sql import Column, functions as F
 
+from .sqltext import bound
+
 # What isn't markup: comments, and what stands in elements of raw text, whose own tags stay.
 _COMMENT = r"(?s)<!--(?:>|->|.*?--!?>)"
 _RAW = r"(?is)(<(script|style)(?:[\s/](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)?>).*?(?=</\2[\s/>])"
@@ -20,7 +23,8 @@ _CODE = r"^#(?:[xX]([0-9a-fA-F]+)|([0-9]+));?"
 
 
 def _literal(pairs: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+    """A map as one literal of the plan, however many entries it has."""
+    return F.from_json(F.lit(json.dumps(pairs)), "map<string,string>")
 
 
 def _legacy() -> str:
@@ -66,9 +70,10 @@ def unescape(text: Column) -> Column:
             .otherwise(F.concat(F.lit("&"), piece))
         )
 
-    pieces = F.split(text, "&")
-    resolved = F.concat(F.element_at(pieces, 1), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), one), ""))
-    return F.when(F.contains(text, F.lit("&")), resolved).otherwise(text)
+    def resolved(pieces: Column) -> Column:
+        return F.concat(F.element_at(pieces, 1), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), one), ""))
+
+    return F.when(F.contains(text, F.lit("&")), bound(F.split(text, "&"), resolved)).otherwise(text)
 
 
 def without_raw(html: Column) -> Column:
@@ -89,18 +94,18 @@ def tags(html: Column, *names: str) -> Column:
         # Attributes without the tag's name; a value that ends in a slash keeps it if it is unquoted.
         body = F.regexp_replace(F.regexp_replace(tag, r"^<[^\s/>]*", ""), r">$", "")
         each = F.regexp_extract_all(body, F.lit(_ATTRIBUTE), F.lit(0))
-        pairs = F.transform(each, _pair)
-        last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda o: o["name"] == p["name"]))
-        return F.map_from_entries(last)
+
+        def last(pairs: Column) -> Column:
+            return F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda o: o["name"] == p["name"]))
+
+        return F.map_from_entries(bound(F.transform(each, _pair), last))
 
     return F.transform(found, lambda t: F.struct(F.lower(F.regexp_extract(t, r"^<([^\s/>]*)", 1)).alias("tag"), attributes(t).alias("attrs")))
 
 
 def _pair(attribute: Column) -> Column:
-    raw = F.regexp_extract(attribute, r"(?s)^[^\s/>=]+\s*=\s*(.*)$", 1)
-    quoted = F.regexp_extract(raw, "(?s)^([\"'])(.*)\\1$", 2)
-    value = F.when(F.startswith(raw, F.lit('"')) | F.startswith(raw, F.lit("'")), quoted).otherwise(raw)
-    return F.struct(F.lower(F.regexp_extract(attribute, r"^([^\s/>=]+)", 1)).alias("name"), unescape(value).alias("value"))
+    value = F.regexp_replace(F.regexp_extract(attribute, r"(?s)^[^\s/>=]+\s*=\s*(.*)$", 1), "(?s)^([\"'])(.*)\\1$", "$2")
+    return F.struct(F.lower(F.regexp_extract(attribute, r"^([^\s/>=]+)", 1)).alias("name"), bound(value, unescape).alias("value"))
 
 
 def first_attribute(found: Column, wanted: str, *fits: tuple[str, str]) -> Column:

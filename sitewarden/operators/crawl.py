@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions import urls as U
 from ..functions.sqltext import SPARK
 
-HIGH_VALUE = ("pricing", "product", "solutions")
+HIGH_VALUE = ("about", "contact", "pricing", "product", "solutions", "faq")
 REQUIRED = ("privacy_policy", "terms_conditions")
 
 

@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "sitewarden", **options: str) -> SparkSession:
@@ -45,3 +45,33 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name in the shared folder. Whoever writes to it deletes it."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+_kept: list[str] = []
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Write df into the shared folder and read it back, so that it isn't computed again and a
+    lost executor takes nothing with it. Lazy results may read it, so it stays until release()."""
+    path = scratch(df.sparkSession, name)
+    _kept.append(path)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def keep_until_release(path: str) -> str:
+    """A folder that a lazy result reads; release() deletes it."""
+    _kept.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what saved() wrote and keep_until_release() named. For the caller, once the results
+    that read it are written or no longer needed; at the end of a local session it is done anyway."""
+    while _kept:
+        delete(spark, _kept.pop())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
