@@ -22,10 +22,12 @@ BLOCK_BYTES = 4 << 20
 #: Alignments of so many distinct runs are kept by a worker; of longer runs than RUN_BYTES none.
 MOST_RUNS, RUN_BYTES = 200_000, 64
 #: New runs that go through the tokenizers and the kernel side by side.
-RUNS_AT_ONCE = 1 << 13
+RUNS_AT_ONCE = 1 << 11
 #: Rows of a block's dictionary that travel as one.
 DICTIONARY_ROWS = 1 << 14
 A_SHIFT = 1 << 32
+# How byte-level vocabularies of the tokenizers library split a text unless they say otherwise. Fixed value.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def bitset(ends: np.ndarray, size: int) -> np.ndarray:
@@ -80,6 +82,8 @@ class Aligner:
     the links are those of the runs that begin there. Any other text is aligned as a whole."""
 
     OTHER = re.compile(r"[^\S \n]|[ \n]{2}| \Z")
+    #: Letters and digits up to here are the same in every version of Unicode.
+    BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 
     def __init__(self, a_path: str, b_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -97,6 +101,7 @@ class Aligner:
         a_bytes = {i: bytes(byte_of[c] for c in s) for s, i in spec["model"]["vocab"].items() if all(c in byte_of for c in s)}
         self.a_bytes = [a_bytes.get(i, b"") for i in range(self.a.get_vocab_size())]
         self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
+        self.fast = self._ranked(spec["model"], spec.get("pre_tokenizer") or {}, spec.get("normalizer"))
         self.lengths = [np.array([len(x) for x in names]) for names in (self.a_bytes, self.b_bytes)]
         # An id's digits, and what may follow them: within its part of a group, and at the part's end.
         self.digits = [(_strings(n, ","), _strings(n, end)) for n, end in ((len(self.a_bytes), "|"), (len(self.b_bytes), ";"))]
@@ -107,6 +112,25 @@ class Aligner:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
+    def _ranked(self, model: dict, split: dict, normalizer: dict | None):
+        """A's tokenizer by ranks, several times as fast, where merges come in the order of their ids
+        and nothing but the usual splitting goes before them; else none."""
+        import tiktoken
+
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        ids = [model["vocab"].get(a + b, -1) for a, b in merges]
+        usual = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not normalizer
+        if not usual or ids != sorted(ids) or model.get("ignore_merges"):
+            return None
+        merged = {*ids}
+        ranks = {x: i for i, x in enumerate(self.a_bytes) if len(x) == 1 or i in merged}
+        return tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+
+    def _a_ids(self, text: str) -> list[int]:
+        if self.fast and not self.BEYOND_LATIN.search(text):
+            return self.fast.encode_ordinary(text)
+        return self.a.encode(text, add_special_tokens=False).ids
+
     def many(self, texts: list[str]) -> Iterator[Aligned | None]:
         """The alignment of each text (space + text for A); None where there is none."""
         kept = self.kept
@@ -142,7 +166,7 @@ class Aligner:
         the kernel: side by side they are one text, which both vocabularies cut between them."""
         text = "".join(units)
         raw = text.encode()
-        a = np.array(self.a.encode(text, add_special_tokens=False).ids, np.int64)
+        a = np.array(self._a_ids(text), np.int64)
         # B adds the blank itself; to a line break it is a token of its own, which isn't in the text.
         b = self.b.encode(text[1:]) if text[0] == " " else self.b.encode(text)[1:]
         if b"".join([self.a_bytes[i] for i in a.tolist()]) != raw or b"".join([self.b_bytes[i] for i in b]) != raw:
@@ -189,21 +213,20 @@ def aligner(a_path: str, b_path: str) -> Aligner:
 _MADE = "block long, id {kind}, n_a long, n_b long, n_groups long, groups_sha256 string, links array<int>, groups string, entries array<int>, pairs array<long>, counts array<long>"
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.RecordBatch], list[str]]]:
-    """Rows in blocks of about BLOCK_BYTES of text: slices of batches, and their texts."""
-    slices, texts, size = [], [], 0
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple[pa.Array, list[str]]]:
+    """Ids and texts of at most so many rows, and no more than one text beyond BLOCK_BYTES."""
     for batch in batches:
-        at = 0
-        for k, t in enumerate(batch.column(1).to_pylist()):
-            n = len(t or "")
-            if texts and size + n > BLOCK_BYTES:
-                yield [*slices, batch.slice(at, k - at)], texts
-                slices, texts, size, at = [], [], 0, k
-            texts.append(t or "")
-            size += n
-        slices.append(batch.slice(at))
-    if texts:
-        yield slices, texts
+        for at in range(0, len(batch), rows):
+            part = batch.slice(at, rows)
+            ids, texts, size, start = part.column(0), [], 0, 0
+            for k, t in enumerate(part.column(1)):
+                texts.append(t.as_py() or "")
+                size += len(texts[-1])
+                if size > BLOCK_BYTES:
+                    yield ids.slice(start, k + 1 - start), texts
+                    texts, size, start = [], 0, k + 1
+            if texts:
+                yield ids.slice(start), texts
 
 
 def _aligned(docs: DataFrame, id_col: str, text_col: str, a_path: str, b_path: str, with_groups: bool) -> DataFrame:
@@ -216,28 +239,35 @@ def _aligned(docs: DataFrame, id_col: str, text_col: str, a_path: str, b_path: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = aligner(a_path, b_path)
         block = TaskContext.get().partitionId() << 33
-        for slices, texts in _blocks(batches):
-            found = [x for at in range(0, len(texts), 256) for x in both.many(texts[at : at + 256])]
-            ids = pa.concat_arrays([s.column(0) for s in slices])
-            coded = pa.array(np.frombuffer(b"".join(x[3] for x in found if x), np.int64)).dictionary_encode()
-            pairs, at = np.asarray(coded.dictionary), np.asarray(coded.indices)
-            counts = np.bincount(at, minlength=len(pairs))
-            n = len(found)
-            ends = np.cumsum([0, *(len(x[3]) // 8 if x else 0 for x in found)])
-            listed = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(at.astype(np.int32)))
-            numbers = [pa.array([x[k] if x else 0 for x in found], pa.int64()) for k in range(3)]
-            hashes = pa.array([hashlib.sha256(x[4]).hexdigest() if x else "" for x in found], pa.string())
-            groups = pa.array([x[4].decode() if x else "" for x in found], pa.string()) if with_groups else pa.nulls(n, pa.string())
-            dealt = [pa.array([block] * n, pa.int64()), ids, *numbers, hashes, listed, groups]
-            yield pa.RecordBatch.from_arrays([*dealt, pa.nulls(n, pa.list_(pa.int32())), *[pa.nulls(n, pa.list_(pa.int64()))] * 2], names=names)
-            starts = range(0, len(pairs), DICTIONARY_ROWS)
-            cut = pa.array(np.minimum([*starts, len(pairs)], len(pairs)).astype(np.int32))
-            m = len(starts)
-            if m:
-                own = [pa.ListArray.from_arrays(cut, x) for x in (pa.array(np.arange(len(pairs), dtype=np.int32)), pa.array(pairs), pa.array(counts.astype(np.int64)))]
-                empty = [pa.nulls(m, ids.type), *[pa.nulls(m, pa.int64())] * 3, pa.nulls(m, pa.string()), pa.nulls(m, pa.list_(pa.int32())), pa.nulls(m, pa.string())]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * m, pa.int64()), *empty, *own], names=names)
-            block += 1
+        ids, rows, size = [], [], 0
+        for some, texts in _slices(batches):
+            ids.append(some)
+            # What a document needs later; the text of its groups is a hash from here on, unless asked for.
+            for x in both.many(texts):
+                rows.append((*x[:3], hashlib.sha256(x[4]).hexdigest(), x[3], x[4].decode() if with_groups else None) if x else (0, 0, 0, "", b"", "" if with_groups else None))
+            size += sum(map(len, texts))
+            if size >= BLOCK_BYTES:
+                yield from made(block, ids, rows)
+                block, ids, rows, size = block + 1, [], [], 0
+        if rows:
+            yield from made(block, ids, rows)
+
+    def made(block: int, slices: list[pa.Array], rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        n, ids = len(rows), pa.concat_arrays(slices)
+        n_a, n_b, n_groups, hashes, pairs_of, groups = zip(*rows)
+        coded = pa.array(np.frombuffer(b"".join(pairs_of), np.int64)).dictionary_encode()
+        pairs, at = coded.dictionary, np.asarray(coded.indices)
+        counts = np.bincount(at, minlength=len(pairs)).astype(np.int64)
+        ends = np.cumsum([0, *(len(x) // 8 for x in pairs_of)]).astype(np.int32)
+        listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(at.astype(np.int32)))
+        numbers = [pa.array(x, pa.int64()) for x in (n_a, n_b, n_groups)]
+        dealt = [pa.array([block] * n, pa.int64()), ids, *numbers, pa.array(hashes, pa.string()), listed, pa.array(groups, pa.string())]
+        yield pa.RecordBatch.from_arrays([*dealt, pa.nulls(n, pa.list_(pa.int32())), *[pa.nulls(n, pa.list_(pa.int64()))] * 2], names=names)
+        cut = [*range(0, len(pairs), DICTIONARY_ROWS), len(pairs)]
+        if m := len(cut) - 1:
+            own = [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), x) for x in (pa.array(np.arange(len(pairs), dtype=np.int32)), pairs, pa.array(counts))]
+            empty = [pa.nulls(m, ids.type), *[pa.nulls(m, pa.int64())] * 3, pa.nulls(m, pa.string()), pa.nulls(m, pa.list_(pa.int32())), pa.nulls(m, pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array([block] * m, pa.int64()), *empty, *own], names=names)
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 

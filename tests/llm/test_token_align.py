@@ -109,6 +109,16 @@ def test_runs_and_whole_texts_agree(libraries):
     assert both.by_runs and list(both.many(ts)) == list(whole.many(ts)) == list(both.many(ts))
 
 
+def test_ranks_as_the_library(libraries):
+    """The faster tokenizer on texts of all Latin characters, spaces and special tokens' strings."""
+    both, rng = T.Aligner(*PATHS), random.Random(11)
+    pool = [chr(c) for c in range(0x250)] + [" ", "\n", "'s", "'re", "ing", "the", "12", "<|endoftext|>"] * 20
+    ts = [t for t in texts(12, 400) if t] + ["".join(rng.choices(pool, k=rng.randint(1, 80))) for _ in range(3000)] + [chr(c) + "a" + chr(c) for c in range(0x250)]
+    assert both.fast
+    wrong = [t for t in ts if both._a_ids(t) != libraries[0].encode(t, add_special_tokens=False).ids]
+    assert not wrong, wrong[:3]
+
+
 def test_kernel_on_random_cuts():
     rng = np.random.default_rng(2)
     for size in [1, 2, 7, 8, 9, 16, 64, 333] * 5:
