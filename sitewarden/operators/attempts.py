@@ -19,12 +19,12 @@ def outcomes(log: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame:
     An attempt ends the fetch if it has an answer below 500 (no client error is tried again), or
     if it is number max_retries; the first that does is the outcome, whatever was logged
     after it. Before each retry the wait doubles. A url whose log stops before that is
-    pending, with its last attempt. The body counts for html only, and not for server errors.
+    pending, with its last attempt. Of rows that share a number the least counts. The body counts for html only, and not for server errors.
 
     One aggregation: the outcome is the least ending attempt, so a url's log is never gathered."""
     row = F.struct(F.col("attempt"), F.col("status"), F.col("failure"), F.col("final_url"), F.col("content_type"), F.col("body"))
     ends = (F.col("failure").isNull() & (F.col("status") < 500)) | (F.col("attempt") >= max_retries)
-    found = log.groupBy("site_id", "url").agg(F.min_by(row, F.when(ends, F.col("attempt"))).alias("end"), F.max_by(row, "attempt").alias("last"))
+    found = log.groupBy("site_id", "url").agg(F.min(F.when(ends, row)).alias("end"), F.max(row).alias("last"))
     x = found.select("site_id", "url", F.col("end").isNull().alias("pending"), F.coalesce("end", "last").alias("x")).select("site_id", "url", "pending", "x.*")
     failed = F.col("failure").isNotNull()
     status = F.when(failed, 0).otherwise(F.col("status"))

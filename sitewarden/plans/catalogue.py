@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from ..functions import html as H, urls as U
+from ..functions import html as H, tags as G, urls as U
+from ..functions.resolve import resolve
 from ..functions.sqltext import DUCK, SPARK, cases
-from ..operators import cache, changes, compliance, context, crawl, mcc, pages, policy, research, risk, signals, tasks
+from ..operators import attempts, cache, changes, compliance, context, crawl, mcc, navigation, pages, planner, policy, research, risk, signals, sitemaps, tasks
 from ..rules import changes as CR, mcc as MR, pages as PR, policies as PO, risk as RR
 from ..session import scratch
 from ..sources import files
@@ -124,7 +125,7 @@ def task_mark_status(spark, d):
 
 @query(f"WITH {cte('agents')} SELECT id, type, CASE WHEN id % 2 = 0 THEN 'paused' ELSE status END AS status FROM agents")
 def agent_partial_update(spark, d):
-    a = view(spark, d, "agents")
+    a = view(spark, d, "agents").drop("created_at")
     return tasks.merge_fields(a, a.select("id", F.when(F.col("id") % 2 == 0, "paused").alias("status")))
 
 
@@ -141,7 +142,13 @@ def task_rollup(spark, d):
 
 @query(f"WITH {cte('agents')} SELECT id, type, status FROM agents WHERE type = 'market_research'")
 def agent_lookup(spark, d):
-    return view(spark, d, "agents").where("type = 'market_research'")
+    return view(spark, d, "agents").where("type = 'market_research'").select("id", "type", "status")
+
+
+@query(f"WITH {cte('agents')} SELECT id, type, status, created_at FROM agents ORDER BY created_at DESC, id")
+def agent_list(spark, d):
+    """All agents, the newest first."""
+    return view(spark, d, "agents").orderBy(F.col("created_at").desc(), "id")
 
 
 _END = f"CASE WHEN id % 12 = 0 THEN 'failed' WHEN id % 6 = 0 THEN 'completed' ELSE status END"
@@ -157,7 +164,7 @@ def task_finish(spark, d):
 
 @query(f"WITH {cte('agents')} SELECT id, CASE WHEN id % 2 = 0 AND id % 4 <> 0 THEN 'paused' ELSE status END AS status, CASE WHEN id % 2 = 0 THEN {AS_OF_TASKS} END AS updated_at FROM agents")
 def agent_update_stamp(spark, d):
-    a = view(spark, d, "agents").withColumn("updated_at", F.lit(None).cast("timestamp_ntz"))
+    a = view(spark, d, "agents").drop("created_at").withColumn("updated_at", F.lit(None).cast("timestamp_ntz"))
     change = a.where("id % 2 = 0").select("id", F.when(F.col("id") % 4 != 0, "paused").alias("status"))
     return tasks.merge_fields(a, change, as_of=_ntz(AS_OF_TASKS)).select("id", "status", "updated_at")
 
@@ -385,6 +392,110 @@ def sitemap_queue(spark, d):
     return crawl.sitemap_queue(spark.sql(_MAP_URLS, links=view(spark, d, "site_links")))
 
 
+# --- what a crawl of every host of pages would do, from a log of fetch attempts
+
+@query()
+def crawl_plan(spark, d):
+    out = planner.plan(view(spark, d, "crawl_sites"), view(spark, d, "crawl_log"))[0]
+    return out.select("site_id", "ord", "url", "source", "depth", "status", "page_type", "confidence", "canonical", "error_type", "retries", "kept")
+
+
+@query()
+def crawl_plan_rounds(spark, d):
+    """The same crawl, going on with the menus of what it fetched."""
+    out = planner.plan(view(spark, d, "crawl_sites"), view(spark, d, "crawl_log"), rounds=3)[0]
+    return out.select("site_id", "ord", "url", "depth", "status", "page_type", "error_type", "kept")
+
+
+@query()
+def crawl_plan_summary(spark, d):
+    return planner.plan(view(spark, d, "crawl_sites"), view(spark, d, "crawl_log"))[1]
+
+
+_FINAL = """final AS (SELECT *, attempt AS retries, failure IS NULL AND status < 500 OR attempt >= 1 AS ends, row_number() OVER (PARTITION BY site_id, url ORDER BY CASE WHEN failure IS NULL AND status < 500 OR attempt >= 1 THEN attempt END NULLS LAST, attempt DESC) AS k FROM crawl_log),
+outcome AS (SELECT site_id, url, CASE WHEN failure IS NULL THEN status ELSE 0 END AS status, CASE WHEN failure IS NULL AND status < 500 AND status <> 410 AND contains(lower(content_type), 'text/html') THEN body ELSE '' END AS body,
+  CASE WHEN failure = 'timeout' THEN 'timeout' WHEN status >= 400 THEN 'http_error' END AS error_type,
+  CASE WHEN failure = 'timeout' THEN 'Page timeout (12s) after ' || retries || ' retries' WHEN status BETWEEN 400 AND 499 THEN 'HTTP ' || status WHEN status >= 500 THEN 'HTTP ' || status || ' after ' || retries || ' retries' END AS message,
+  retries, (2000 * (2 ** retries - 1))::BIGINT AS waited_ms, NOT ends AS pending FROM final WHERE k = 1)"""
+
+
+@query(f"WITH {cte('crawl_log')}, {_FINAL} SELECT site_id, url, status, md5(body) AS body, error_type, message, retries, waited_ms, pending FROM outcome")
+def fetch_outcomes(spark, d):
+    out = attempts.outcomes(view(spark, d, "crawl_log"))
+    return out.select("site_id", "url", "status", F.md5("body").alias("body"), "error_type", "message", "retries", "waited_ms", "pending")
+
+
+@query(f"""WITH {cte('crawl_log')}, {_FINAL} SELECT site_id, count(*) AS urls, count(*) FILTER (WHERE status = 200) AS success, count(*) FILTER (WHERE status <> 200 AND NOT pending) AS failed,
+count(*) FILTER (WHERE retries > 0) AS retried, count(*) FILTER (WHERE contains(lower(message), 'timeout')) AS timeouts, sum(waited_ms)::BIGINT AS waited_ms, count(*) FILTER (WHERE pending) AS pending FROM outcome GROUP BY 1""")
+def fetch_counters(spark, d):
+    return attempts.counters(attempts.outcomes(view(spark, d, "crawl_log")))
+
+
+@query(f"""WITH RECURSIVE {cte('crawl_sites', 'crawl_log')},
+files AS (SELECT site_id, url, body AS content FROM crawl_log WHERE attempt = 0 AND status = 200),
+asked AS (SELECT s.site_id, 0 AS stage, i AS ord, trim(regexp_extract(l[i], '^[^:]*:(.*)$', 1)) AS url FROM (SELECT site_id, list_filter(string_split(content, chr(10)), lambda x: regexp_matches(x, '(?i)^sitemap\\s*:')) AS l FROM files WHERE url LIKE '%/robots.txt') s, unnest(range(1, 4)) AS u(i) WHERE i <= len(l)
+  UNION ALL SELECT site_id, i + 1, 1, rtrim(url, '/') || p FROM crawl_sites, (VALUES {', '.join(f"({i}, '{p}')" for i, p in enumerate(sitemaps.STANDARD))}) AS v(i, p)),
+tree AS (SELECT a.site_id, stage, ord, [0] AS place, a.url, 0 AS level, content FROM asked a JOIN files f ON f.site_id = a.site_id AND f.url = a.url
+  UNION ALL SELECT t.site_id, stage, ord, list_append(place, i), f.url, level + 1, f.content FROM (SELECT *, regexp_extract_all(content, '(?i)<loc>\\s*(https?://[^<]+?)\\s*</loc>', 1) AS locs FROM tree WHERE contains(lower(content), '<sitemapindex') AND level < {sitemaps.LEVELS}) t, unnest(range(1, 4)) AS u(i) JOIN files f ON true WHERE i <= len(locs) AND f.site_id = t.site_id AND f.url = locs[i]),
+urls AS (SELECT site_id, stage, ord, list_append(place, i) AS place, locs[i] AS url FROM (SELECT *, regexp_extract_all(content, '(?i)<loc>\\s*(https?://[^<]+?)\\s*</loc>', 1) AS locs FROM tree WHERE NOT contains(lower(content), '<sitemapindex')) t, unnest(range(1, 101)) AS u(i) WHERE i <= len(locs))
+SELECT site_id, stage, ord, url, row_number() OVER (PARTITION BY site_id, stage, ord ORDER BY place) AS n FROM urls QUALIFY n <= 100""")
+def sitemap_discovery(spark, d):
+    log = view(spark, d, "crawl_log")
+    raw = attempts.raw_bodies(log)
+    start = planner.seeds(view(spark, d, "crawl_sites")).select("site_id", "root")
+    robots = start.join(raw, "site_id").where("url = concat(root, '/robots.txt')").select("site_id", "content")
+    homes = start.join(raw, "site_id").where("url = concat(root, '/')").select("site_id", F.col("content").alias("html"))
+    found = sitemaps.listed(sitemaps.candidates(start, robots, homes), raw)
+    return found.select("site_id", "stage", "ord", "url", F.row_number().over(W.partitionBy("site_id", "stage", "ord").orderBy("place")).alias("n"))
+
+
+@query()
+def nav_discovery(spark, d):
+    """Both tiers of every page's links, as if there were no sitemap on every other page."""
+    some = read_table(spark, d, "pages").select("page_id", "url", "html", (F.col("page_id") % 2 == 0).alias("found"))
+    return navigation.links(some, sitemap_found="found")
+
+
+@query()
+def crawl_breadth(spark, d):
+    """A crawl by breadth over the links of pages, three levels deep, at most 25 pages a host."""
+    own = read_table(spark, d, "pages").select(F.split_part("url", F.lit("/"), F.lit(3)).alias("host"), F.concat(F.lit("https://"), F.split_part("url", F.lit("/"), F.lit(3)), F.regexp_extract("url", "^[^/]*//[^/?#]*([^?#]*)", 1)).alias("url"), "page_id", "html")
+    first = own.groupBy("host").agg(F.min_by("url", "page_id").alias("url"), F.min("page_id").alias("site_id"))
+    listed = own.join(first.select("host", "site_id"), "host")
+    roots = first.select("site_id", "url")
+    # A host's pages link to each other: each to the three after it in the order of their numbers.
+    ranked = listed.groupBy("site_id", "url").agg(F.min("page_id").alias("page_id")).withColumn("k", F.row_number().over(W.partitionBy("site_id").orderBy("page_id")))
+    links = ranked.select("site_id", F.col("url").alias("src"), "k").withColumn("link_ord", F.explode(F.array(*[F.lit(i) for i in range(3)])))
+    to = ranked.select("site_id", F.col("url").alias("dst"), F.col("k").alias("at"))
+    links = links.join(to, (links["site_id"] == to["site_id"]) & (F.col("at") == F.col("k") * 2 + F.col("link_ord"))).select(links["site_id"], "src", "link_ord", "dst")
+    status = ranked.select("site_id", "url", F.when(F.col("k") % 5 == 4, 404).otherwise(200).alias("status"))
+    return planner.by_breadth(roots, links, status, depth=4, max_pages=25)
+
+
+_HREFS = f"regexp_extract_all({H.without_code(D, 'html')}, '(?i)<a [^>]*href=\"([^\"]*)\"', 1)"
+
+
+@query(f"""WITH l AS (SELECT page_id, url, {_HREFS} AS hrefs FROM pages)
+SELECT page_id, i - 1 AS link_ord, {H.unescape(D, 'hrefs[i]')} AS href, regexp_extract(url, '^[^/]*//[^/?#]*') || {H.unescape(D, 'hrefs[i]')} AS target FROM l, unnest(range(1, 10000)) AS u(i) WHERE i <= len(hrefs)""")
+def page_links_resolved(spark, d):
+    """Every link with its target, without a Python worker."""
+    found = read_table(spark, d, "pages").select("page_id", "url", F.filter(G.tags(F.col("html"), "a"), lambda t: F.map_contains_key(t["attrs"], F.lit("href"))).alias("links"))
+    each = found.select("page_id", "url", F.posexplode("links").alias("link_ord", "link")).select("page_id", "link_ord", "url", F.element_at("link.attrs", "href").alias("href"))
+    return each.select("page_id", "link_ord", "href", resolve(F.col("url"), F.col("href")).alias("target"))
+
+
+@query(f"""WITH {cte('seo_pages')} SELECT page_id, nullif({H.meta_content(D, 'html', 'description')}, '') AS description, nullif({H.meta_content(D, 'html', 'robots')}, '') AS robots,
+nullif({H.canonical(D, 'html')}, '') AS canonical, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang FROM seo_pages""")
+def page_head(spark, d):
+    """What a page's head says, whatever the order of attributes and their quotes."""
+    read = view(spark, d, "seo_pages").select("page_id", "url", G.tags(F.col("html"), "meta", "link", "html").alias("tags"))
+    read = read.select(
+        "page_id", "url", G.first_attribute(F.col("tags"), "content", ("name", "description")).alias("description"), G.first_attribute(F.col("tags"), "content", ("name", "robots")).alias("robots"),
+        G.first_attribute(F.col("tags"), "href", ("rel", "canonical")).alias("href"), F.element_at(F.get(F.filter("tags", lambda t: t["tag"] == "html"), F.lit(0))["attrs"], "lang").alias("lang"),
+    )
+    return read.select("page_id", "description", "robots", resolve(F.col("url"), F.col("href")).alias("canonical"), "lang")
+
+
 @query("""WITH RECURSIVE e AS (SELECT c_custkey AS src, c_custkey * 2 AS dst FROM customer UNION SELECT c_custkey, c_custkey * 3 + 1 FROM customer),
 b AS (SELECT 1::BIGINT AS node, 0 AS depth UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.node WHERE b.depth < 3) SELECT node, min(depth) AS depth FROM b GROUP BY 1""")
 def bfs_depth(spark, d):

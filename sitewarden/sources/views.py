@@ -20,8 +20,11 @@ FROM (SELECT id, agent_id, action, status, priority, created_at,
                    CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'high' WHEN o_orderpriority = '3-MEDIUM' THEN 'medium' ELSE 'low' END AS priority,
                    o_orderdate AS created_at FROM {orders}) a) b""",
     "agents": """
-SELECT * FROM (VALUES (0, 'sales', 'active'), (1, 'support', 'paused'), (2, 'hr', 'active'), (3, 'market_research', 'active'), (4, 'marketing', 'active'),
-  (5, 'leads', 'active'), (6, 'intelligence', 'active'), (7, 'legal', 'error'), (8, 'finance', 'active'), (9, 'archive', 'paused')) AS t(id, type, status)""",
+SELECT id, CASE id % 10 WHEN 0 THEN 'sales' WHEN 1 THEN 'support' WHEN 2 THEN 'hr' WHEN 3 THEN 'market_research' WHEN 4 THEN 'marketing' WHEN 5 THEN 'leads'
+         WHEN 6 THEN 'intelligence' WHEN 7 THEN 'legal' WHEN 8 THEN 'finance' ELSE 'archive' END AS type,
+       CASE WHEN balance < 0 THEN 'error' WHEN id % 4 = 1 THEN 'paused' ELSE 'active' END AS status,
+       TIMESTAMP '2024-01-01 00:00:00' + (id * 7919 % 1000) * INTERVAL '1' HOUR AS created_at
+FROM (SELECT CAST(s_suppkey - 1 AS INT) AS id, s_acctbal AS balance FROM {supplier}) a""",
     "snapshots": """
 SELECT event_id AS id, concat('https://site', CAST(user_id AS STRING), '.example.com') AS target_url, ts AS scan_timestamp,
        md5(concat('home', CAST(event_id % 3 AS STRING))) AS home_hash,
@@ -57,6 +60,31 @@ SELECT page_id, url, replace(html, '<head>', concat('<head>',
          CASE page_id % 4 WHEN 0 THEN concat('<meta name="description" content="', repeat('d', CAST(100 + page_id % 70 AS INT)), '">') WHEN 1 THEN '<meta name="robots" content="NOINDEX, follow">' ELSE '' END,
          CASE WHEN page_id % 3 = 0 THEN concat('<link rel="canonical" href="', url, '">') ELSE '' END)) AS html,
        page_id % 2 = 0 AS sitemap_found, page_id % 5 <> 0 AS robots_txt_found FROM {pages}""",
+    "crawl_sites": """
+SELECT min(page_id) AS site_id, concat('https://', host, '/') AS url FROM (SELECT page_id, split_part(url, '/', 3) AS host FROM {pages}) a GROUP BY host""",
+    "crawl_log": f"""
+SELECT site_id, url, attempt, CAST(status AS INT) AS status, failure, CAST(NULL AS {{TEXT}}) AS final_url, content_type, body FROM (
+  SELECT site_id, concat('https://', host, path) AS url, attempt,
+         CASE k WHEN 0 THEN CASE attempt WHEN 0 THEN 503 ELSE 200 END WHEN 1 THEN NULL WHEN 2 THEN 404 ELSE 200 END AS status, CASE WHEN k = 1 THEN 'timeout' END AS failure, 'text/html; charset=utf-8' AS content_type,
+         concat('<html><head><title>', title, '</title><link href=', path, ' rel=canonical></head><body><nav><a href=/deeper/', site_id, '>more</a></nav></body></html>') AS body
+  FROM (SELECT h.*, p.*, (site_id + n) % 9 AS k FROM (SELECT min(page_id) AS site_id, host FROM (SELECT page_id, split_part(url, '/', 3) AS host FROM {{pages}}) a GROUP BY host) h,
+        (VALUES (0, '/privacy-policy', 'Privacy policy'), (1, '/terms-of-service', 'Terms'), (2, '/about-us', 'About us'), (3, '/pricing', 'Pricing'), (4, '/products', 'Products'), (5, '/faq', 'FAQ'), (6, '/contact', 'Contact us'), (7, '/news/latest', 'News')) AS p(n, path, title)) x,
+       (VALUES (0), (1)) AS t(attempt) WHERE attempt = 0 OR k < 2
+  UNION ALL
+  SELECT page_id, concat('https://', split_part(url, '/', 3), '/'), 0, 200, NULL, 'text/html',
+         replace(html, '</body>', '<header class=site-nav><a href=/about-us>About us</a><a href="pricing">Pricing</a></header><footer><a href=/privacy-policy>Privacy Policy</a><a href=./terms-of-service>Terms of service</a><a href="/contact">Contact us</a><a href=/faq>FAQ</a></footer></body>')
+  FROM {{pages}} WHERE page_id IN (SELECT min(page_id) FROM {{pages}} GROUP BY split_part(url, '/', 3))
+  UNION ALL
+  SELECT site_id, p.url, 0, 200, NULL, 'text/html', max(html) FROM (SELECT page_id, url, html, split_part(url, '/', 3) AS host FROM {{pages}}) p JOIN (SELECT min(page_id) AS site_id, host FROM (SELECT page_id, split_part(url, '/', 3) AS host FROM {{pages}}) a GROUP BY host) h ON h.host = p.host
+  WHERE page_id % 3 <> 0 AND page_id <> site_id GROUP BY site_id, p.url
+  UNION ALL
+  SELECT site_id, concat('https://', host, CASE part WHEN 0 THEN '/robots.txt' WHEN 1 THEN '/maps.xml' WHEN 2 THEN '/map-1.xml' ELSE '/sitemap.xml' END), 0, 200, NULL, CASE part WHEN 0 THEN 'text/plain' ELSE 'application/xml' END,
+         CASE part WHEN 0 THEN concat('User-agent: *', chr(10), 'Disallow: /t', chr(10), 'Allow: /terms', chr(10), CASE WHEN site_id % 4 < 2 THEN concat('Sitemap: https://', host, '/maps.xml') ELSE '' END)
+           WHEN 1 THEN concat('<sitemapindex><sitemap><loc>https://', host, '/gone.xml</loc></sitemap><sitemap><loc>https://', host, '/map-1.xml</loc></sitemap></sitemapindex>')
+           WHEN 2 THEN concat('<urlset><url><loc>', lo, '</loc></url><url><loc> ', hi, ' </loc></url><url><loc>https://', host, '/products</loc></url><url><loc>https://elsewhere.test/terms</loc></url></urlset>')
+           ELSE concat('<urlset><url><loc>', hi, '</loc></url><url><loc>https://', host, '/news/latest</loc></url></urlset>') END
+  FROM (SELECT min(page_id) AS site_id, host, min(url) AS lo, max(url) AS hi FROM (SELECT page_id, url, split_part(url, '/', 3) AS host FROM {{pages}}) a GROUP BY host) h, (VALUES (0), (1), (2), (3)) AS f(part)
+  WHERE (part < 3 AND site_id % 2 = 0) OR (part = 3 AND site_id % 3 = 0)) y""".replace("{TEXT}", "VARCHAR(10)"),
     "mcc_codes": """
 SELECT lpad(CAST(p_partkey * 37 % 10000 AS VARCHAR(9)), 4, '0') AS mcc, p_name AS description, p_partkey AS ord, p_partkey % 3 <> 0 AS active FROM {part}""",
 }

@@ -1,10 +1,14 @@
 """The crawl planner, sitemaps, attempts and the crawl by breadth against plain queues."""
 
+import os
 import random
 
 import plain_site as P
 import pytest
 from sitewarden.operators import attempts, planner, sitemaps
+from sitewarden.plans import catalogue
+from sitewarden.session import release
+from sitewarden.sources.views import read_table, view
 
 LOG = "site_id long, url string, attempt int, status int, failure string, final_url string, content_type string, body string"
 PATHS = ["/privacy-policy", "/terms", "/terms-of-service", "/about-us", "/contact", "/pricing", "/products", "/solutions", "/faq", "/docs", "/blog/1", "/x", "/y?id=3", "/data-protection", "/refund-policy", "/a.pdf", "/deep/one"]
@@ -151,3 +155,36 @@ def test_breadth_as_a_queue(spark, depth, most):
     matches = spark.createDataFrame([(s, u, 2) for s, u, _ in fetched], "site_id long, url string, n int")
     totals = {r["site_id"]: (r["pages_crawled"], r["total_keyword_matches"]) for r in planner.monitored(got, matches).collect()}
     assert totals == {s: (len(v), 2 * len(v)) for s, v in want.items() if v}
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_registered_plans(spark):
+    """The queries over the hosts of pages against a plain crawl of each host."""
+    log = {}
+    for r in view(spark, SF, "crawl_log").orderBy("site_id", "url", "attempt").collect():
+        log.setdefault(r["site_id"], {}).setdefault(r["url"], []).append((r["status"], r["failure"], r["content_type"], r["body"]))
+    seeds = {r["site_id"]: r["url"] for r in view(spark, SF, "crawl_sites").collect()}
+    got = {k: {} for k in ("crawl_plan", "crawl_plan_rounds")}
+    for name, by in got.items():
+        for r in catalogue.QUERIES[name](spark, SF).orderBy("site_id", "ord").collect():
+            by.setdefault(r["site_id"], []).append((r["url"], r["depth"], r["status"], r["page_type"], r["error_type"], r["kept"]))
+    totals = {r["site_id"]: r for r in catalogue.QUERIES["crawl_plan_summary"](spark, SF).collect()}
+    for k, seed in seeds.items():
+        for name, rounds in (("crawl_plan", 1), ("crawl_plan_rounds", 3)):
+            want, total = P.plan(seed, log[k], rounds=rounds)
+            assert got[name][k] == [(p["url"], p["depth"], p["status"], p["page_type"], p["error"], p["kept"]) for p in want]
+            assert rounds > 1 or {n: totals[k][n] for n in total} == total
+    release(spark)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_registered_navigation(spark):
+    pages = read_table(spark, SF, "pages").collect()
+    got = {}
+    for r in catalogue.QUERIES["nav_discovery"](spark, SF).orderBy("page_id", "rank").collect():
+        got.setdefault(r["page_id"], []).append((r["url"], r["text"], r["source"], r["page_type"], r["confidence"]))
+    for p in pages:
+        assert got.get(p["page_id"], []) == [(x["url"], x["text"], x["source"], x["page_type"], x["confidence"]) for x in P.navigation(p["html"], p["url"], p["page_id"] % 2 == 0)]
