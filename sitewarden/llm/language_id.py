@@ -19,6 +19,10 @@ UNDETERMINED = "und"
 NOISE = DIM**-0.5
 #: Texts with fewer n-grams are too short to be rejected for their score.
 SHORT = 30
+#: Texts that are bundled at once, whatever their length: each has DIM numbers, several times over.
+MOST_TEXTS = 512
+#: Languages that can be learned. Each is DIM numbers in every worker and on the driver.
+MOST_LANGUAGES = 1000
 #: A document's bundle of length one as whole numbers: sums don't depend on their order.
 UNIT = 1 << 20
 
@@ -102,12 +106,13 @@ class GramCounter:
         return key[first] >> (BITS * GRAM), key[first] & (SYMBOLS**GRAM - 1), n, has
 
 
-def parts_of(texts: list[bytes | None], most_bytes: int = 1 << 19) -> Iterator[slice]:
-    """Slices of texts of about so many bytes; a longer text is a slice of its own."""
+def parts_of(texts: list[bytes | None], most_bytes: int = 1 << 19, most_texts: int = MOST_TEXTS) -> Iterator[slice]:
+    """Slices of texts of about so many bytes and no more than so many texts; a longer text is a
+    slice of its own."""
     start = size = 0
     for i, t in enumerate(texts):
         n = len(t or b"")
-        if i > start and size + n > most_bytes:
+        if i > start and (size + n > most_bytes or i - start >= most_texts):
             yield slice(start, i)
             start, size = i, 0
         size += n
@@ -130,7 +135,10 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
 
     All rows with a language count. Every partition makes one sum per language, and the
     sums, of whole numbers, are added by language: one vector of DIM numbers for each
-    language reaches the driver. Without rows there is no language."""
+    language reaches the driver. More than MOST_LANGUAGES distinct values are an error, in
+    the first partition or else before anything is collected: such a column holds no
+    languages. Without rows there is no language."""
+    too_many = f"{lang_col} has more than {MOST_LANGUAGES} distinct values"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter, sums = GramCounter(), {}
@@ -144,12 +152,16 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
                 units = np.rint(found / np.maximum(length, 1) * UNIT).astype(np.int64)
                 for lang in set(own):
                     sums[lang] = sums.get(lang, 0) + units[own == lang].sum(axis=0)
+                if len(sums) > MOST_LANGUAGES:
+                    raise ValueError(too_many)
         for lang, v in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * DIM, pa.string()), pa.array(np.arange(DIM, dtype=np.int32)), pa.array(v)], names=["lang", "k", "v"])
 
     rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(text_col), F.col(lang_col).cast("string"))
     summed = rows.mapInArrow(run, "lang string, k int, v long").groupBy("lang", "k").agg(F.sum("v").alias("v"))
-    got = summed.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("vs")).collect()
+    got = summed.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("vs")).limit(MOST_LANGUAGES + 1).collect()
+    if len(got) > MOST_LANGUAGES:
+        raise ValueError(too_many)
     langs = sorted(r["lang"] for r in got)
     by = {r["lang"]: np.array([x["v"] for x in r["vs"]], np.float64) for r in got}
     protos = [by[x] / max(np.linalg.norm(by[x]), 1e-9) for x in langs]

@@ -365,6 +365,57 @@ def test_language_bundles():
         assert np.array_equal(got[k], want) and has[k] == any(symbols)
 
 
+def test_language_by_brute_force(spark):
+    """Prototypes, cosines, ties and scores, one n-gram at a time."""
+    rows = [(i, t, lang) for i, (_, t, lang, _) in enumerate(corpus(13, 40))] + [(500, "abc", None), (501, "same text", "b"), (502, "same text", "a"), (503, "same text", None)]
+    letters, table = language_id.letter_vectors()[0].astype(float), language_id.symbol_table()
+
+    def bundle(text):
+        symbols = [0]
+        for c in text or "":
+            symbols += [int(table[ord(c)])] if table[ord(c)] or symbols[-1] else []
+        symbols += [0] if symbols[-1] else []
+        grams = [np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c] for a, b, c in zip(symbols, symbols[1:], symbols[2:]) if b]
+        return np.sum(grams, axis=0) if grams else None
+
+    bundles = {i: bundle(t) for i, t, _ in rows}
+    protos = {}
+    for i, _, lang in rows:
+        if lang and bundles[i] is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            protos[lang] = protos.get(lang, 0) + bundles[i] / np.linalg.norm(bundles[i])
+    got = {r["doc_id"]: r for r in language_id.identify(docs_of(spark, [(i, t, lang, None) for i, t, lang in rows])).collect()}
+    for i, b in bundles.items():
+        if b is None:
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        cosine = {k: float(b @ v / np.linalg.norm(b) / np.linalg.norm(v)) for k, v in sorted(protos.items())}
+        best = max(cosine.values())
+        assert abs(got[i]["score"] - max(0.0, best)) < 1e-5 and cosine[got[i]["lang_pred"]] > best - 1e-5
+    tied = [(k, "same text", lang, None) for k, lang in ((0, "b"), (1, "a"), (3, "b"), (4, "a")) if zlib.crc32(str(k).encode()) % 4 != 2]
+    assert {r[2] for r in tied} == {"a", "b"} and {r["lang_pred"] for r in language_id.identify(docs_of(spark, tied)).collect()} == {"a"}
+
+
+def test_language_bounds(spark, monkeypatch):
+    """Short texts are bundled in parts of bounded size, and a column that holds no languages is an error."""
+    import tracemalloc
+
+    short = [b"three short words"] * 10_000
+    parts = list(language_id.parts_of(short))
+    assert max(p.stop - p.start for p in parts) == language_id.MOST_TEXTS and [short[p] for p in parts] and sum(p.stop - p.start for p in parts) == len(short)
+    language_id.letter_vectors()
+    judge = language_id.Identifier(["a", "b"], np.ones((2, language_id.DIM)))
+    judge(short[:2])
+    tracemalloc.start()
+    judge(short)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    many = spark.range(3 * language_id.MOST_LANGUAGES).selectExpr("id AS doc_id", "'some text' AS text", "concat('l', id) AS lang")
+    for n in (1, 40):
+        with pytest.raises(Exception, match="distinct values"):
+            language_id.identify(many.repartition(n)).count()
+
+
 def test_language_rare_letters(spark):
     """Letters beyond U+FFFF are letters, scripts are told apart, and short texts aren't rejected."""
     scripts = {"dsr": "\U00010400\U00010401\U00010402\U00010403 ", "han": "漢字文書中國 ", "ell": "αβγδε ζηθ ", "rus": "привет мир ", "ara": "السلام عليكم "}
