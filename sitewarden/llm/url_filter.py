@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import string
 from collections.abc import Iterator
 
@@ -13,6 +14,10 @@ from .url_labels import labelled_urls
 
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 16
+#: What all urls to block weigh in the fit.
+BLOCK_SHARE = 0.4
+#: Urls are scored in slices of about so many characters, each of which has six numbers at a time.
+SLICE_CHARS = 1 << 18
 _BASE = np.uint64(0x100000001B3)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -43,7 +48,7 @@ def decide(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 def features(urls: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-grams of hosts and paths: (row, bucket) pairs, in order of rows. Each part
     stands between marks, and host and path have hashes of their own."""
-    rows, buckets = [], []
+    rows, buckets = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for part in (0, 1):
         raw = [b"\x02" + u[part].encode() + b"\x03" for u in urls]
         flat = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64) + np.uint64(1)
@@ -73,8 +78,8 @@ class Classifier:
         self.weights, self.bias = np.zeros(BUCKETS), 0.0
         row, bucket = features(urls)
         scale = 1 / np.sqrt(np.maximum(1, np.bincount(row, minlength=len(urls))))
-        # Both kinds weigh the same, however many urls there are of each.
-        share = np.where(y > 0, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, (1 - y).sum()))
+        # What a kind weighs doesn't depend on how many urls there are of it. The scales tip to keeping.
+        share = np.where(y > 0, BLOCK_SHARE / max(1.0, y.sum()), (1 - BLOCK_SHARE) / max(1.0, (1 - y).sum()))
         for _ in range(rounds):
             error = (1 / (1 + np.exp(-self._linear(row, bucket, scale))) - y) * share
             self.weights -= rate * (np.bincount(bucket, (error * scale)[row], BUCKETS) + decay * self.weights)
@@ -102,6 +107,16 @@ def fit(labelled: DataFrame, most: int = 100_000) -> Classifier:
     return Classifier([(r["host"], r["path"]) for r in rows], [r["verdict"] == "block" for r in rows])
 
 
+@functools.cache
+def own_classifier() -> Classifier:
+    """The classifier of labelled_urls(), fitted once for a process."""
+    rows = []
+    for url, verdict in labelled_urls():
+        host, slash, path = url.partition("://")[2].partition("/")
+        rows.append(((host, slash + path), verdict == "block"))
+    return Classifier(*map(list, zip(*sorted(rows))))
+
+
 def judge(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(id, host, path, rule, verdict, score) of every row: the verdict of the longest rule
     that fits the url, else of the classifier (block at 0.5 or more). rule is null where no
@@ -110,10 +125,11 @@ def judge(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None, id_c
 
     Only the url is read, nothing is shuffled; host, path and rule are Spark expressions,
     the score is made in Arrow batches. A null url, or one without `://`, has an empty host
-    and path and fits no rule. Null ids and repeated rows stay as they are; an empty table
-    gives no rows."""
+    and path and fits no rule. Null ids and repeated rows stay as they are, whatever other
+    columns pages has (host, rule, score ...) isn't read, an empty table gives no rows. Urls of
+    any length are judged whole, in slices of a batch bounded by their bytes."""
     spark = pages.sparkSession
-    model = fit(spark.createDataFrame(labelled_urls(), "url string, verdict string") if labelled is None else labelled)
+    model = own_classifier() if labelled is None else fit(labelled)
     shared = spark.sparkContext.broadcast(model)
     host, path = split_url(F.col("url"))
     rule, says = decide(F.col("host"), F.col("path"), rules)
@@ -122,8 +138,13 @@ def judge(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None, id_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = shared.value.scores(list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=["id", "host", "path", "rule", "says", "score"])
+            urls, scores, start, size = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())), [np.zeros(0)], 0, 0
+            for k, u in enumerate(urls):
+                size += len(u[0]) + len(u[1])
+                if size > SLICE_CHARS or k + 1 == len(urls):
+                    scores.append(shared.value.scores(urls[start : k + 1]))
+                    start, size = k + 1, 0
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores))], names=["id", "host", "path", "rule", "says", "score"])
 
     kind = ruled.schema["id"].dataType.simpleString()
     scored = ruled.mapInArrow(run, f"id {kind}, host string, path string, rule string, says string, score double")
