@@ -9,14 +9,21 @@ from urllib.parse import urljoin
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import html as H, sqltext as S
+from ..functions import html as H, sqltext as S, tags as G
 from ..functions.sqltext import SPARK
 from ..rules import tech as T
 
 
 def seo_score(pages: DataFrame) -> DataFrame:
-    """(page_id, title_len, desc_len, h1, has_canonical, indexable, seo_score, band)."""
-    parts = pages.select("page_id", "sitemap_found", "robots_txt_found", *[F.expr(e).alias(n) for n, e in H.seo_columns(SPARK).items()])
+    """(page_id, title_len, desc_len, h1, has_canonical, indexable, seo_score, band). What meta and
+    link tags say is read whatever the order and the quotes of their attributes."""
+    plain = {n: e for n, e in H.seo_columns(SPARK).items() if n in ("title_len", "h1")}
+    read = pages.select("page_id", "sitemap_found", "robots_txt_found", *[F.expr(e).alias(n) for n, e in plain.items()], G.tags(F.col("html"), "meta", "link").alias("tags_"))
+    said = lambda attr, *fits: F.coalesce(G.first_attribute(F.col("tags_"), attr, *fits), F.lit(""))
+    parts = read.select(
+        "page_id", "sitemap_found", "robots_txt_found", *plain, F.length(said("content", ("name", "description"))).alias("desc_len"),
+        (said("href", ("rel", "canonical")) != "").alias("has_canonical"), (~F.contains(F.lower(said("content", ("name", "robots"))), F.lit("noindex"))).alias("indexable"),
+    )
     scored = parts.withColumn("seo_score", F.expr(H.seo_score_sql()))
     band = F.when(F.col("seo_score") >= 80, "good").when(F.col("seo_score") >= 50, "fair").otherwise("poor")
     return scored.select("page_id", "title_len", "desc_len", "h1", "has_canonical", "indexable", "seo_score", band.alias("band"))

@@ -78,3 +78,13 @@ def test_first_attribute_and_long_pages(spark):
     df = spark.createDataFrame([(page,), ("<p>",), (None,)], "html string")
     rows = df.select(T.first_attribute(T.tags(F.col("html"), "link"), "href", ("rel", "canonical")).alias("c"), F.size(T.tags(F.col("html"))).alias("n")).collect()
     assert [r["c"] for r in rows] == ["/c", None, None] and [r["n"] for r in rows[:2]] == [20_003, 1]
+
+
+def test_seo_reads_tags_in_any_form(spark):
+    from sitewarden.operators import pages
+
+    html = "<head><title>t</title><meta content='d' name=description><LINK href=/x rel=canonical><meta content=NoIndex name='robots'></head>"
+    rows = [(1, html, True, True), (2, "<meta name=description>", True, True), (3, None, False, False)]
+    got = {r["page_id"]: r for r in pages.seo_score(spark.createDataFrame(rows, "page_id long, html string, sitemap_found boolean, robots_txt_found boolean")).collect()}
+    assert (got[1]["desc_len"], got[1]["has_canonical"], got[1]["indexable"]) == (1, True, False)
+    assert (got[2]["desc_len"], got[2]["has_canonical"], got[2]["indexable"]) == (0, False, True)
