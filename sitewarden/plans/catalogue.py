@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from ..functions import html as H, tags as G, urls as U
 from ..functions.resolve import resolve
 from ..functions.sqltext import DUCK, SPARK, cases
-from ..operators import attempts, cache, changes, compliance, context, crawl, mcc, navigation, pages, planner, policy, research, risk, signals, sitemaps, tasks
+from ..operators import attempts, cache, changes, compliance, context, crawl, mcc, navigation, outline, pages, planner, policy, research, risk, signals, sitemaps, tasks
 from ..rules import changes as CR, mcc as MR, pages as PR, policies as PO, risk as RR
 from ..session import scratch
 from ..sources import files
@@ -844,6 +844,17 @@ def product_extract(spark, d):
     return research.products(links)
 
 
+@query()
+def product_outline(spark, d):
+    """Products of every two pages taken as a site, its home page and its product page, by all tiers."""
+    some = read_table(spark, d, "pages").select(F.expr("page_id div 2").alias("site_id"), (F.col("page_id") % 2 == 0).alias("home"), "url", "html")
+    home, inner = some.where("home"), some.where("not home")
+    named = navigation.links(home.where("site_id % 3 = 0"), "site_id").where("text <> ''").select("site_id", F.col("rank").alias("ord"), F.col("text").alias("name"))
+    found = navigation.links(home.where("site_id % 3 = 1"), "site_id").select("site_id", F.col("rank").alias("link_ord"), "url", F.col("text").alias("anchor"), F.lit(False).alias("in_menu"))
+    listed = research.products(found).select("site_id", F.col("rank_").alias("ord"), "name")
+    return outline.extract(home, inner, named, listed)
+
+
 @query("SELECT doc_id, len(k) AS n_matches, array_to_string(k, ',') AS matched, CASE WHEN length(t) > 500 THEN left(t, 500) || '...' ELSE t END AS excerpt FROM (SELECT doc_id, coalesce(text, '') AS t, list_filter(['the', 'license', 'tion'], lambda w: contains(lower(coalesce(text, '')), w)) AS k FROM documents) x")
 def keyword_monitor(spark, d):
     return research.keyword_monitor(read_table(spark, d, "documents"), ("the", "license", "tion"))
