@@ -11,10 +11,10 @@ from ..functions.resolve import resolve
 from ..functions.sqltext import DUCK, SPARK, cases
 from ..operators import attempts, cache, changes, compliance, context, crawl, mcc, navigation, outline, pages, planner, policy, research, risk, signals, sitemaps, tasks
 from ..rules import changes as CR, mcc as MR, pages as PR, policies as PO, risk as RR
-from ..session import scratch
+from ..session import keep_until_release, scratch
 from ..sources import files
 from ..sources.views import VIEWS, cte, read_table, view
-from ..streaming import events as events_
+from ..streaming import events as events_, lifetimes, upserts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -732,9 +732,16 @@ def cache_valid(spark, d):
 b AS (SELECT *, 0 AS turn FROM page_cache UNION ALL SELECT *, 1 FROM new WHERE status = 200 AND content_hash IS NOT NULL),
 r AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY turn DESC, created_at DESC, page_id DESC) AS k, min(created_at) OVER (PARTITION BY url) AS first_ FROM b) SELECT url, first_ AS created_at, created_at AS updated_at, page_id, content_hash FROM r WHERE k = 1""")
 def cache_upsert(spark, d):
+    return _cached(cache.upsert(*_cache_batches(spark, d)))
+
+
+def _cache_batches(spark, d):
     old = view(spark, d, "page_cache")
     new = old.where("page_id % 2 = 0").withColumns({"content_hash": F.md5("content_hash"), "status": F.when(F.col("page_id") % 5 == 0, 500).otherwise(200), "created_at": F.col("created_at") + F.expr("INTERVAL '1' DAY")})
-    out = cache.upsert(old, new)
+    return old, new
+
+
+def _cached(out):
     return out.select("url", F.col("created_at").cast("timestamp_ntz").alias("created_at"), F.col("updated_at").cast("timestamp_ntz").alias("updated_at"), "page_id", "content_hash")
 
 
@@ -887,7 +894,7 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ended(stream: DataFrame, name: str) -> DataFrame:
-    folder = scratch(stream.sparkSession, name)
+    folder = keep_until_release(scratch(stream.sparkSession, name))
     return events_.run_to_end(stream, f"{folder}/out", f"{folder}/checkpoint")
 
 
@@ -915,3 +922,30 @@ def stream_url_dedupe(spark, d):
 def stream_changes(spark, d):
     rows = spark.sql(VIEWS["snapshots"], events=_stream(spark, d)).select("target_url", "id", F.col("scan_timestamp").cast("timestamp").alias("ts"), "pricing_model")
     return _ended(events_.pricing_changes(rows), "changes")
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id || '/' || event_type AS key, ts FROM events), f AS (SELECT key, min(ts) AS ts FROM e GROUP BY key
+UNION ALL SELECT e.key, min(e.ts) FROM f JOIN e ON e.key = f.key AND e.ts >= f.ts + INTERVAL '5' DAY GROUP BY e.key) SELECT key, ts FROM f""")
+def stream_lifetime_dedupe(spark, d):
+    """An event of each user and type that isn't within five days of the last one given out."""
+    some = events_.timed(_stream(spark, d)).select(F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("key"), F.col("event_id").alias("id"), "ts")
+    out = _ended(lifetimes.first_in_lifetime(some, "key", "5 days"), "lifetimes")
+    return out.select("key", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query(f"""WITH {cte('snapshots')}, {_LAG}, m AS (SELECT max(scan_timestamp) - INTERVAL '1' HOUR AS w FROM snapshots)
+SELECT target_url AS key, id, p_model AS previous, pricing_model AS current FROM l, m WHERE p_id IS NOT NULL AND pricing_model IS DISTINCT FROM p_model AND scan_timestamp <= w""")
+def stream_changes_ordered(spark, d):
+    """Pricing changes in the order of events, as far as the watermark has come."""
+    rows = spark.sql(VIEWS["snapshots"], events=_stream(spark, d)).select("target_url", "id", F.col("scan_timestamp").cast("timestamp").alias("ts"), "pricing_model")
+    return _ended(lifetimes.changes_in_order(rows.withWatermark("ts", "1 hour"), "target_url", "pricing_model", "36500 days"), "ordered-changes")
+
+
+@query(ORACLES["cache_upsert"])
+def cache_upsert_buckets(spark, d):
+    """cache_upsert() as two batches into a stored table, of which only touched buckets are written again."""
+    old, new = (part.withColumn("updated_at", F.col("created_at")) for part in _cache_batches(spark, d))
+    stored = upserts.BucketedTable(spark, keep_until_release(scratch(spark, "cache")), ", ".join(f"{c} {k}" for c, k in old.dtypes), "url", cache.upsert)
+    for k, part in enumerate((old, new)):
+        stored.apply(part, k)
+    return _cached(stored.read())
