@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from ..functions import html as H, tags as G, urls as U
 from ..functions.resolve import resolve
 from ..functions.sqltext import DUCK, SPARK, cases
-from ..operators import attempts, cache, changes, compliance, context, crawl, mcc, navigation, outline, pages, planner, policy, research, risk, signals, sitemaps, tasks
+from ..operators import attempts, cache, changes, compliance, context, crawl, mcc, navigation, outline, pages, planner, policy, reports, research, risk, signals, sitemaps, tasks
 from ..rules import changes as CR, mcc as MR, pages as PR, policies as PO, risk as RR
 from ..session import keep_until_release, scratch
 from ..sources import files
@@ -668,6 +668,30 @@ def report_markdown(spark, d):
     return compliance.markdown(compliance.score(_facts(spark, d)[0]))
 
 
+def _report_parts(spark, d):
+    facts, found = _facts(spark, d)
+    sites = facts.select("site_id", F.concat(F.lit("https://site"), F.col("site_id").cast("string"), F.lit(".example.com/")).alias("url"), F.lit("2024-01-31").alias("scanned_at"))
+    raised = reports.alerts(facts.select("site_id", (F.col("site_id") % 4).cast("int").alias("redirect_count"), F.col("ssl_ok").alias("https"), F.when(F.col("site_id") % 9 == 0, "certificate expired").alias("ssl_error"), "age_days"))
+    contexts = facts.select("site_id", "primary_context", F.lit(None).cast("double").alias("confidence"), F.col("context_status").alias("status"), F.lit(None).cast("string").alias("surface"))
+    none = facts.select("site_id", *[F.lit(None).cast(k).alias(c) for c, k in (("mcc", "string"), ("description", "string"), ("band", "string"), ("mcc_confidence", "double"), ("keywords", "array<string>"))])
+    return facts, found, sites, raised, contexts, none
+
+
+@query()
+def alert_issues(spark, d):
+    """Every issue of every site with its reason: alerts, policies, content, placeholders."""
+    facts, found, _, raised, _, _ = _report_parts(spark, d)
+    return reports.all_issues(facts, raised, found)
+
+
+@query()
+def report_model(spark, d):
+    """The whole report of every site, as JSON and as Markdown."""
+    facts, found, sites, raised, contexts, none = _report_parts(spark, d)
+    built = reports.model(sites, compliance.score(facts), reports.all_issues(facts, raised, found), contexts, none)
+    return reports.as_json(built).join(reports.as_markdown(built).withColumnRenamed("report", "markdown"), "site_id")
+
+
 @query("SELECT c_custkey, 'site_scan_' || left(regexp_replace(concat(c_name, ' /', c_custkey), '[^A-Za-z0-9.-]', '_', 'g'), 50) || '.json' AS filename FROM customer")
 def report_filenames(spark, d):
     return read_table(spark, d, "customer").select("c_custkey", compliance.report_filename(F.concat("c_name", F.lit(" /"), F.col("c_custkey").cast("string"))).alias("filename"))
