@@ -73,16 +73,21 @@ def merge_symbols(symbols: list[int], ranks: dict[int, int], merged: list[int])
 
 
 class _Cache(dict):
-    """Results of `make` by argument; emptied when it holds `most` of them."""
+    """Results of `make` by argument, at most `most` of them: in two generations, of which the older
+    goes when the younger is full. What is asked for again moves to the younger."""
 
     def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.half, self.older = make, most // 2, {}
 
     def __missing__(self, key):
-        if len(self) >= self.most:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.half:
+            self.older = dict(self)
             self.clear()
-        self[key] = value = self.make(key)
+        self[key] = value
         return value
 
 
@@ -95,7 +100,7 @@ class WordBpe:
     suffix, and merges are applied to each word. Special tokens in a text are single ids.
     """
 
-    def __init__(self, path: str, cached: int = 800_000):
+    def __init__(self, path: str, cached: int = 300_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -169,7 +174,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
 
     Null text counts as empty: no ids, the hashes of nothing. Null ids and repeated rows
     stay as they are; extra columns are ignored; an empty table gives no rows. A worker
-    keeps the ids of at most 900,000 distinct words and chunks between batches."""
+    keeps the ids of at most 300,000 distinct words and as many chunks between batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(vocabulary)
