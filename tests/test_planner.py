@@ -77,24 +77,20 @@ def test_a_giant_site_and_odd_ones(spark):
     nav = "".join(f"<a href=/item/{k}>x</a>" for k in range(30_000))
     giant = {f"{root}/": [(200, None, "text/html", f"<nav>{nav}<a href=/privacy>p</a></nav>")]} | {f"{root}/item/{k}": [(200, None, "text/html", "<p>")] for k in range(0, 30_000, 3)}
     sites = {1: (f"{root}/", giant), 2: ("https://none.example/", {}), 3: ("https://empty.example/", {"https://empty.example/": [(200, None, "text/html", "")]}), 4: ("https://json.example/", {"https://json.example/": [(200, None, "application/json", "{}")]})}
-    pages, summary = planner.plan(*tables(spark, sites))
-    got = {k: [r["url"] for r in pages.where(f"site_id = {k}").orderBy("ord").collect()] for k in sites}
-    for k, (seed, log) in sites.items():
+    typed = {"https://a.example": [(200, None, "text/html", "<nav><a href=about-us>About us</a><a href='/'>home</a></nav>")], "https://a.example/about-us": [(200, None, "text/html", "<title>About us</title>")]}
+    pages, summary = planner.plan(*tables(spark, sites | {5: ("url: a.example", typed)}))
+    got, totals = {}, {r["site_id"]: r for r in summary.collect()}
+    for r in pages.orderBy("site_id", "ord").collect():
+        got.setdefault(r["site_id"], []).append((r["url"], r["page_type"], r["kept"]))
+    for k, (seed, log) in (sites | {5: ("https://a.example", typed)}).items():
         want, total = P.plan(seed, log)
-        assert got[k] == [p["url"] for p in want]
-        row = summary.where(f"site_id = {k}").first()
-        assert {n: row[n] for n in total} == total
+        assert got[k] == [(p["url"], p["page_type"], p["kept"]) for p in want]
+        assert {n: totals[k][n] for n in total} == total
+    assert got[5] == [("https://a.example", "home", True), ("https://a.example/about-us", "about", True)]
     none = planner.plan(*(t.limit(0) for t in tables(spark, sites)))
     assert none[0].count() == 0 and none[1].count() == 0
 
 
-def test_seed_as_typed(spark):
-    log = {"https://a.example": [(200, None, "text/html", "<nav><a href=about-us>About us</a><a href='/'>home</a></nav>")], "https://a.example/about-us": [(200, None, "text/html", "<title>About us</title>")]}
-    sites, table = tables(spark, {1: ("url: a.example", log)})
-    rows = planner.plan(sites, table)[0].orderBy("ord").collect()
-    assert [(r["url"], r["page_type"], r["kept"]) for r in rows] == [("https://a.example", "home", True), ("https://a.example/about-us", "about", True)]
-
-
 def test_attempts(spark):
     rng = random.Random(4)
     kinds = [(200, None, "text/html", "ok"), (404, None, "text/html", "no"), (410, None, "text/html", "gone"), (500, None, "text/html", "x"), (503, None, "", ""), (None, "timeout", None, None), (None, "SSL: certificate", None, None), (302, None, "text/html", ""), (200, None, "image/png", "b")]
@@ -167,16 +163,15 @@ def test_registered_plans(spark):
     for r in view(spark, SF, "crawl_log").orderBy("site_id", "url", "attempt").collect():
         log.setdefault(r["site_id"], {}).setdefault(r["url"], []).append((r["status"], r["failure"], r["content_type"], r["body"]))
     seeds = {r["site_id"]: r["url"] for r in view(spark, SF, "crawl_sites").collect()}
-    got = {k: {} for k in ("crawl_plan", "crawl_plan_rounds")}
-    for name, by in got.items():
-        for r in catalogue.QUERIES[name](spark, SF).orderBy("site_id", "ord").collect():
-            by.setdefault(r["site_id"], []).append((r["url"], r["depth"], r["status"], r["page_type"], r["error_type"], r["kept"]))
+    got = {}
+    for r in catalogue.QUERIES["crawl_plan_rounds"](spark, SF).orderBy("site_id", "ord").collect():
+        got.setdefault(r["site_id"], []).append((r["url"], r["depth"], r["status"], r["page_type"], r["error_type"], r["kept"]))
     totals = {r["site_id"]: r for r in catalogue.QUERIES["crawl_plan_summary"](spark, SF).collect()}
     for k, seed in seeds.items():
-        for name, rounds in (("crawl_plan", 1), ("crawl_plan_rounds", 3)):
-            want, total = P.plan(seed, log[k], rounds=rounds)
-            assert got[name][k] == [(p["url"], p["depth"], p["status"], p["page_type"], p["error"], p["kept"]) for p in want]
-            assert rounds > 1 or {n: totals[k][n] for n in total} == total
+        want, _ = P.plan(seed, log[k], rounds=3)
+        assert got[k] == [(p["url"], p["depth"], p["status"], p["page_type"], p["error"], p["kept"]) for p in want]
+        _, total = P.plan(seed, log[k])
+        assert {n: totals[k][n] for n in total} == total
     release(spark)
 
 
