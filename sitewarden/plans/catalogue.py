@@ -148,7 +148,7 @@ def agent_lookup(spark, d):
 @query(f"WITH {cte('agents')} SELECT id, type, status, created_at FROM agents ORDER BY created_at DESC, id")
 def agent_list(spark, d):
     """All agents, the newest first."""
-    return view(spark, d, "agents").orderBy(F.col("created_at").desc(), "id")
+    return view(spark, d, "agents").orderBy(F.col("created_at").desc(), "id").withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
 
 
 _END = f"CASE WHEN id % 12 = 0 THEN 'failed' WHEN id % 6 = 0 THEN 'completed' ELSE status END"
