@@ -256,7 +256,8 @@ def near_vectors(
 
     A task holds one block with its window, or two cells of `cells[1]` vectors. Rows with a
     null id are passed with null component and no link. Rows that repeat an id are vectors of
-    their own, each with its links. Ids are integers. An empty table gives no rows.
+    their own, each with its links. Ids are integers. Further columns aren't read, whatever
+    they are called. An empty table gives no rows.
     """
     with scratch(table.sparkSession):
         return _near(table, threshold, id_col, vector_col, label_col, block, window, miss, probes, most_passes, cells)

@@ -122,7 +122,8 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first. near_edited and near_next are the likeness of the fingerprint to the edited
     text's and to the next row's. Equal ids are ordered by text, null text first. A row
     with a null id has no next one: its edited text is just shortened, and near_next is
-    null. An empty table gives no rows."""
+    null. Further columns aren't read; a very long text goes through whole, on its own. An
+    empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers: dict = {}
