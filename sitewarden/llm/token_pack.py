@@ -243,7 +243,9 @@ def write_tokens(docs: DataFrame, vocabulary: str, uri: str, id_col: str = "doc_
 
     One range shuffle of the texts; rows with a null id come first, repeated ids in order of
     their text. The manifest grows with the number of files only. A uri that the workers
-    can't write to fails here, before any work (see file_system())."""
+    can't write to fails here, before any work (see file_system()). Further columns aren't
+    read, a very long text is encoded whole, and of an empty table nothing is written but files
+    without documents."""
     spark = docs.sparkSession
     file_system(uri)
 
