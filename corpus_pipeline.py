@@ -25,19 +25,22 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (operator 5), and one of rows that share id
-    and text. Rows with a null id and texts without words are in no group and stay."""
+    and text. Rows with a null id and texts without words are in no group and stay. A text of any
+    length is compared whole; no rows, no rows."""
     return minhash.keep_representatives(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them (operator 10), each row by its own
-    count. A null source is a source; a text without words has no size and counts nothing."""
+    count. A null source is a source; a text without words has no size and counts nothing; a very
+    long one counts all its words; no rows, no rows."""
     return mixing.apply_mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with hashes of the ids and of the decoded text (operator 7).
-    Null text is empty text; null and repeated ids stay as they are."""
+    Null text is empty text; null and repeated ids stay as they are; a very long text is encoded
+    whole; no rows, no rows."""
     return bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
 
 
