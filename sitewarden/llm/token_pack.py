@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import struct
@@ -156,24 +157,41 @@ class ByteBpe:
     """A byte-level BPE vocabulary in the tokenizers library, with results kept by word.
 
     Where every white-space character of a text stands alone and is a blank or a line
-    break, the vocabulary's splitting pattern never joins anything across it, so the text's
+    break, the usual splitting pattern never joins anything across it, so the text's
     ids are those of its runs that begin there: each distinct run is encoded by the
-    library once. Any other text, and one that names a special token, goes to the library
-    as a whole."""
+    library once, and one that ends with a full stop or comma after a letter together with the
+    run without it. Any other text, one that names a special token, and any text of a
+    vocabulary that splits otherwise, goes to the library as a whole."""
 
     SPACES = ("\t", "\x0b", "\x0c", "\r", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0")
     DOUBLES = ("  ", "\n\n", " \n", "\n ")
     OTHER = re.compile(r"[^\S \n]")
-    MARK = "\r\r"
+    STOPS = (".", ",")
+    #: Letters up to here are the same in every version of Unicode.
+    LATIN = "\u024f"
+    #: What stands before a text's first run among the kept ones: no run holds it.
+    FIRST = "\r"
+    #: Texts are encoded in parts of about so many characters; longer runs than RUN_CHARS aren't kept.
+    PART_CHARS, RUN_CHARS = 1 << 20, 64
 
     def __init__(self, path: str, most: int = 1_000_000):
+        """most: the runs kept, in two generations. When the newer one has half of them, the
+        older one goes, but for what was met again since."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.kept = Tokenizer.from_file(path), most, {}
+        self.tokenizer, self.most, self.kept, self.older = Tokenizer.from_file(path), most, {}, {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = self.tokenizer.get_vocab_size()
-        self.mark = self._ids([self.MARK])[0]
+        split = self.tokenizer.pre_tokenizer and json.loads(self.tokenizer.pre_tokenizer.__getstate__())
+        usual = split and split["type"] == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
+        self.splits = usual and not (self.tokenizer.normalizer or self.tokenizer.truncation or self.tokenizer.padding)
+        vocabulary = self.tokenizer.get_vocab()
+        #: Whether an id's bytes begin with a blank or a line break, which a byte-level vocabulary writes so.
+        self.begins = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.begins[[i for token, i in vocabulary.items() if token[:1] in ("\u0120", "\u010a")]] = True
+        self.joins = not any(re.search(r"\s", x) for x in self.special)
+        self.stops = dict(zip(self.STOPS, map(np.ndarray.tobytes, self._ids([*self.STOPS]))))
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -190,44 +208,60 @@ class ByteBpe:
         return not any(c in text for c in self.SPACES)
 
     def _runs(self, names: list[str], part: int = 1000) -> Iterator[bytes]:
-        """The ids of runs without carriage returns. Many runs are one text for the library,
-        with a mark between them that no run can hold."""
-        texts = [self.MARK.join(names[k : k + part]) for k in range(0, len(names), part)]
-        m = len(self.mark)
-        for ids, k in zip(self._ids(texts), range(0, len(names), part)):
-            at = np.flatnonzero(ids == self.mark[0])[::m]
-            raw = ids.tobytes()
-            starts, ends = [0, *((at + m) * 4).tolist()], [*(at * 4).tolist(), len(raw)]
-            if len(starts) != len(names[k : k + part]):
-                raise ValueError("the vocabulary joins runs across the mark")
-            for a, b in zip(starts, ends):
-                yield raw[a:b]
+        """The ids of runs that begin with a blank or line break, have no other white space and are
+        more than that. Many of them are one text for the library: a run begins where an id
+        does whose bytes begin so."""
+        for k in range(0, len(names), part):
+            some = names[k : k + part]
+            ids = self._ids(["".join(some)])[0] if self.joins else np.empty(0, "<u4")
+            at = np.flatnonzero(self.begins[ids])
+            if len(at) != len(some) or at[0]:
+                yield from (x.tobytes() for x in self._ids(some))
+                continue
+            raw, ends = ids.tobytes(), [*(at[1:] * 4).tolist(), len(ids) * 4]
+            yield from (raw[a:b] for a, b in zip([0, *ends], ends))
+
+    def _meet(self, runs: set[str]) -> None:
+        """Encode what isn't kept of these runs, and keep it."""
+        if len(self.kept) > self.most // 2:
+            self.older, self.kept = self.kept, {}
+        kept, older = self.kept, self.older
+        new = runs.difference(kept)
+        again = [x for x in new if x in older]
+        kept.update((x, older[x]) for x in again)
+        new.difference_update(again)
+        alone = [x for x in new if x[:1] == self.FIRST or x in ("", "\n")]
+        kept.update(zip(alone, map(np.ndarray.tobytes, self._ids([x[1:] if x[:1] == self.FIRST else x or " " for x in alone]))))
+        new.difference_update(alone)
+        stems = {x: x[:-1] for x in new if x[-1] in self.stops and x[-2:-1].isalpha() and x[-2] <= self.LATIN}
+        names = [x for x in new.difference(stems).union(stems.values()) if x not in kept]
+        made = dict(zip(names, self._runs([x if x[0] == "\n" else " " + x for x in names])))
+        kept.update((x, made[x]) for x in names if x in new)
+        kept.update((x, (made[stem] if stem in made else kept[stem]) + self.stops[x[-1]]) for x, stem in stems.items())
 
     def encode_many(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        found, gaps, kept = [], {}, self.kept
-        if len(kept) > self.most:
-            kept.clear()
+        some, size = [], 0
         for t in texts:
-            if not self.in_runs(t):
-                found.append(None)
-                continue
-            # A run's blank is left off; one that begins with a line break keeps it.
-            first, *rest = t.replace("\n", " \n").split(" ")
-            raw = list(map(kept.get, rest))
-            for i in [i for i, x in enumerate(raw) if x is None] if None in raw else ():
-                gaps.setdefault(rest[i], []).append((len(found), i))
-            found.append((first, raw))
-        for (run, places), ids in zip(gaps.items(), self._runs([r if r[:1] == "\n" else " " + r for r in gaps])):
-            kept[run] = ids
-            for k, i in places:
-                found[k][1][i] = ids
-        for t, done in zip(texts, found):
-            if done is None:
-                yield self._ids([t])[0].tobytes()
-            else:
-                first, raw = done
-                yield (self._ids([first])[0].tobytes() if first else b"") + b"".join(raw)
+            some.append(t)
+            size += len(t)
+            if size > self.PART_CHARS:
+                yield from self._part(some)
+                some, size = [], 0
+        yield from self._part(some)
+
+    def _part(self, texts: list[str]) -> list[bytes]:
+        # A run's blank is left off; one that begins with a line break keeps it.
+        found = [t.replace("\n", " \n").split(" ") if self.splits and self.in_runs(t) else None for t in texts]
+        for runs in filter(None, found):
+            runs[0] = self.FIRST + runs[0]
+        distinct = set().union(*filter(None, found))
+        self._meet(distinct)
+        kept = self.kept
+        out = [b"".join(map(kept.__getitem__, runs)) if runs else self._ids([t])[0].tobytes() for t, runs in zip(texts, found)]
+        for x in [x for x in distinct if len(x) > self.RUN_CHARS]:
+            del kept[x]
+        return out
 
 
 @functools.cache

@@ -319,6 +319,47 @@ def test_token_files(spark, tmp_path):
     assert [(r["doc_id"], r["start"]) for r in odd] == [(None, 0), (1, 2), (1, 4)]
 
 
+class Counted:
+    """A tokenizer that notes the texts it was given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.given = tokenizer, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.given += texts
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_byte_bpe_asks_once():
+    """First words, runs with stops and words that come again and again reach the library once."""
+    bpe = token_pack.ByteBpe(public_tokenizers.path("byte_bpe_50k.json"), most=40)
+    bpe.tokenizer = counted = Counted(bpe.tokenizer)
+    texts = ["Good day word. word, word", "Good word"] + [f"Good the x{k}q y{k}q word. z{k}q" for k in range(100)]
+    for text in texts:
+        (raw,) = bpe.encode_many([text])
+        assert np.frombuffer(raw, "<u4").tolist() == counted.tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(bpe.kept) + len(bpe.older) <= 60
+    given = "|".join(counted.given)
+    assert [given.count(x) for x in ("Good", " the", " word", " x7q")] == [1, 1, 1, 1]
+
+
+def test_byte_bpe_odd_texts(tmp_path):
+    """Any mix of odd parts against the library, also where a vocabulary splits otherwise."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    path, rng = public_tokenizers.path("byte_bpe_50k.json"), random.Random(6)
+    parts = [" ", " ", " ", " ", "\n", "\n", "\r", "\x1c", "\u3000", ".", ",", "'s", "1", "a", "Word", "\u00e9", "\u00aa", "\u01c5", "\u65e5", "\u0301", "\u00d7", "word.", "x,", "y" * 70, "z" * 90 + ".", "<|endoftext|>", "<|end", "\U0001f600"]
+    texts = ["", " ", "\n", "a ", "a\n", " a", "\na"] + ["".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(4000)]
+    other = Tokenizer.from_file(path)
+    other.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    other.save(str(tmp_path / "other.json"))
+    for vocabulary, some in ((path, texts), (str(tmp_path / "other.json"), texts[:500])):
+        bpe, library = token_pack.ByteBpe(vocabulary, most=100), Tokenizer.from_file(vocabulary)
+        got = [np.frombuffer(raw, "<u4").tolist() for k in range(0, len(some), 40) for raw in bpe.encode_many(some[k : k + 40])]
+        assert got == [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
+        assert all(len(x) <= bpe.RUN_CHARS for x in [*bpe.kept, *bpe.older])
+
+
 @pytest.mark.parametrize("bits", [1, 5, 8, 13, 16, 17, 31, 32])
 def test_packing(bits, tmp_path):
     ids = np.random.default_rng(bits).integers(0, 2**bits, 150_001).astype("<u4")
