@@ -13,6 +13,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -172,11 +173,11 @@ class ByteBpe:
     #: What stands before a text's first run among the kept ones: no run holds it.
     FIRST = "\r"
     #: Texts are encoded in parts of about so many characters; longer runs than RUN_CHARS aren't kept.
-    PART_CHARS, RUN_CHARS = 1 << 20, 64
+    PART_CHARS, RUN_CHARS = 1 << 23, 64
 
     def __init__(self, path: str, most: int = 1_000_000):
-        """most: the runs kept, in two generations. When the newer one has half of them, the
-        older one goes, but for what was met again since."""
+        """most: the runs kept, in two generations. Before the newer one has more than half of them, the
+        older one goes, but for what was met again since. (One part's runs are kept in any case.)"""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -207,7 +208,7 @@ class ByteBpe:
             return not self.OTHER.search(text)
         return not any(c in text for c in self.SPACES)
 
-    def _runs(self, names: list[str], part: int = 1000) -> Iterator[bytes]:
+    def _runs(self, names: list[str], part: int = 200) -> Iterator[bytes]:
         """The ids of runs that begin with a blank or line break, have no other white space and are
         more than that. Many of them are one text for the library: a run begins where an id
         does whose bytes begin so."""
@@ -221,25 +222,30 @@ class ByteBpe:
             raw, ends = ids.tobytes(), [*(at[1:] * 4).tolist(), len(ids) * 4]
             yield from (raw[a:b] for a, b in zip([0, *ends], ends))
 
-    def _meet(self, runs: set[str]) -> None:
-        """Encode what isn't kept of these runs, and keep it."""
-        if len(self.kept) > self.most // 2:
-            self.older, self.kept = self.kept, {}
+    def _meet(self, runs: list[str]) -> list[bytes]:
+        """The ids of each of these distinct runs. What isn't kept is encoded, and kept unless it is long."""
         kept, older = self.kept, self.older
-        new = runs.difference(kept)
-        again = [x for x in new if x in older]
-        kept.update((x, older[x]) for x in again)
-        new.difference_update(again)
-        alone = [x for x in new if x[:1] == self.FIRST or x in ("", "\n")]
-        kept.update(zip(alone, map(np.ndarray.tobytes, self._ids([x[1:] if x[:1] == self.FIRST else x or " " for x in alone]))))
-        new.difference_update(alone)
-        stems = {x: x[:-1] for x in new if x[-1] in self.stops and x[-2:-1].isalpha() and x[-2] <= self.LATIN}
-        names = [x for x in new.difference(stems).union(stems.values()) if x not in kept]
-        made = dict(zip(names, self._runs([x if x[0] == "\n" else " " + x for x in names])))
-        kept.update((x, made[x]) for x in names if x in new)
-        kept.update((x, (made[stem] if stem in made else kept[stem]) + self.stops[x[-1]]) for x, stem in stems.items())
-
-    def encode_many(self, texts: list[str]) -> Iterator[bytes]:
+        found = list(map(kept.get, runs))
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        new = [runs[k] for k in missing]
+        made = {x: older[x] for x in new if x in older}
+        rest = [x for x in new if x not in made]
+        alone = [x for x in rest if x[:1] == self.FIRST or x in ("", "\n")]
+        made.update(zip(alone, map(np.ndarray.tobytes, self._ids([x[1:] if x[:1] == self.FIRST else x or " " for x in alone]))))
+        rest = [x for x in rest if x not in made] if alone else rest
+        stems = {x: x[:-1] for x in rest if x[-1] in self.stops and x[-2:-1].isalpha() and x[-2] <= self.LATIN}
+        names = [x for x in rest if x not in stems] + [x for x in stems.values() if x not in kept and x not in older]
+        names = list(dict.fromkeys(names))
+        made.update(zip(names, self._runs([x if x[0] == "\n" else " " + x for x in names])))
+        made.update((x, (made.get(stem) or kept.get(stem) or older[stem]) + self.stops[x[-1]]) for x, stem in stems.items())
+        if len(kept) + len(new) > self.most // 2:
+            self.older, self.kept = kept, {}
+        self.kept.update((x, made[x]) for x in new if len(x) <= self.RUN_CHARS)
+        for k, x in zip(missing, new):
+            found[k] = made[x]
+        return found
+
+    def encode_many(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
         some, size = [], 0
         for t in texts:
@@ -250,18 +256,24 @@ class ByteBpe:
                 some, size = [], 0
         yield from self._part(some)
 
-    def _part(self, texts: list[str]) -> list[bytes]:
+    def _part(self, texts: list[str]) -> Iterator[bytes]:
+        """Arrow finds the distinct runs, and lays out their ids in the order of the texts."""
+        split = [self.splits and self.in_runs(t) for t in texts]
         # A run's blank is left off; one that begins with a line break keeps it.
-        found = [t.replace("\n", " \n").split(" ") if self.splits and self.in_runs(t) else None for t in texts]
-        for runs in filter(None, found):
-            runs[0] = self.FIRST + runs[0]
-        distinct = set().union(*filter(None, found))
-        self._meet(distinct)
-        kept = self.kept
-        out = [b"".join(map(kept.__getitem__, runs)) if runs else self._ids([t])[0].tobytes() for t, runs in zip(texts, found)]
-        for x in [x for x in distinct if len(x) > self.RUN_CHARS]:
-            del kept[x]
-        return out
+        marked = [self.FIRST + t.replace("\n", " \n") for t, s in zip(texts, split) if s]
+        runs = pc.split_pattern(pa.array(marked, pa.large_string()), " ")
+        coded = runs.flatten().dictionary_encode()
+        found = self._meet(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ids = pa.array(found, pa.large_binary()).take(coded.indices)
+        _, offsets, data = ids.buffers()
+        ends = np.frombuffer(offsets, np.int64)[runs.offsets.to_numpy()].tolist() if marked else []
+        places = zip(ends, ends[1:])
+        for t, s in zip(texts, split):
+            if s:
+                a, b = next(places)
+                yield data[a:b].to_pybytes() if b > a else b""
+            else:
+                yield self._ids([t])[0].tobytes()
 
 
 @functools.cache
@@ -289,11 +301,10 @@ def write_tokens(docs: DataFrame, vocabulary: str, uri: str, id_col: str = "doc_
 
         def documents() -> Iterator[tuple[int | None, np.ndarray]]:
             for batch in batches:
-                keys = batch.column(0).to_pylist()
-                for at in range(0, len(keys), 256):
-                    texts = [t or "" for t in batch.column(1).slice(at, 256).to_pylist()]
-                    for key, raw in zip(keys[at:], bpe.encode_many(texts)):
-                        yield key, np.frombuffer(raw + end, "<u4")
+                keys, texts = batch.column(0).to_pylist(), batch.column(1)
+                some = (t or "" for at in range(0, len(keys), 64) for t in texts.slice(at, 64).to_pylist())
+                for key, raw in zip(keys, bpe.encode_many(some)):
+                    yield key, np.frombuffer(raw + end, "<u4")
 
         shard = TaskContext.get().partitionId()
         name = f"{uri}/shard-{shard:06d}.tpack"

@@ -360,6 +360,40 @@ def test_byte_bpe_odd_texts(tmp_path):
         assert all(len(x) <= bpe.RUN_CHARS for x in [*bpe.kept, *bpe.older])
 
 
+class Looked(dict):
+    """Kept runs that count how often one is looked up."""
+
+    times = 0
+
+    def __getitem__(self, x):
+        self.times += 1
+        return super().__getitem__(x)
+
+    def get(self, x, *other):
+        self.times += 1
+        return super().get(x, *other)
+
+
+def test_runs_are_looked_up_once_a_part():
+    bpe = token_pack.ByteBpe(public_tokenizers.path("byte_bpe_50k.json"))
+    library, bpe.kept = bpe.tokenizer, Looked()
+    texts = ["", "the of\nthe  and", " the", "\n", "<|endoftext|> x", "the of the " * 1000, "of the\nand, the. " * 1000, "x" * 100 + " the"] * 3
+    for _ in range(2):
+        bpe.kept.times = 0
+        got = [np.frombuffer(raw, "<u4").tolist() for raw in bpe.encode_many(t for t in texts)]
+        assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert bpe.kept.times < 40
+
+
+def test_run_with_a_stop_finds_the_run_among_the_older():
+    bpe = token_pack.ByteBpe(public_tokenizers.path("byte_bpe_50k.json"), most=8)
+    bpe.tokenizer = counted = Counted(bpe.tokenizer)
+    for text in ("A wordish", "B b1 b2 b3", "C wordish. wordish,"):
+        (raw,) = bpe.encode_many([text])
+        assert np.frombuffer(raw, "<u4").tolist() == counted.tokenizer.encode(text, add_special_tokens=False).ids
+    assert sum("wordish" in t for t in counted.given) == 1
+
+
 @pytest.mark.parametrize("bits", [1, 5, 8, 13, 16, 17, 31, 32])
 def test_packing(bits, tmp_path):
     ids = np.random.default_rng(bits).integers(0, 2**bits, 150_001).astype("<u4")
