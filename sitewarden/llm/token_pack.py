@@ -173,7 +173,7 @@ class ByteBpe:
     #: What stands before a text's first run among the kept ones: no run holds it.
     FIRST = "\r"
     #: Texts are encoded in parts of about so many characters; longer runs than RUN_CHARS aren't kept.
-    PART_CHARS, RUN_CHARS = 1 << 23, 64
+    PART_CHARS, RUN_CHARS = 1 << 22, 64
 
     def __init__(self, path: str, most: int = 1_000_000):
         """most: the runs kept, in two generations. Before the newer one has more than half of them, the
