@@ -960,8 +960,11 @@ def stream_lifetime_dedupe(spark, d):
 @query(f"""WITH {cte('snapshots')}, {_LAG}, m AS (SELECT max(scan_timestamp) - INTERVAL '1' HOUR AS w FROM snapshots)
 SELECT target_url AS key, id, p_model AS previous, pricing_model AS current FROM l, m WHERE p_id IS NOT NULL AND pricing_model IS DISTINCT FROM p_model AND scan_timestamp <= w""")
 def stream_changes_ordered(spark, d):
-    """Pricing changes in the order of events, as far as the watermark has come."""
-    rows = spark.sql(VIEWS["snapshots"], events=_stream(spark, d)).select("target_url", "id", F.col("scan_timestamp").cast("timestamp").alias("ts"), "pricing_model")
+    """Pricing changes in the order of events, as far as the watermark has come. Watermarks are in whole
+    milliseconds, so all times are moved by the microseconds that make the last one whole."""
+    end = read_table(spark, d, "events").agg(F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()[0]
+    ts = F.timestamp_micros(F.unix_micros(F.col("scan_timestamp").cast("timestamp")) + -(end or 0) % 1000)
+    rows = spark.sql(VIEWS["snapshots"], events=_stream(spark, d)).select("target_url", "id", ts.alias("ts"), "pricing_model")
     return _ended(lifetimes.changes_in_order(rows.withWatermark("ts", "1 hour"), "target_url", "pricing_model", "36500 days"), "ordered-changes")
 
 

@@ -5,6 +5,7 @@ is held follows the keys of a lifetime, not those of all time."""
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -69,44 +70,70 @@ def first_in_lifetime(events: DataFrame, key: str, lifetime: str = "30 days", id
     return rows.groupBy("key").transformWithStateInPandas(_FirstSeen(ms), out, "append", "eventTime")
 
 
+def _ceil_ms(us: int) -> int:
+    return -(-us // 1000)
+
+
 class _OrderedChanges(StatefulProcessor):
+    """What waits is kept as columns, a row of state for each frame that came. A key has one timer: the
+    first of its waiting events, else the end of its last one's lifetime. Once it rings, all that is
+    due is taken at once."""
+
     COLUMNS = ["key", "id", "previous", "current"]
+    CHUNK = 10_000
 
-    def __init__(self, lifetime_ms: int):
-        self.lifetime_ms = lifetime_ms
+    def __init__(self, lifetime_us: int):
+        self.lifetime_us = lifetime_us
 
     def init(self, handle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", T.StructType([_field("value", T.StringType()), _field("at", T.LongType())]))
-        self.waiting = handle.getListState("waiting", T.StructType([_field("at", T.LongType()), _field("id", T.LongType()), _field("value", T.StringType())]))
+        self.timer = handle.getValueState("timer", T.StructType([_field("at", T.LongType())]))
+        longs = T.ArrayType(T.LongType())
+        self.waiting = handle.getListState("waiting", T.StructType([_field("at", longs), _field("id", longs), _field("value", T.ArrayType(T.StringType()))]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        table = pd.concat(list(rows))
-        new = [(at, int(i), None if pd.isna(v) else v) for at, i, v in zip(_ms(table["ts"]), table["id"], table["value"])]
-        self.waiting.appendList(new)
-        for at in {x[0] for x in new}:
-            self.handle.registerTimer(at)
-        yield pd.DataFrame([], columns=self.COLUMNS)
+        first = []
+        for table in rows:
+            at = table["at"].tolist()
+            self.waiting.appendValue((at, table["id"].tolist(), [None if pd.isna(v) else v for v in table["value"]]))
+            first.append(min(at))
+        wake, old = _ceil_ms(min(first)), self.timer.get()
+        if old is None or wake < old[0]:
+            if old is not None:
+                self.handle.deleteTimer(old[0])
+            self._wake(wake)
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        waiting = sorted(self.waiting.get(), key=lambda x: (x[0], x[1])) if self.waiting.exists() else []
-        due, rest = [x for x in waiting if x[0] <= now], [x for x in waiting if x[0] > now]
-        last, out = self.last.get() if self.last.exists() else None, []
-        for at, id_, value in due:
-            if last and at < last[1] + self.lifetime_ms and last[0] != value:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted((x for part in self.waiting.get() for x in zip(*part)), key=lambda x: (x[0], x[1]))
+        n = bisect_right(waiting, now, key=lambda x: x[0])
+        last, out = self.last.get(), []
+        for at, id_, value in waiting[:n]:
+            if last and at < last[1] + self.lifetime_us and last[0] != value:
                 out.append((*key, id_, last[0], value))
             last = (value, at)
-        if due:
+        rest = waiting[n:]
+        if n and rest:
+            self.waiting.put([tuple(map(list, zip(*rest[k : k + self.CHUNK]))) for k in range(0, len(rest), self.CHUNK)])
+        elif n:
+            self.waiting.clear()
+        if last and now < last[1] + self.lifetime_us:
             self.last.update(last)
-            self.handle.registerTimer(last[1] + self.lifetime_ms)
-            if rest:
-                self.waiting.put(rest)
-            else:
-                self.waiting.clear()
-        elif last and now >= last[1] + self.lifetime_ms:
+        elif last:
             self.last.clear()
-        yield pd.DataFrame(out, columns=self.COLUMNS)
+            last = None
+        if rest or last:
+            self._wake(_ceil_ms(rest[0][0] if rest else last[1] + self.lifetime_us))
+        else:
+            self.timer.clear()
+        if out:
+            yield pd.DataFrame(out, columns=self.COLUMNS)
+
+    def _wake(self, ms: int) -> None:
+        self.handle.registerTimer(ms)
+        self.timer.update((ms,))
 
     def close(self) -> None:
         pass
@@ -116,13 +143,14 @@ def changes_in_order(rows: DataFrame, key: str, value: str, lifetime: str = "365
     """(key, id, previous, current): a row whenever a key's value differs from that of the event before
     it, if that is less than `lifetime` older. rows has `ts` with a watermark.
 
-    Events wait until the watermark has passed them and are then taken in the order of (ts, id),
-    so late ones, within the watermark, are where they belong, however they are spread over
-    micro-batches. What waits is bounded by the watermark's delay, what stays by the keys of
-    a lifetime."""
+    Events wait until the watermark, in whole milliseconds, has passed them and are then taken in the
+    order of (ts, id), to the microsecond, so late ones, within the watermark, are where they
+    belong, however they are spread over micro-batches. Those without ts are left out. What waits is
+    bounded by the watermark's delay, what stays by the keys of a lifetime; a key's state is read
+    once for each micro-batch whose watermark passes some of its events."""
     spark = rows.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    ms = spark.sql(f"SELECT CAST(unix_millis(TIMESTAMP '1970-01-01 00:00:00 UTC' + INTERVAL {lifetime}) AS LONG)").first()[0]
-    some = rows.select(F.col(key).cast("string").alias("key"), F.col(id_col).cast("long").alias("id"), "ts", F.col(value).cast("string").alias("value"))
+    us = spark.sql(f"SELECT CAST(unix_micros(TIMESTAMP '1970-01-01 00:00:00 UTC' + INTERVAL {lifetime}) AS LONG)").first()[0]
+    some = rows.where("ts is not null").select(F.col(key).cast("string").alias("key"), F.col(id_col).cast("long").alias("id"), "ts", F.unix_micros("ts").alias("at"), F.col(value).cast("string").alias("value"))
     out = T.StructType([_field("key", T.StringType()), _field("id", T.LongType()), _field("previous", T.StringType()), _field("current", T.StringType())])
-    return some.groupBy("key").transformWithStateInPandas(_OrderedChanges(ms), out, "append", "eventTime")
+    return some.groupBy("key").transformWithStateInPandas(_OrderedChanges(us), out, "append", "eventTime")
