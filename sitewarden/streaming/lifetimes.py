@@ -8,6 +8,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor
@@ -75,66 +76,80 @@ def _ceil_ms(us: int) -> int:
 
 
 class _OrderedChanges(StatefulProcessor):
-    """What waits is kept as columns, a row of state for each frame that came. A key has one timer: the
-    first of its waiting events, else the end of its last one's lifetime. Once it rings, all that is
-    due is taken at once."""
+    """What waits is kept as columns, in parts named by their first time and a running number, so that adding
+    reads nothing and only parts with something due are read. A key has one timer: the first of its
+    waiting events, else the end of its last one's lifetime. Once it rings, all that is due is taken."""
 
     COLUMNS = ["key", "id", "previous", "current"]
-    CHUNK = 10_000
+    PART = 10_000
 
     def __init__(self, lifetime_us: int):
         self.lifetime_us = lifetime_us
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", T.StructType([_field("value", T.StringType()), _field("at", T.LongType())]))
-        self.timer = handle.getValueState("timer", T.StructType([_field("at", T.LongType())]))
+        # The last event taken (at is null if there is none), the timer in milliseconds and the next part's number.
+        self.held = handle.getValueState("held", T.StructType([_field("value", T.StringType()), *(_field(c, T.LongType()) for c in ("at", "timer", "part"))]))
         longs = T.ArrayType(T.LongType())
-        self.waiting = handle.getListState("waiting", T.StructType([_field("at", longs), _field("id", longs), _field("value", T.ArrayType(T.StringType()))]))
+        self.waiting = handle.getMapState("waiting", T.StructType([_field("first", T.LongType()), _field("part", T.LongType())]), T.StructType([_field("at", longs), _field("id", longs), _field("value", T.ArrayType(T.StringType()))]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last, last_at, timer, part = self.held.get() or (None, None, None, 0)
         first = []
-        for table in rows:
+        for part, table in enumerate(rows, part):
             at = table["at"].tolist()
-            self.waiting.appendValue((at, table["id"].tolist(), [None if pd.isna(v) else v for v in table["value"]]))
             first.append(min(at))
-        wake, old = _ceil_ms(min(first)), self.timer.get()
-        if old is None or wake < old[0]:
-            if old is not None:
-                self.handle.deleteTimer(old[0])
-            self._wake(wake)
+            self.waiting.updateValue((first[-1], part), (at, table["id"].tolist(), [None if pd.isna(v) else v for v in table["value"]]))
+        wake = _ceil_ms(min(first))
+        if timer is None or wake < timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(wake)
+            timer = wake
+        self.held.update((last, last_at, timer, part + 1))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted((x for part in self.waiting.get() for x in zip(*part)), key=lambda x: (x[0], x[1]))
-        n = bisect_right(waiting, now, key=lambda x: x[0])
-        last, out = self.last.get(), []
-        for at, id_, value in waiting[:n]:
-            if last and at < last[1] + self.lifetime_us and last[0] != value:
-                out.append((*key, id_, last[0], value))
-            last = (value, at)
-        rest = waiting[n:]
-        if n and rest:
-            self.waiting.put([tuple(map(list, zip(*rest[k : k + self.CHUNK]))) for k in range(0, len(rest), self.CHUNK)])
-        elif n:
+        last, last_at, _, part = self.held.get()
+        names = list(self.waiting.keys())
+        begun, later = [x for x in names if x[0] <= now], [x[0] for x in names if x[0] > now]
+        parts = [self.waiting.getValue(x) for x in begun]
+        at, ids = (np.array([x for p in parts for x in p[k]], dtype="int64") for k in (0, 1))
+        order = np.lexsort((ids, at))
+        at, ids = at[order].tolist(), ids[order].tolist()
+        values = [x for p in parts for x in p[2]]
+        values = [values[k] for k in order.tolist()]
+        n = bisect_right(at, now)
+        if begun and not later:
             self.waiting.clear()
-        if last and now < last[1] + self.lifetime_us:
-            self.last.update(last)
-        elif last:
-            self.last.clear()
-            last = None
-        if rest or last:
-            self._wake(_ceil_ms(rest[0][0] if rest else last[1] + self.lifetime_us))
         else:
-            self.timer.clear()
+            for x in begun:
+                self.waiting.removeKey(x)
+        for k in range(n, len(at), self.PART):
+            later.append(at[k])
+            self.waiting.updateValue((at[k], part), tuple(c[k : k + self.PART] for c in (at, ids, values)))
+            part += 1
+        new, new_at = (values[n - 1], at[n - 1]) if n else (last, last_at)
+        if new_at is not None and now >= new_at + self.lifetime_us:
+            new, new_at = None, None
+        if later or new_at is not None:
+            timer = _ceil_ms(min(later) if later else new_at + self.lifetime_us)
+            self.handle.registerTimer(timer)
+            self.held.update((new, new_at, timer, part if later else 0))
+        else:
+            self.held.clear()
+        out = []
+        for at_, id_, value in zip(at[:n], ids, values):
+            if last_at is not None and at_ < last_at + self.lifetime_us and last != value:
+                out.append((*key, id_, last, value))
+                if len(out) == self.PART:
+                    yield pd.DataFrame(out, columns=self.COLUMNS)
+                    out = []
+            last, last_at = value, at_
         if out:
             yield pd.DataFrame(out, columns=self.COLUMNS)
 
-    def _wake(self, ms: int) -> None:
-        self.handle.registerTimer(ms)
-        self.timer.update((ms,))
-
     def close(self) -> None:
         pass
 
@@ -146,8 +161,8 @@ def changes_in_order(rows: DataFrame, key: str, value: str, lifetime: str = "365
     Events wait until the watermark, in whole milliseconds, has passed them and are then taken in the
     order of (ts, id), to the microsecond, so late ones, within the watermark, are where they
     belong, however they are spread over micro-batches. Those without ts are left out. What waits is
-    bounded by the watermark's delay, what stays by the keys of a lifetime; a key's state is read
-    once for each micro-batch whose watermark passes some of its events."""
+    bounded by the watermark's delay, what stays by the keys of a lifetime. A key's events that fall due in
+    one micro-batch are in memory together."""
     spark = rows.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     us = spark.sql(f"SELECT CAST(unix_micros(TIMESTAMP '1970-01-01 00:00:00 UTC' + INTERVAL {lifetime}) AS LONG)").first()[0]
